@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmith.functions.expressions import repair_scale
-from seriesmith.operators.ordered import join_null_safe, ordered_columns, row_position, run_ids
+from seriesmith.operators.ordered import (
+    LargeKeys, find_large_keys, join_null_safe, ordered_columns, row_position, run_ids,
+)
 
 
 def repair_scales(df: DataFrame, thresholds: Mapping[str, float], divisor: float = 1000.0,
@@ -76,14 +78,15 @@ def resample_interpolate(df: DataFrame, keys: Sequence[str], time: str, columns:
 
 
 def long_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], mask: Column, longer_than: int = 50,
-              max_rows: int | None = None) -> DataFrame:
+              max_rows: int | None = None, large: LargeKeys | None = None) -> DataFrame:
     """Runs in which ``mask`` is true for more than ``longer_than`` rows: key, run_id, first_position, run_length.
 
     A NULL mask counts as false.
     """
+    large = large or find_large_keys(df, keys, max_rows)
     flag = F.coalesce(mask, F.lit(False))
-    indexed = row_position(df.withColumn("__mask", flag), keys, order, "position", max_rows)
-    numbered = run_ids(indexed, keys, ["position"], F.col("__mask"), "run_id", max_rows)
+    indexed = row_position(df.withColumn("__mask", flag), keys, order, "position", large=large)
+    numbered = run_ids(indexed, keys, ["position"], F.col("__mask"), "run_id", large=large)
     return (
         numbered.filter("__mask")
         .groupBy(*keys, "run_id")
@@ -92,9 +95,12 @@ def long_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], mask: Co
     )
 
 
-def phase_boundaries(df: DataFrame, keys: Sequence[str], position: str, active: Column, mask: Column,
-                     longer_than: int = 50, max_rows: int | None = None) -> DataFrame:
-    """Per key: first and last active position and the start of the first long run of ``mask``."""
+def phase_boundaries(df: DataFrame, keys: Sequence[str], order: Sequence[str], active: Column, mask: Column,
+                     longer_than: int = 50, position: str = "position", large: LargeKeys | None = None) -> DataFrame:
+    """Per key: first and last active position and the start of the first long run of ``mask``.
+
+    Keys that are never active or have no long run are left out.
+    """
     ends = (
         df.groupBy(*keys)
         .agg(
@@ -104,7 +110,7 @@ def phase_boundaries(df: DataFrame, keys: Sequence[str], position: str, active:
         .filter(F.col("startup_position").isNotNull())
     )
     runs = (
-        long_runs(df, keys, [position], mask, longer_than, max_rows)
+        long_runs(df, keys, order, mask, longer_than, large=large)
         .groupBy(*keys)
         .agg(F.min("first_position").alias("operation_position"))
     )
@@ -119,8 +125,9 @@ def split_phases(df: DataFrame, keys: Sequence[str], order: Sequence[str], activ
     rows before the last active row; Shutdown from that row to the end. The boundary rows belong to two phases and
     appear twice. Keys that are never active or have no long run are left out.
     """
-    indexed = row_position(df, keys, order, "position", max_rows)
-    bounds = phase_boundaries(indexed, keys, "position", active, mask, longer_than, max_rows)
+    large = find_large_keys(df, keys, max_rows)
+    indexed = row_position(df, keys, order, "position", large=large)
+    bounds = phase_boundaries(indexed, keys, order, active, mask, longer_than, large=large)
     joined = join_null_safe(indexed, bounds, keys, "inner")
     p, s, d = F.col("position"), F.col("startup_position"), F.col("operation_position")
     cut = F.col("shutdown_position") - 2

@@ -31,7 +31,7 @@ def to_long(df: DataFrame, keep: Sequence[str], signals: Sequence[str], name: st
 
 
 def window_stats(df: DataFrame, keys: Sequence[str], signals: Sequence[str], size: int = 60,
-                 window: str = "window", position: str = "position") -> DataFrame:
+                 window: str = "window", position: str = "position", constants: bool = False) -> DataFrame:
     """mean, std, min, max and slope of every signal in every complete window, in one aggregation.
 
     Completeness is tested on the aggregated row count, so incomplete windows need no join or second pass.
@@ -47,6 +47,7 @@ def window_stats(df: DataFrame, keys: Sequence[str], signals: Sequence[str], siz
             F.min(v).alias("min"),
             F.max(v).alias("max"),
             strict_slope(v, F.col(position), size).alias("slope"),
+            *([constant_flag(v).alias("constant")] if constants else []),
         )
         .filter(F.col("__n") == size)
         .drop("__n")
@@ -94,11 +95,13 @@ def pivot_wide(long: DataFrame, keys: Sequence[str], name: str, names: Sequence[
 
     ``values`` maps a value column to its output pattern, e.g. ``{"mean": "{name}_mean"}``.
     """
-    cells = [
-        F.max(F.when(F.col(name) == n, F.col(v))).alias(pattern.format(name=n))
-        for n in names for v, pattern in values.items()
-    ]
-    return long.groupBy(*keys).agg(*cells)
+    grouped = long.groupBy(*keys).pivot(name, list(names))
+    wide = grouped.agg(*[F.max(F.col(v)).alias(f"__{i}") for i, v in enumerate(values)])
+    only = len(values) == 1
+    return wide.select(*keys, *[
+        F.col(f"`{n}`" if only else f"`{n}___{i}`").alias(pattern.format(name=n))
+        for n in names for i, pattern in enumerate(values.values())
+    ])
 
 
 def window_features(df: DataFrame, keys: Sequence[str], signals: Sequence[str], actuators: Sequence[str] = (),
@@ -106,20 +109,20 @@ def window_features(df: DataFrame, keys: Sequence[str], signals: Sequence[str],
                     window: str = "window", position: str = "position") -> DataFrame:
     """The wide window table: all blocks are reduced to named values in long form, then pivoted once.
 
+    ``actuators`` must be a subset of ``signals``.
+
     One union and one pivot replace a chain of one-to-one joins of the blocks.
     """
     diffs = pair_differences(diff_pairs)
     base = df.select(*keys, window, position, *signals, *[e.alias(n) for n, e in diffs.items()])
-    stats = window_stats(base, keys, [*signals, *diffs], size, window, position)
+    stats = window_stats(base, keys, [*signals, *diffs], size, window, position, constants=True)
+    # Actuators are signals, so their constant flag falls out of the same aggregation.
     cells = [("mean", "mean"), ("std", "std"), ("min", "min"), ("max", "max"), ("slope", "slope")]
+    flag = F.when(F.col("signal").isin(list(actuators)), F.col("constant").cast("double"))
+    named = [(F.col(c), s) for c, s in cells] + ([(flag, "constant")] if actuators else [])
     blocks = [stats.select(*keys, window, F.inline(F.array(*[
-        F.struct(F.concat(F.col("signal"), F.lit(f"_{s}")).alias("feature"), F.col(c).alias("value"))
-        for c, s in cells
+        F.struct(F.concat(F.col("signal"), F.lit(f"_{s}")).alias("feature"), c.alias("value")) for c, s in named
     ])))]
-    if actuators:
-        blocks.append(window_constants(df, keys, actuators, size, window).select(
-            *keys, window, F.concat("signal", F.lit("_constant")).alias("feature"),
-            F.col("constant").cast("double").alias("value")))
     if corr_signals:
         blocks.append(window_correlations(df, keys, corr_signals, size, window).select(
             *keys, window, F.concat("pair", F.lit("_corr")).alias("feature"), F.col("corr").alias("value")))

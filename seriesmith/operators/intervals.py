@@ -14,25 +14,23 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmith.operators.ordered import join_null_safe, ordered_columns
+from seriesmith.operators.ordered import LargeKeys, find_large_keys, join_null_safe, ordered_columns
 
-LEVELS = 40  # times up to 2**40 units from the origin
 
-
-def _pieces(df: DataFrame, levels: int) -> DataFrame:
+def _pieces(df: DataFrame) -> DataFrame:
     """Replace each interval [__low, __high] by the aligned cells (level, cell) that cover it exactly."""
     # Cells of a level that lie inside the interval are first..end-1. The outermost ones whose parent sticks out
-    # are kept; all others are covered by a larger cell.
-    leveled = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumns({
+    # are kept; all others are covered by a larger cell. No cell is longer than the interval.
+    leveled = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("__top")))).withColumns({
         "__first": F.expr("shiftright(__low + shiftleft(1L, level) - 1, level)"),
         "__end": F.expr("shiftright(__high + 1, level)"),
     }).filter("__first < __end")
     cells = F.expr("array_compact(array(if(__first % 2 = 1, __first, null), if(__end % 2 = 1, __end - 1, null)))")
-    return leveled.withColumn("cell", F.explode(cells)).drop("__low", "__high", "__first", "__end")
+    return leveled.withColumn("cell", F.explode(cells)).drop("__low", "__high", "__first", "__end", "__top")
 
 
 def segments(intervals: DataFrame, keys: Sequence[str], low: str, high: str, priority: Sequence[str],
-             payload: Sequence[str], levels: int = LEVELS) -> DataFrame:
+             payload: Sequence[str]) -> DataFrame:
     """Points at which the interval in force changes: keys, start, winner (struct of ``payload`` or NULL).
 
     Of all intervals [low, high] (both inclusive, non-negative integers) that cover a point, the one with the
@@ -42,15 +40,17 @@ def segments(intervals: DataFrame, keys: Sequence[str], low: str, high: str, pri
     valid = intervals.filter(F.col(low) <= F.col(high)).select(
         *keys, F.col(low).cast("long").alias("__low"), F.col(high).cast("long").alias("__high"),
         F.struct(F.struct(*priority).alias("p"), F.struct(*payload).alias("v")).alias("__w"),
+        (F.length(F.bin(F.col(high).cast("long") - F.col(low).cast("long") + 1)) - 1).alias("__top"),
     )
-    cells = (
-        _pieces(valid, levels)
-        .groupBy(*keys, "level", "cell")
-        .agg(F.max_by("__w", F.col("__w.p")).alias("__w"))
-    )
-    points = valid.select(*keys, F.explode(F.array(F.col("__low"), F.col("__high") + 1)).alias("start")).distinct()
-    lookups = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn(
-        "cell", F.expr("shiftright(start, level)")
+    cells = _pieces(valid).groupBy(*keys, "level", "cell").agg(F.max_by("__w", F.col("__w.p")).alias("__w"))
+    # Every point where the answer may change, with the largest cell size its key can have.
+    points = valid.select(*keys, F.explode(F.array(F.col("__low"), F.col("__high") + 1)).alias("start"))
+    tops = valid.groupBy(*keys).agg(F.max("__top").alias("__top"))
+    lookups = (
+        join_null_safe(points.distinct(), tops, keys, "inner")
+        .withColumn("level", F.explode(F.sequence(F.lit(0), F.col("__top"))))
+        .withColumn("cell", F.expr("shiftright(start, level)"))
+        .drop("__top")
     )
     return (
         join_null_safe(lookups, cells, [*keys, "level", "cell"], "left")
@@ -61,7 +61,7 @@ def segments(intervals: DataFrame, keys: Sequence[str], low: str, high: str, pri
 
 
 def apply_segments(df: DataFrame, keys: Sequence[str], time: str, layers: Mapping[str, DataFrame],
-                   max_rows: int | None = None) -> DataFrame:
+                   large: LargeKeys | None = None) -> DataFrame:
     """Add one struct column per layer: the winner in force at each row's ``time`` (NULL if none).
 
     All layers are merged in a single ordered pass; rows of the series are all kept.
@@ -76,15 +76,21 @@ def apply_segments(df: DataFrame, keys: Sequence[str], time: str, layers: Mappin
     for n in names:
         merged = merged.unionByName(wrapped[n].withColumn("__row", F.lit(0)), allowMissingColumns=True)
     filled = ordered_columns(merged, keys, ["__t", "__row"], last={n: F.col(f"__{n}") for n in names},
-                             max_rows=max_rows)
+                             large=large)
     return filled.filter("__row = 1").select(*columns, *[F.col(f"{n}.winner").alias(n) for n in names])
 
 
+def _sizes(df: DataFrame, intervals: DataFrame, keys: Sequence[str], max_rows: int | None) -> LargeKeys:
+    """Upper bound of rows plus markers per key (an interval gives at most two markers)."""
+    both = df.select(*keys, F.lit(1).alias("__w")).unionByName(intervals.select(*keys, F.lit(2).alias("__w")))
+    return find_large_keys(both, keys, max_rows, F.col("__w"))
+
+
 def last_writer(df: DataFrame, intervals: DataFrame, keys: Sequence[str], time: str, low: str, high: str,
                 order: Sequence[str], value: str, name: str, max_rows: int | None = None) -> DataFrame:
     """Rows inside an interval get its ``value``; the interval written last (greatest ``order``) wins."""
     seg = segments(intervals, keys, low, high, order, [value])
-    out = apply_segments(df, keys, time, {"__seg": seg}, max_rows)
+    out = apply_segments(df, keys, time, {"__seg": seg}, _sizes(df, intervals, keys, max_rows))
     return out.withColumn(name, F.col(f"__seg.{value}")).drop("__seg")
 
 
@@ -96,7 +102,7 @@ def patch_ranges(df: DataFrame, patches: DataFrame, keys: Sequence[str], time: s
         f"__patch_{f}": segments(patches.filter(F.col(feature) == f), keys, low, high, order, [value])
         for f in features
     }
-    out = apply_segments(df, keys, time, layers, max_rows)
+    out = apply_segments(df, keys, time, layers, _sizes(df, patches, keys, max_rows))
     return out.withColumns(
         {f: F.coalesce(F.col(f"__patch_{f}.{value}"), F.col(f)) for f in features}
     ).select(*df.columns)
@@ -149,5 +155,5 @@ def label_incidents(df: DataFrame, rules: DataFrame, keys: Sequence[str], time:
     """Per-row label 0-3: label 2 is never overwritten, otherwise the rule written last wins, default 0."""
     ranked = rules.withColumn("__absorbing", (F.col("label") == 2).cast("int"))
     seg = segments(ranked, keys, "low", "high", ["__absorbing", *order, "rule_order"], ["label"])
-    out = apply_segments(df, keys, time, {"__seg": seg}, max_rows)
+    out = apply_segments(df, keys, time, {"__seg": seg}, _sizes(df, rules, keys, max_rows))
     return out.withColumn(name, F.coalesce(F.col("__seg.label"), F.lit(0))).drop("__seg")

@@ -10,6 +10,7 @@ with one row per block.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +37,31 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.drop(*[f"__r_{k}" for k in keys])
 
 
+@dataclass(frozen=True)
+class LargeKeys:
+    """Keys too long for one task: their number, their rows in total, and the list (None if there are none)."""
+
+    limit: int
+    keys: int
+    rows: int
+    marks: DataFrame | None
+
+
+def find_large_keys(df: DataFrame, keys: Sequence[str], max_rows: int | None = None,
+                    weight: Column | None = None) -> LargeKeys:
+    """Count rows per key (pre-aggregated, key columns only) and keep the keys above the limit.
+
+    The list has at most total rows / limit entries. One result serves every ordered pass over rows whose number
+    per key does not grow.
+    """
+    limit = max_rows or max_rows_per_key(df)
+    size = F.count("*") if weight is None else F.sum(weight)
+    large = df.groupBy(*keys).agg(size.alias("count")).filter(F.col("count") > limit)
+    n_keys, n_rows = large.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    marks = large.select(*keys, F.lit(True).alias("__large")) if n_keys else None
+    return LargeKeys(limit, int(n_keys), int(n_rows), marks)
+
+
 def _sort_columns(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c).asc() if isinstance(c, str) else c for c in order]
 
@@ -51,6 +77,7 @@ def ordered_columns(
     last: Mapping[str, Column] | None = None,
     following: Mapping[str, Column] | None = None,
     max_rows: int | None = None,
+    large: LargeKeys | None = None,
 ) -> DataFrame:
     """Add ordered columns per key.
 
@@ -60,21 +87,17 @@ def ordered_columns(
     last       latest non-NULL value up to and including the row
     following  nearest non-NULL value strictly after the row
 
-    ``order`` must be a total order of a key's rows.
+    ``order`` must be a total order of a key's rows. ``large`` takes the result of an earlier ``find_large_keys``.
     """
     sums, lags, last, following = dict(sums or {}), dict(lags or {}), dict(last or {}), dict(following or {})
     keys, order = list(keys), _sort_columns(order)
-    limit = max_rows or max_rows_per_key(df)
-    large = df.groupBy(*keys).count().filter(F.col("count") > limit)
-    n_large, n_rows = large.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
-    if not n_large:
+    large = large or find_large_keys(df, keys, max_rows)
+    if large.marks is None:
         return _within(df, keys, order, position, sums, lags, last, following)
 
-    # The list of large keys has at most total_rows / limit entries.
-    marks = large.select(*keys, F.lit(True).alias("__large"))
-    marked = join_null_safe(df, marks, keys)
+    marked = join_null_safe(df, large.marks, keys)
     small = marked.filter(F.col("__large").isNull()).drop("__large")
-    blocks = max(2, -(-2 * int(n_rows) // limit))
+    blocks = max(2, -(-2 * large.rows // large.limit))
     # The range shuffle samples its bounds, so the block ids are written down before they are used twice.
     blocked = pin(
         marked.filter(F.col("__large"))
@@ -168,22 +191,24 @@ def _across_blocks(blocked, keys, order, position, sums, lags, last, following)
 
 
 def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "position",
-                 max_rows: int | None = None) -> DataFrame:
-    return ordered_columns(df, keys, order, position=name, max_rows=max_rows)
+                 max_rows: int | None = None, large: LargeKeys | None = None) -> DataFrame:
+    return ordered_columns(df, keys, order, position=name, max_rows=max_rows, large=large)
 
 
 def run_starts(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column,
-               name: str = "run_start", max_rows: int | None = None) -> DataFrame:
+               name: str = "run_start", max_rows: int | None = None, large: LargeKeys | None = None) -> DataFrame:
     """True where ``value`` differs from the previous row; the first row of a key counts as a change."""
-    lagged = ordered_columns(df, keys, order, lags={"__prev": F.struct(value.alias("v"))}, max_rows=max_rows)
+    lagged = ordered_columns(df, keys, order, lags={"__prev": F.struct(value.alias("v"))}, max_rows=max_rows,
+                             large=large)
     changed = F.col("__prev").isNull() | ~F.col("__prev.v").eqNullSafe(value)
     return lagged.withColumn(name, changed).drop("__prev")
 
 
 def run_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column,
-            name: str = "run_id", max_rows: int | None = None) -> DataFrame:
+            name: str = "run_id", max_rows: int | None = None, large: LargeKeys | None = None) -> DataFrame:
     """Number the runs of equal ``value`` per key, starting at 1."""
-    flagged = run_starts(df, keys, order, value, "__start", max_rows)
+    large = large or find_large_keys(df, keys, max_rows)
+    flagged = run_starts(df, keys, order, value, "__start", large=large)
     return ordered_columns(
-        flagged, keys, order, sums={name: F.col("__start").cast("long")}, max_rows=max_rows
+        flagged, keys, order, sums={name: F.col("__start").cast("long")}, large=large
     ).drop("__start")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesmith.functions.expressions import ordered_select
 from seriesmith.operators.cleaning import repair_scales
-from seriesmith.operators.ordered import join_null_safe, ordered_columns, row_position
+from seriesmith.operators.ordered import find_large_keys, join_null_safe, ordered_columns, row_position
 
 
 def join_modalities(actuators: DataFrame, labels: DataFrame, sensors: DataFrame,
@@ -37,12 +37,13 @@ def elapsed_time(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     Negative steps are kept, except where ``clamp_for`` is true (a known clock error), where they count as 0.
     """
     step = "__step"
-    lagged = ordered_columns(df, keys, order, lags={"__prev": seconds}, max_rows=max_rows)
+    large = find_large_keys(df, keys, max_rows)
+    lagged = ordered_columns(df, keys, order, lags={"__prev": seconds}, large=large)
     raw = seconds - F.col("__prev")
     cond = raw < 0
     cond = cond & clamp_for if clamp_for is not None else F.lit(False)
     stepped = lagged.withColumn(step, F.when(cond, F.lit(0)).otherwise(raw))
-    return ordered_columns(stepped, keys, order, sums={name: F.col(step)}, max_rows=max_rows).drop(step, "__prev")
+    return ordered_columns(stepped, keys, order, sums={name: F.col(step)}, large=large).drop(step, "__prev")
 
 
 def elapsed_since_first(df: DataFrame, keys: Sequence[str], seconds: str, name: str = "elapsed_time") -> DataFrame:
