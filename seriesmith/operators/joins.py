@@ -81,7 +81,7 @@ def match_word(keys: DataFrame, titles: DataFrame, key: str, title: str, title_o
     quoted = F.concat(F.lit(r"(?iuU)\b\Q"), literal, F.lit(r"\E\b"))
     return (
         anchored.join(spread, "__word")
-        .filter(F.col(title).rlike(quoted))
+        .filter(F.rlike(F.col(title), quoted))
         .groupBy(key)
         .agg(F.min_by(title, title_order).alias(title), F.min(title_order).alias(title_order))
     )
