@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesmith.functions.expressions import binary_target, pair_differences
 from seriesmith.functions.statistics import constant_flag, safe_corr, strict_slope
@@ -193,7 +194,7 @@ def unflatten_window(wide: DataFrame, keys: Sequence[str], window: str = "window
     )
 
 
-@F.pandas_udf("total_power double, dominant_power_ratio double, spectral_entropy double")
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in SPECTRUM]))
 def _spectrum(values: pd.Series) -> pd.DataFrame:
     """Power spectrum summary of a batch of complete windows (arrays of equal length, no missing value)."""
     out = np.full((len(values), 3), np.nan)

@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmith.session import pin
@@ -29,6 +30,10 @@ AUTO_SAMPLES = 256
 DEFAULT_CUT = 0.5
 
 
+def parallelism(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 @dataclass(frozen=True)
 class ForestSpec:
     """One parameter setting; a forest with fewer trees is a prefix of one with more."""
@@ -54,7 +59,6 @@ class Forests:
     nodes: DataFrame
     specs: list[ForestSpec]
     sample_sizes: list[int]
-    features: list[str] = field(default_factory=list)
 
 
 def average_path(n):
@@ -100,7 +104,7 @@ def grow(x: np.ndarray, spec: ForestSpec, tree: int, root: int, depth: int, limi
     subset = tree_features(spec, tree, x.shape[1])
     x = x[:, subset]
     node = np.full(len(x), root, dtype=np.int64)
-    out = []
+    levels = []
     while len(x):
         order = np.argsort(node, kind="stable")
         x, node = x[order], node[order]
@@ -111,17 +115,15 @@ def grow(x: np.ndarray, spec: ForestSpec, tree: int, root: int, depth: int, limi
         each = np.arange(len(ids))
         splits = (sizes > 1) & (draw[each, pick] >= 0) & (depth < limit)
         cut = _cut(spec.seed, tree, ids, low[each, pick], high[each, pick])
-        out.append(pd.DataFrame({
-            "tree": tree, "node": ids, "depth": depth,
-            "feature": np.where(splits, subset[pick], -1), "threshold": np.where(splits, cut, np.nan), "size": sizes,
-            "path": np.where(splits, np.nan, depth + average_path(sizes)),
-        }))
+        levels.append((ids, np.full(len(ids), depth), np.where(splits, subset[pick], -1),
+                       np.where(splits, cut, np.nan), sizes, np.where(splits, np.nan, depth + average_path(sizes))))
         at = np.repeat(each, sizes)
         right = x[np.arange(len(x)), pick[at]] > cut[at]
         keep = splits[at]
         x, node = x[keep], (2 * node + right)[keep]
         depth += 1
-    return pd.concat(out, ignore_index=True)
+    columns = [np.concatenate(c) for c in zip(*levels)]
+    return pd.DataFrame(dict(zip(["node", "depth", "feature", "threshold", "size", "path"], columns))).assign(tree=tree)
 
 
 def pack(df: DataFrame, keys: Sequence[str], features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -129,13 +131,13 @@ def pack(df: DataFrame, keys: Sequence[str], features: Sequence[str], keep: Sequ
     return df.select(*keys, *keep, F.array(*[F.col(f).cast("double") for f in features]).alias("vec"))
 
 
-def _sampled_trees(spec: ForestSpec, keys: Sequence[str], share: float) -> Column:
+def _sampled_trees(seed: int, n_trees: int, keys: Sequence[str], share: float) -> Column:
     """Trees whose sub-sample may hold the row, each with the row's draw."""
     def draw(t: Column) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.lit(spec.seed), t, *[F.col(k) for k in keys]), 11)
+        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, *[F.col(k) for k in keys]), 11)
         return bits / F.lit(float(1 << 53))
 
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(spec.n_trees - 1)),
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
                         lambda t: F.struct(t.alias("tree"), draw(t).alias("u")))
     return F.filter(pairs, lambda p: p["u"] < share) if share < 1 else pairs
 
@@ -150,39 +152,47 @@ def fit_forests(packed: DataFrame, keys: Sequence[str], specs: Sequence[ForestSp
     if not n_rows:
         raise ValueError("no rows to fit on")
     room = max(1, max_group_cells // max(d, 1))
-    sizes = [s.sample_size(n_rows) for s in specs]
-    parts = [
-        _fit_in_tasks(packed, keys, i, spec, size, n_rows) if size <= room
-        else _fit_by_levels(packed, keys, i, spec, size, n_rows, d, room)
-        for i, (spec, size) in enumerate(zip(specs, sizes))
-    ]
-    groups = parts[0][0]
-    for rows, _ in parts[1:]:
-        groups = groups.unionByName(rows)
-    spec_list, size_list = list(specs), list(sizes)
+    spec_list, sizes = list(specs), [s.sample_size(n_rows) for s in specs]
+    in_task = [i for i, size in enumerate(sizes) if size <= room]
+    groups, tops = [], []
+    for seed in sorted({spec_list[i].seed for i in in_task}):
+        # A row's draw for a tree is the same in every spec of a seed, so the largest sub-sample contains the others
+        # and one copy of its rows serves all of them.
+        group = [i for i in in_task if spec_list[i].seed == seed]
+        groups.append(_sampled_rows(packed, keys, seed, max(spec_list[i].n_trees for i in group),
+                                    max(sizes[i] for i in group), n_rows, -1 - seed))
+    for i, (spec, size) in enumerate(zip(spec_list, sizes)):
+        if i not in in_task:
+            rows, top = _fit_by_levels(packed, keys, i, spec, size, n_rows, d, room)
+            groups.append(rows)
+            tops += [top] if top is not None else []
+    names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, tree, node, depth = (int(k) for k in key)
-        spec, size = spec_list[i], size_list[i]
-        if node == 1 and len(pdf) > size:
-            # Whole sub-sample in this task: keep exactly the wanted number of rows, by lowest draw.
-            pdf = pdf.nsmallest(size, "u", keep="first")
-        made = grow(np.stack(pdf["vec"].to_numpy()), spec, tree, node, depth, depth_limit(size))
-        return made.assign(spec=i)[[c.split()[0] for c in NODE_SCHEMA.split(", ")]]
-
-    grown = groups.groupBy("spec", "tree", "node", "depth").applyInPandas(build, NODE_SCHEMA)
-    for _, top in parts:
-        if top is not None:
-            grown = grown.unionByName(top)
-    return Forests(pin(grown), spec_list, size_list)
-
-
-def _fit_in_tasks(packed, keys, i, spec, size, n_rows):
+        code, tree, node, depth = (int(k) for k in key)
+        x = np.stack(pdf["vec"].to_numpy())
+        if code >= 0:
+            made = [grow(x, spec_list[code], tree, node, depth, depth_limit(sizes[code])).assign(spec=code)]
+        else:
+            # The wanted number of rows, by lowest draw.
+            x = x[np.argsort(pdf["u"].to_numpy(), kind="stable")]
+            made = [grow(x[:sizes[i]], spec_list[i], tree, 1, 0, depth_limit(sizes[i])).assign(spec=i)
+                    for i in in_task if spec_list[i].seed == -1 - code and tree < spec_list[i].n_trees]
+        return pd.concat(made, ignore_index=True)[names]
+
+    # Growing costs far more than the bytes suggest, so the number of tasks is fixed rather than coalesced by size.
+    by = ["spec", "tree", "node", "depth"]
+    spread = reduce(DataFrame.unionByName, groups).repartition(parallelism(packed.sparkSession), *by)
+    grown = reduce(DataFrame.unionByName, tops, spread.groupBy(*by).applyInPandas(build, NODE_SCHEMA))
+    return Forests(pin(grown), spec_list, sizes)
+
+
+def _sampled_rows(packed, keys, seed, n_trees, size, n_rows, code):
+    """Rows of the sub-samples with a few to spare, so that the exact number can be cut inside the task."""
     share = min(1.0, (size + 6 * math.sqrt(size) + 10) / n_rows)
-    rows = packed.select("vec", F.explode(_sampled_trees(spec, keys, share)).alias("p")).select(
-        F.lit(i).alias("spec"), F.col("p.tree").alias("tree"), F.lit(1).cast("long").alias("node"),
+    return packed.select("vec", F.explode(_sampled_trees(seed, n_trees, keys, share)).alias("p")).select(
+        F.lit(code).alias("spec"), F.col("p.tree").alias("tree"), F.lit(1).cast("long").alias("node"),
         F.lit(0).alias("depth"), F.col("p.u").alias("u"), "vec")
-    return rows, None
 
 
 def _fit_by_levels(packed, keys, i, spec, size, n_rows, d, room):
@@ -192,7 +202,7 @@ def _fit_by_levels(packed, keys, i, spec, size, n_rows, d, room):
     """
     spark = packed.sparkSession
     limit = depth_limit(size)
-    sampled = packed.select("vec", F.transform(_sampled_trees(spec, keys, size / n_rows),
+    sampled = packed.select("vec", F.transform(_sampled_trees(spec.seed, spec.n_trees, keys, size / n_rows),
                                                lambda p: p["tree"]).alias("trees"))
     top: dict[tuple[int, int], tuple[int, float]] = {}  # (tree, node) -> (feature, threshold)
     done: list[tuple] = []  # finished nodes of the top part
@@ -290,28 +300,46 @@ def _route(pdf: pd.DataFrame, splits: dict) -> Iterator[tuple[int, np.ndarray, n
         yield int(t), rows, node
 
 
-def _arrays(nodes: pd.DataFrame) -> dict:
-    """Node table of a few forests as flat arrays per (spec, tree), children by position."""
-    out = {}
-    for (spec, tree), part in nodes.sort_values(["spec", "tree", "node"]).groupby(["spec", "tree"], sort=True):
-        ids = part["node"].to_numpy()
-        feature = part["feature"].to_numpy()
-        left = np.where(feature >= 0, np.searchsorted(ids, 2 * ids), 0)
-        out[(spec, tree)] = (feature, part["threshold"].to_numpy(), left, part["path"].to_numpy())
-    return out
-
-
-def _paths(x: np.ndarray, tree: tuple) -> np.ndarray:
-    """Path length of every row in one tree. Siblings lie next to each other, so right is left + 1."""
-    feature, threshold, left, path = tree
-    at = np.zeros(len(x), dtype=np.int64)
-    rows = np.arange(len(x))
-    while len(rows):
-        f = feature[at[rows]]
-        rows = rows[f >= 0]
-        here = at[rows]
-        at[rows] = left[here] + (x[rows, feature[here]] > threshold[here])
-    return path[at]
+@dataclass
+class _Trees:
+    """Several trees in flat arrays: children by position, siblings next to each other (right is left + 1)."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    path: np.ndarray
+    roots: np.ndarray
+    share: np.ndarray  # trees x slots, 1 where a tree counts for a slot
+
+
+def _flatten(nodes: pd.DataFrame, slots: Sequence[tuple[int, int]]) -> _Trees:
+    nodes = nodes.sort_values(["spec", "tree", "node"], ignore_index=True)
+    spec, tree, node = (nodes[c].to_numpy() for c in ("spec", "tree", "node"))
+    roots = np.flatnonzero(np.r_[True, (spec[1:] != spec[:-1]) | (tree[1:] != tree[:-1])])
+    feature = nodes["feature"].to_numpy()
+    left = np.zeros(len(nodes), dtype=np.int64)
+    for start, end in zip(roots, np.r_[roots[1:], len(nodes)]):
+        left[start:end] = start + np.searchsorted(node[start:end], 2 * node[start:end])
+    share = np.array([[spec[r] == i and tree[r] < p for i, p in slots] for r in roots], dtype=float)
+    return _Trees(feature, nodes["threshold"].to_numpy(), left, nodes["path"].to_numpy(), roots, share)
+
+
+def _path_sums(x: np.ndarray, trees: _Trees, cells: int = 1_000_000) -> np.ndarray:
+    """Path lengths summed per slot (rows x slots); many trees are walked at once, in pieces of bounded size."""
+    sums = np.zeros((len(x), trees.share.shape[1]))
+    step = max(1, cells // max(len(x), 1))
+    for start in range(0, len(trees.roots), step):
+        roots = trees.roots[start:start + step]
+        at = np.tile(roots, len(x))
+        row = np.repeat(np.arange(len(x)), len(roots))
+        walking = np.flatnonzero(trees.feature[at] >= 0)
+        while len(walking):
+            here = at[walking]
+            to = trees.left[here] + (x[row[walking], trees.feature[here]] > trees.threshold[here])
+            at[walking] = to
+            walking = walking[trees.feature[to] >= 0]
+        sums += trees.path[at].reshape(len(x), len(roots)) @ trees.share[start:start + step]
+    return sums
 
 
 def score_forests(packed: DataFrame, forests: Forests, prefixes: Sequence[int] | None = None,
@@ -343,18 +371,13 @@ def score_forests(packed: DataFrame, forests: Forests, prefixes: Sequence[int] |
     summed = packed.withColumn("sums", F.array(*[F.lit(0.0)] * len(slots)))
     for block in blocks:
         picked = forests.nodes.filter(_between(block))
-        shared = spark.sparkContext.broadcast(_arrays(picked.toPandas()))
+        shared = spark.sparkContext.broadcast(_flatten(picked.toPandas(), slots))
 
         def walk(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            trees = shared.value
             for pdf in batches:
                 if len(pdf):
-                    x, sums = np.stack(pdf["vec"].to_numpy()), np.stack(pdf["sums"].to_numpy()).copy()
-                    for (spec, t), tree in trees.items():
-                        hit = [j for j, (i, p) in enumerate(slots) if i == spec and t < p]
-                        if hit:
-                            sums[:, hit] += _paths(x, tree)[:, None]
-                    pdf = pdf.assign(sums=list(sums))
+                    x, sums = np.stack(pdf["vec"].to_numpy()), np.stack(pdf["sums"].to_numpy())
+                    pdf = pdf.assign(sums=list(sums + _path_sums(x, shared.value)))
                 yield pdf
 
         summed = summed.mapInPandas(walk, summed.schema)
