@@ -17,18 +17,26 @@ from pyspark.sql import types as T
 
 from seriesmith.functions.expressions import binary_target, pair_differences
 from seriesmith.functions.statistics import constant_flag, safe_corr, strict_slope
-from seriesmith.operators.ordered import join_null_safe, ordered_columns
+from seriesmith.operators.ordered import LargeKeys, join_null_safe, ordered_columns
 
 STATISTICS = ("mean", "std", "min", "max")
 SPECTRUM = ("total_power", "dominant_power_ratio", "spectral_entropy")
 
 
+def as_doubles(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    types = dict(df.dtypes)
+    return [F.col(c) if types.get(c) == "double" else F.col(c).cast("double").alias(c) for c in columns]
+
+
 def to_long(df: DataFrame, keep: Sequence[str], signals: Sequence[str], name: str = "signal",
             value: str = "value") -> DataFrame:
-    """Selected signals in tall form, NULL values kept."""
-    return df.select(*keep, *[F.col(s).cast("double").alias(s) for s in signals]).unpivot(
-        list(keep), list(signals), name, value
-    )
+    """Selected signals in tall form, NULL values kept.
+
+    One array per row is exploded; the plan stays small for hundreds of columns.
+    """
+    tall = df.select(*keep, F.posexplode(F.array(*as_doubles(df, signals))).alias("__i", value))
+    names = F.array(*[F.lit(s) for s in signals])
+    return tall.select(*keep, F.get(names, F.col("__i")).alias(name), value)
 
 
 def window_stats(df: DataFrame, keys: Sequence[str], signals: Sequence[str], size: int = 60,
@@ -238,13 +246,14 @@ def pivot_frequency(long: DataFrame, keys: Sequence[str], signals: Sequence[str]
 
 
 def temporal_features(wide: DataFrame, keys: Sequence[str], features: Sequence[str], window: str = "window",
-                      max_rows: int | None = None) -> DataFrame:
+                      max_rows: int | None = None, large: LargeKeys | None = None) -> DataFrame:
     """Previous existing window's value and the change to it for every feature.
 
-    All features travel as one struct, so there is a single lag per row whatever the number of features.
+    All features travel as one struct, so there is a single lag per row whatever the number of features. ``large``
+    (from the series the windows were cut from) spares counting windows per key.
     """
     packed = F.struct(*features)
-    lagged = ordered_columns(wide, keys, [window], lags={"__prev": packed}, max_rows=max_rows)
+    lagged = ordered_columns(wide, keys, [window], lags={"__prev": packed}, max_rows=max_rows, large=large)
     previous = {f"{f}_prev": F.col(f"__prev.{f}") for f in features}
     deltas = {f"{f}_delta": F.col(f) - F.col(f"__prev.{f}") for f in features}
     return lagged.select(*wide.columns, *[e.alias(n) for n, e in {**previous, **deltas}.items()])
@@ -252,7 +261,7 @@ def temporal_features(wide: DataFrame, keys: Sequence[str], features: Sequence[s
 
 def temporal_long(long: DataFrame, keys: Sequence[str], name: str = "feature", value: str = "value",
                   window: str = "window", max_rows: int | None = None) -> DataFrame:
-    """The same on a tall feature table: key grows by the feature name."""
+    """The same on a tall feature table: the key grows by the feature name."""
     lagged = ordered_columns(long, [*keys, name], [window], lags={"prev": F.col(value)}, max_rows=max_rows)
     return lagged.withColumn("delta", F.col(value) - F.col("prev"))
 

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesmith.operators.features import as_doubles
 from seriesmith.session import pin
 
 NODE_SCHEMA = ("spec int, tree int, node long, depth int, feature int, threshold double, size long, path double")
@@ -127,8 +128,8 @@ def grow(x: np.ndarray, spec: ForestSpec, tree: int, root: int, depth: int, limi
 
 
 def pack(df: DataFrame, keys: Sequence[str], features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Row key, kept columns and the features as one vector (missing values must be imputed before)."""
-    return df.select(*keys, *keep, F.array(*[F.col(f).cast("double") for f in features]).alias("vec"))
+    """Row key, kept columns and the features as one vector (missing values must be filled before scoring)."""
+    return df.select(*keys, *keep, F.array(*as_doubles(df, features)).alias("vec"))
 
 
 def _sampled_trees(seed: int, n_trees: int, keys: Sequence[str], share: float) -> Column:
@@ -370,8 +371,8 @@ def score_forests(packed: DataFrame, forests: Forests, prefixes: Sequence[int] |
 
     summed = packed.withColumn("sums", F.array(*[F.lit(0.0)] * len(slots)))
     for block in blocks:
-        picked = forests.nodes.filter(_between(block))
-        shared = spark.sparkContext.broadcast(_flatten(picked.toPandas(), slots))
+        picked = _of_block(forests.nodes, block, huge)
+        shared = spark.sparkContext.broadcast(_flatten(picked.toArrow().to_pandas(), slots))
 
         def walk(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -394,13 +395,15 @@ def score_forests(packed: DataFrame, forests: Forests, prefixes: Sequence[int] |
     return tall.select(*keep, "spec", "n_trees", score.alias("score"))
 
 
-def _between(block: list[tuple[int, int]]) -> Column:
-    """Trees of a block as ranges per spec (blocks are cut from a sorted list)."""
-    out = F.lit(False)
+def _of_block(nodes: DataFrame, block: list[tuple[int, int]], huge: set[tuple[int, int]]) -> DataFrame:
+    """Nodes of a block's trees; a block is a run of the sorted tree list, so one range per spec names it."""
+    cond = F.lit(False)
     for spec in sorted({s for s, _ in block}):
         trees = [t for s, t in block if s == spec]
-        out = out | ((F.col("spec") == spec) & F.col("tree").isin(trees))
-    return out
+        cond = cond | ((F.col("spec") == spec) & F.col("tree").between(min(trees), max(trees)))
+    for spec, tree in sorted(huge):
+        cond = cond & ~((F.col("spec") == spec) & (F.col("tree") == tree))
+    return nodes.filter(cond)
 
 
 def _walk_by_joins(packed, keep, forests, huge, slots):

@@ -33,20 +33,21 @@ def distinct_counts(df: DataFrame, **keys: Sequence[str]) -> DataFrame:
 def missing_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: rows, missing values, missing fraction and infinite values.
 
-    One (column, missing, infinite) row per cell, reduced on the map side to one row per column and task.
+    One (column number, missing, infinite) row per cell, reduced on the map side to one row per column and task.
     """
     types = dict(df.dtypes)
 
-    def cell(c: str) -> Column:
-        numeric = types[c] in ("double", "float")
-        infinite = F.coalesce(F.abs(F.col(c)) == float("inf"), F.lit(False)) if numeric else F.lit(False)
-        return F.struct(F.lit(c).alias("column"), F.col(c).isNull().alias("m"), infinite.alias("i"))
+    def cell(c: str) -> str:
+        infinite = f"coalesce(abs(`{c}`) = double('inf'), false)" if types[c] in ("double", "float") else "false"
+        return f"struct(`{c}` IS NULL AS m, {infinite} AS i)"
 
+    cells = df.select(F.expr(f"posexplode(array({', '.join(cell(c) for c in columns)}))").alias("i", "c"))
+    names = F.array(*[F.lit(c) for c in columns])
     return (
-        df.select(F.inline(F.array(*[cell(c) for c in columns])))
-        .groupBy("column")
-        .agg(F.count("*").alias("n_rows"), F.count_if("m").alias("n_missing"), F.count_if("i").alias("n_infinite"))
-        .withColumn("missing_fraction", F.try_divide(F.col("n_missing").cast("double"), F.col("n_rows")))
+        cells.groupBy("i")
+        .agg(F.count("*").alias("n_rows"), F.count_if("c.m").alias("n_missing"), F.count_if("c.i").alias("n_infinite"))
+        .select(F.get(names, F.col("i")).alias("column"), "n_rows", "n_missing", "n_infinite",
+                F.try_divide(F.col("n_missing").cast("double"), F.col("n_rows")).alias("missing_fraction"))
     )
 
 
@@ -98,6 +99,12 @@ def impute(df: DataFrame, medians_table: DataFrame, features: Sequence[str]) ->
     return df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(table.get(f))) for f in features})
 
 
+def impute_vector(vector: str, table: Sequence[float]) -> Column:
+    """The same on a feature vector, given the medians in feature order."""
+    medians_array = F.array(*[F.lit(m) for m in table])
+    return F.transform(F.col(vector), lambda x, i: F.coalesce(x, F.get(medians_array, i)))
+
+
 def column_summary(df: DataFrame, columns: Sequence[str], max_rows: int | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max per column, all exact."""
     long = to_long(df, [], columns, "column", "value")

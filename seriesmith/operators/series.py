@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesmith.functions.expressions import ordered_select
 from seriesmith.operators.cleaning import repair_scales
-from seriesmith.operators.ordered import find_large_keys, join_null_safe, ordered_columns, row_position
+from seriesmith.operators.ordered import LargeKeys, find_large_keys, join_null_safe, ordered_columns, row_position
 
 
 def join_modalities(actuators: DataFrame, labels: DataFrame, sensors: DataFrame,
@@ -82,12 +82,12 @@ def window_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Co
 
 
 def position_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], size: int = 60,
-                     max_rows: int | None = None) -> DataFrame:
+                     max_rows: int | None = None, large: LargeKeys | None = None) -> DataFrame:
     """Windows of ``size`` consecutive rows for series without a clock: adds window, position, window_rows.
 
     Window k is complete exactly when ``window_rows == size``. A group has at most ``size`` rows.
     """
-    out = row_position(df, keys, order, "__row", max_rows=max_rows)
+    out = row_position(df, keys, order, "__row", max_rows=max_rows, large=large)
     out = out.withColumns({
         "window": F.floor(F.col("__row") / size).cast("int"),
         "position": F.pmod(F.col("__row"), F.lit(size)),

@@ -63,10 +63,12 @@ def prepare(name: str, data: Dataset, keys: Sequence[str], target: str, keep: Se
     profile.check_infinite(union_all([parts["validation"], parts["final_test"]]), kept)
     medians = pin(profile.medians(train, kept))
     meta = [c for c in (target, *keep) if c in data.table.columns]
+    known = {r["feature"]: r["median"] for r in medians.collect()}
     packed, sizes = {}, {}
     tasks = fo.parallelism(data.table.sparkSession)
     for p, df in parts.items():
-        packed[p] = pin(fo.pack(profile.impute(df, medians, kept), keys, kept, meta))
+        vectors = fo.pack(df, keys, kept, meta)
+        packed[p] = pin(vectors.withColumn("vec", profile.impute_vector("vec", [known[f] for f in kept])))
         sizes[p] = packed[p].count()
         if sizes[p] < SMALL_PART_ROWS * tasks:
             # Scoring costs far more than reading, so few rows are still spread over all tasks.

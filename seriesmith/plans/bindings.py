@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesmith.operators.ordered import LargeKeys, find_large_keys
 from seriesmith.operators.series import position_windows
 from seriesmith.plans.registry import load
 
@@ -37,6 +38,11 @@ def windowed(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
     return position_windows(series(spark, sf_dir), KEYS, ORDER, size)
 
 
+def large_by_windows(spark: SparkSession, sf_dir: str, size: int = SIZE) -> LargeKeys:
+    """Entities with too many windows for one task, from the row counts."""
+    return find_large_keys(series(spark, sf_dir), KEYS, weight=F.lit(1.0 / size))
+
+
 SERIES_SQL = """
 s AS (
   SELECT l_suppkey AS entity, l_shipdate AS shipdate, l_orderkey AS orderkey, l_linenumber AS linenumber,

@@ -8,7 +8,7 @@ from seriesmith.operators import features as ft
 from seriesmith.operators import joins, metrics, profile, split
 from seriesmith.plans.bindings import KEYS, SIGNALS, SIZE, STATS_SQL, series, windowed, windows_sql
 from seriesmith.plans.registry import load, query, rounded
-from seriesmith.plans.window_queries import WIDE_CTE, WIDE_NAMES, _exact, wide_features
+from seriesmith.plans.window_queries import WIDE_CTE, WIDE_NAMES, _exact, temporal_table, wide_features
 
 MODEL = ["model"]
 
@@ -305,7 +305,7 @@ SELECT entity, "window", round(coalesce(quantity_mean_prev, q), 7) + 0.0 AS quan
 def median_impute(spark, sf_dir):
     """Previous-window features; the missing first windows are filled with the medians of the training entities."""
     base = ["quantity_mean", "price_mean", "price_std"]
-    temporal = ft.temporal_features(wide_features(spark, sf_dir).select("entity", "window", *base), KEYS, base)
+    temporal = temporal_table(spark, sf_dir, base)
     train = temporal.filter(F.col("entity") % 3 != 0)
     kept = profile.kept_features(train, IMPUTED)
     out = profile.impute(temporal.select("entity", "window", *kept), profile.medians(train, kept), kept)
@@ -328,7 +328,7 @@ WITH {windows_sql()}, f AS (SELECT DISTINCT entity, "window" FROM w)
 SELECT 'entities' AS item, count(DISTINCT entity) AS n FROM f UNION ALL SELECT 'violations', CAST(0 AS BIGINT)""")
 def temporal_violations(spark, sf_dir):
     base = ["quantity_mean", "price_mean"]
-    temporal = ft.temporal_features(wide_features(spark, sf_dir).select("entity", "window", *base), KEYS, base)
+    temporal = temporal_table(spark, sf_dir, base)
     bad = profile.temporal_violations(temporal, KEYS, base).agg(F.lit("violations").alias("item"), F.count("*").alias("n"))
     known = temporal.groupBy("entity").count().agg(F.lit("entities").alias("item"), F.count("*").alias("n"))
     return known.unionByName(bad)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesmith.operators import features as ft
 from seriesmith.plans.bindings import (
-    CORR_SQL, DIFF_SQL, FREQ_SQL, KEYS, PAIRS, SIGNALS, SIZE, STATS_SQL, windowed, windows_sql,
+    CORR_SQL, DIFF_SQL, FREQ_SQL, KEYS, PAIRS, SIGNALS, SIZE, STATS_SQL, large_by_windows, windowed, windows_sql,
 )
 from seriesmith.plans.registry import query, rounded
 
@@ -123,7 +123,12 @@ def _exact(sql):
 
 @query("temporal_features", f"{_exact(WIDE_CTE)}, {_temporal_sql(WIDE_NAMES)} SELECT * FROM tmp")
 def temporal_features(spark, sf_dir):
-    return rounded(ft.temporal_features(wide_features(spark, sf_dir), KEYS, WIDE_NAMES), 7, *TEMPORAL_NAMES)
+    return rounded(temporal_table(spark, sf_dir), 7, *TEMPORAL_NAMES)
+
+
+def temporal_table(spark, sf_dir, names=WIDE_NAMES):
+    wide = wide_features(spark, sf_dir).select(*KEYS, "window", *names)
+    return ft.temporal_features(wide, KEYS, names, large=large_by_windows(spark, sf_dir))
 
 
 @query("temporal_long", f"""
@@ -158,6 +163,6 @@ def ml_features(spark, sf_dir):
 
 
 def ml_table(spark, sf_dir):
-    temporal = ft.temporal_features(wide_features(spark, sf_dir), KEYS, WIDE_NAMES)
+    temporal = temporal_table(spark, sf_dir)
     tall = ft.frequency_features(complete(spark, sf_dir), KEYS, SIGNALS, SIZE)
     return ft.ml_features(temporal, ft.pivot_frequency(tall, KEYS, SIGNALS), KEYS)
