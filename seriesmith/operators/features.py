@@ -34,9 +34,17 @@ def to_long(df: DataFrame, keep: Sequence[str], signals: Sequence[str], name: st
 
     One array per row is exploded; the plan stays small for hundreds of columns.
     """
-    tall = df.select(*keep, F.posexplode(F.array(*as_doubles(df, signals))).alias("__i", value))
-    names = F.array(*[F.lit(s) for s in signals])
-    return tall.select(*keep, F.get(names, F.col("__i")).alias(name), value)
+    tall = _numbered(df, keep, signals, value)
+    return tall.select(*keep, _name(signals).alias(name), value)
+
+
+def _numbered(df: DataFrame, keep: Sequence[str], signals: Sequence[str], value: str = "value") -> DataFrame:
+    """Tall form with the signal as its number ``__i``: cheaper to group by than its name."""
+    return df.select(*keep, F.posexplode(F.array(*as_doubles(df, signals))).alias("__i", value))
+
+
+def _name(signals: Sequence[str]) -> Column:
+    return F.get(F.array(*[F.lit(s) for s in signals]), F.col("__i"))
 
 
 def window_stats(df: DataFrame, keys: Sequence[str], signals: Sequence[str], size: int = 60,
@@ -47,8 +55,8 @@ def window_stats(df: DataFrame, keys: Sequence[str], signals: Sequence[str], siz
     """
     v = F.col("value")
     return (
-        to_long(df, [*keys, window, position], signals)
-        .groupBy(*keys, window, "signal")
+        _numbered(df, [*keys, window, position], signals)
+        .groupBy(*keys, window, "__i")
         .agg(
             F.count("*").alias("__n"),
             F.avg(v).alias("mean"),
@@ -59,6 +67,8 @@ def window_stats(df: DataFrame, keys: Sequence[str], signals: Sequence[str], siz
             *([constant_flag(v).alias("constant")] if constants else []),
         )
         .filter(F.col("__n") == size)
+        .withColumn("__i", _name(signals))
+        .withColumnRenamed("__i", "signal")
         .drop("__n")
     )
 
@@ -66,10 +76,12 @@ def window_stats(df: DataFrame, keys: Sequence[str], signals: Sequence[str], siz
 def window_constants(df: DataFrame, keys: Sequence[str], signals: Sequence[str], size: int = 60,
                      window: str = "window") -> DataFrame:
     return (
-        to_long(df, [*keys, window], signals)
-        .groupBy(*keys, window, "signal")
+        _numbered(df, [*keys, window], signals)
+        .groupBy(*keys, window, "__i")
         .agg(F.count("*").alias("__n"), constant_flag(F.col("value")).alias("constant"))
         .filter(F.col("__n") == size)
+        .withColumn("__i", _name(signals))
+        .withColumnRenamed("__i", "signal")
         .drop("__n")
     )
 
@@ -77,16 +89,15 @@ def window_constants(df: DataFrame, keys: Sequence[str], signals: Sequence[str],
 def window_correlations(df: DataFrame, keys: Sequence[str], signals: Sequence[str], size: int = 60,
                         window: str = "window") -> DataFrame:
     """Pearson correlation of every unordered pair of signals (pairs of columns, not of rows)."""
-    pairs = F.array(*[
-        F.struct(F.lit(f"{a}_{b}").alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for a, b in combinations(signals, 2)
-    ])
+    x = dict(zip(signals, as_doubles(df, signals)))
+    couples = list(combinations(signals, 2))
+    pairs = F.array(*[F.struct(x[a].alias("x"), x[b].alias("y")) for a, b in couples])
     return (
-        df.select(*keys, window, F.inline(pairs))
-        .groupBy(*keys, window, "pair")
-        .agg(F.count("*").alias("__n"), safe_corr(F.col("x"), F.col("y")).alias("corr"))
+        df.select(*keys, window, F.posexplode(pairs).alias("__i", "p"))
+        .groupBy(*keys, window, "__i")
+        .agg(F.count("*").alias("__n"), safe_corr(F.col("p.x"), F.col("p.y")).alias("corr"))
         .filter(F.col("__n") == size)
-        .drop("__n")
+        .select(*keys, window, _name([f"{a}_{b}" for a, b in couples]).alias("pair"), "corr")
     )
 
 

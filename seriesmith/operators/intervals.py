@@ -43,21 +43,22 @@ def segments(intervals: DataFrame, keys: Sequence[str], low: str, high: str, pri
         (F.length(F.bin(F.col(high).cast("long") - F.col(low).cast("long") + 1)) - 1).alias("__top"),
     )
     cells = _pieces(valid).groupBy(*keys, "level", "cell").agg(F.max_by("__w", F.col("__w.p")).alias("__w"))
-    # Every point where the answer may change, with the largest cell size its key can have.
-    points = valid.select(*keys, F.explode(F.array(F.col("__low"), F.col("__high") + 1)).alias("start"))
+    # Every point where the answer may change, looked up in the enclosing cell of every size its key has.
+    points = valid.select(*keys, F.explode(F.array(F.col("__low"), F.col("__high") + 1)).alias("start")).distinct()
     tops = valid.groupBy(*keys).agg(F.max("__top").alias("__top"))
     lookups = (
-        join_null_safe(points.distinct(), tops, keys, "inner")
+        join_null_safe(points, tops, keys, "inner")
         .withColumn("level", F.explode(F.sequence(F.lit(0), F.col("__top"))))
         .withColumn("cell", F.expr("shiftright(start, level)"))
         .drop("__top")
     )
-    return (
-        join_null_safe(lookups, cells, [*keys, "level", "cell"], "left")
+    covered = (
+        join_null_safe(lookups, cells, keys, "inner", ["level", "cell"])
         .groupBy(*keys, "start")
         .agg(F.max_by("__w", F.col("__w.p")).alias("__w"))
-        .select(*keys, "start", F.col("__w.v").alias("winner"))
     )
+    return join_null_safe(points, covered, keys, "left", ["start"]).select(
+        *keys, "start", F.col("__w.v").alias("winner"))
 
 
 def apply_segments(df: DataFrame, keys: Sequence[str], time: str, layers: Mapping[str, DataFrame],

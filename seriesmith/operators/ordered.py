@@ -25,16 +25,17 @@ def max_rows_per_key(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("seriesmith.maxRowsPerKey", str(MAX_ROWS_PER_KEY)))
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
+                   plain: Sequence[str] = ()) -> DataFrame:
+    """Equi-join that also matches NULL keys and keeps the left side's key columns only.
 
-
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi-join that also matches NULL keys and keeps the left side's key columns only."""
-    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    ``plain`` names further key columns that are never NULL.
+    """
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in [*keys, *plain]})
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+                  + [F.col(k) == F.col(f"__r_{k}") for k in plain])
     joined = left.join(renamed, cond, how)
-    return joined.drop(*[f"__r_{k}" for k in keys])
+    return joined.drop(*[f"__r_{k}" for k in [*keys, *plain]])
 
 
 @dataclass(frozen=True)
@@ -48,13 +49,15 @@ class LargeKeys:
 
 
 def find_large_keys(df: DataFrame, keys: Sequence[str], max_rows: int | None = None,
-                    weight: Column | None = None) -> LargeKeys:
+                    weight: Column | None = None, at_most: int | None = None) -> LargeKeys:
     """Count rows per key (pre-aggregated, key columns only) and keep the keys above the limit.
 
     The list has at most total rows / limit entries. One result serves every ordered pass over rows whose number
-    per key does not grow.
+    per key does not grow. A caller that knows no key has more than ``at_most`` rows may spare the count.
     """
     limit = max_rows or max_rows_per_key(df)
+    if at_most is not None and at_most <= limit:
+        return LargeKeys(limit, 0, 0, None)
     size = F.count("*") if weight is None else F.sum(weight)
     large = df.groupBy(*keys).agg(size.alias("count")).filter(F.col("count") > limit)
     n_keys, n_rows = large.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()

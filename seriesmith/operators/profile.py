@@ -65,16 +65,18 @@ def check_infinite(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float],
-                    max_rows: int | None = None) -> DataFrame:
+                    max_rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, NULLs skipped: columns ``q0``, ``q1`` ... per probability.
 
-    Values are counted first and ranked by a running sum, so no task ever holds all values of a key.
+    Values are counted first and ranked by a running sum, so no task ever holds all values of a key. ``at_most`` is
+    an upper bound of the rows per key, if the caller knows one.
     """
     present = long.filter(F.col(value).isNotNull())
     counts = present.groupBy(*keys, value).agg(F.count("*").alias("__c"))
     ranked = ordered_columns(counts, keys, [value], sums={"__upto": F.col("__c")},
-                             large=find_large_keys(present, keys, max_rows))
-    totals = present.groupBy(*keys).agg(F.count("*").alias("__n"))
+                             large=find_large_keys(present, keys, max_rows, at_most=at_most))
+    # The totals come from the same counts, so both branches share one shuffle of the input.
+    totals = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     joined = join_null_safe(ranked, totals, keys, "inner")
     cells, out = [], []
     for i, p in enumerate(probabilities):
@@ -87,10 +89,11 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, probabilit
     return joined.groupBy(*keys, "__n").agg(*cells).select(*keys, *out)
 
 
-def medians(df: DataFrame, features: Sequence[str], max_rows: int | None = None) -> DataFrame:
-    """Exact median per feature: (feature, median)."""
+def medians(df: DataFrame, features: Sequence[str], max_rows: int | None = None,
+            at_most: int | None = None) -> DataFrame:
+    """Exact median per feature: (feature, median). ``at_most`` bounds the rows of ``df`` if known."""
     long = to_long(df, [], features, "feature", "value")
-    return exact_quantiles(long, ["feature"], "value", [0.5], max_rows).withColumnRenamed("q0", "median")
+    return exact_quantiles(long, ["feature"], "value", [0.5], max_rows, at_most).withColumnRenamed("q0", "median")
 
 
 def impute(df: DataFrame, medians_table: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -105,14 +108,15 @@ def impute_vector(vector: str, table: Sequence[float]) -> Column:
     return F.transform(F.col(vector), lambda x, i: F.coalesce(x, F.get(medians_array, i)))
 
 
-def column_summary(df: DataFrame, columns: Sequence[str], max_rows: int | None = None) -> DataFrame:
+def column_summary(df: DataFrame, columns: Sequence[str], max_rows: int | None = None,
+                   at_most: int | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max per column, all exact."""
     long = to_long(df, [], columns, "column", "value")
     v = F.col("value")
     base = long.groupBy("column").agg(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"), F.max(v).alias("max"))
-    quarts = exact_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75], max_rows)
+    quarts = exact_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75], max_rows, at_most)
     return join_null_safe(base, quarts, ["column"]).withColumnsRenamed({"q0": "q25", "q1": "q50", "q2": "q75"})
 
 

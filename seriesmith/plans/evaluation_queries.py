@@ -278,13 +278,15 @@ def _summary_sql(c):
 @query("column_summary", "WITH s AS (SELECT l_quantity AS quantity, l_extendedprice / 1000 AS price, l_discount AS discount, "
        "l_tax AS tax FROM lineitem) " + " UNION ALL ".join(_summary_sql(c) for c in SIGNALS))
 def column_summary(spark, sf_dir):
-    out = profile.column_summary(series(spark, sf_dir), SIGNALS)
+    rows = load(spark, sf_dir, "lineitem").count()
+    out = profile.column_summary(series(spark, sf_dir), SIGNALS, at_most=rows)
     return rounded(out, 7, "mean", "std", "q25", "q50", "q75")
 
 
 @query("feature_medians", _exact(WIDE_CTE) + "\n" + " UNION ALL ".join(f"SELECT '{n}' AS feature, round(median({n}), 7) + 0.0 AS median FROM wide" for n in WIDE_NAMES))
 def feature_medians(spark, sf_dir):
-    return rounded(profile.medians(wide_features(spark, sf_dir), WIDE_NAMES), 7, "median")
+    windows = load(spark, sf_dir, "lineitem").count() // SIZE
+    return rounded(profile.medians(wide_features(spark, sf_dir), WIDE_NAMES, at_most=windows), 7, "median")
 
 
 IMPUTED = ["quantity_mean_prev", "price_mean_prev", "price_std_prev"]
