@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesmith.functions.expressions import repair_scale
 from seriesmith.operators.ordered import (
-    LargeKeys, find_large_keys, join_null_safe, ordered_columns, row_position, run_ids,
+    LargeKeys, find_large_keys, join_null_safe, join_per_key, ordered_columns, row_position, run_ids,
 )
 
 
@@ -128,7 +128,7 @@ def split_phases(df: DataFrame, keys: Sequence[str], order: Sequence[str], activ
     large = find_large_keys(df, keys, max_rows)
     indexed = row_position(df, keys, order, "position", large=large)
     bounds = phase_boundaries(indexed, keys, order, active, mask, longer_than, large=large)
-    joined = join_null_safe(indexed, bounds, keys, "inner")
+    joined = join_per_key(indexed, bounds, keys, large, "inner")
     p, s, d = F.col("position"), F.col("startup_position"), F.col("operation_position")
     cut = F.col("shutdown_position") - 2
     phases = F.array(

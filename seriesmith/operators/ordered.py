@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from seriesmith.session import pin
 
 MAX_ROWS_PER_KEY = 5_000_000
+MAX_SHARED_KEYS = 500_000
 
 
 def max_rows_per_key(df: DataFrame) -> int:
@@ -47,6 +48,10 @@ class LargeKeys:
     rows: int
     marks: DataFrame | None
 
+    def shared(self, table: DataFrame) -> DataFrame:
+        """Broadcast a table with one row per large key; the counted number of keys is checked first."""
+        return F.broadcast(table) if self.keys <= MAX_SHARED_KEYS else table
+
 
 def find_large_keys(df: DataFrame, keys: Sequence[str], max_rows: int | None = None,
                     weight: Column | None = None, at_most: int | None = None) -> LargeKeys:
@@ -65,6 +70,21 @@ def find_large_keys(df: DataFrame, keys: Sequence[str], max_rows: int | None = N
     return LargeKeys(limit, int(n_keys), int(n_rows), marks)
 
 
+def join_per_key(df: DataFrame, table: DataFrame, keys: Sequence[str], large: LargeKeys,
+                 how: str = "left") -> DataFrame:
+    """Join a table with one row per key to a long one. Rows of large keys are not shuffled by their key."""
+    if large.marks is None:
+        return join_null_safe(df, table, keys, how)
+    marked = join_null_safe(df, large.shared(large.marks), keys)
+    few = large.shared(join_null_safe(table, large.marks, keys, "left_semi"))
+    small = join_null_safe(marked.filter(F.col("__large").isNull()).drop("__large"), table, keys, how)
+    return small.unionByName(join_null_safe(marked.filter("__large").drop("__large"), few, keys, how))
+
+
+def without_large(df: DataFrame, keys: Sequence[str], large: LargeKeys) -> DataFrame:
+    return df if large.marks is None else join_null_safe(df, large.shared(large.marks), keys, "left_anti")
+
+
 def _sort_columns(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c).asc() if isinstance(c, str) else c for c in order]
 
@@ -98,7 +118,7 @@ def ordered_columns(
     if large.marks is None:
         return _within(df, keys, order, position, sums, lags, last, following)
 
-    marked = join_null_safe(df, large.marks, keys)
+    marked = join_null_safe(df, large.shared(large.marks), keys)
     small = marked.filter(F.col("__large").isNull()).drop("__large")
     blocks = max(2, -(-2 * large.rows // large.limit))
     # The range shuffle samples its bounds, so the block ids are written down before they are used twice.

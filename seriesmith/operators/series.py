@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from seriesmith.functions.expressions import ordered_select
 from seriesmith.operators.cleaning import repair_scales
-from seriesmith.operators.ordered import LargeKeys, find_large_keys, join_null_safe, ordered_columns, row_position
+from seriesmith.operators.ordered import (
+    LargeKeys, find_large_keys, join_null_safe, join_per_key, max_rows_per_key, ordered_columns, row_position,
+    without_large,
+)
 
 
 def join_modalities(actuators: DataFrame, labels: DataFrame, sensors: DataFrame,
@@ -46,10 +49,12 @@ def elapsed_time(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     return ordered_columns(stepped, keys, order, sums={name: F.col(step)}, large=large).drop(step, "__prev")
 
 
-def elapsed_since_first(df: DataFrame, keys: Sequence[str], seconds: str, name: str = "elapsed_time") -> DataFrame:
+def elapsed_since_first(df: DataFrame, keys: Sequence[str], seconds: str, name: str = "elapsed_time",
+                        max_rows: int | None = None) -> DataFrame:
     """Time since the earliest row of the key: one small aggregate joined back, no sort."""
     first = df.groupBy(*keys).agg(F.min(seconds).alias("__first"))
-    return join_null_safe(df, first, keys).withColumn(name, F.col(seconds) - F.col("__first")).drop("__first")
+    joined = join_per_key(df, first, keys, find_large_keys(df, keys, max_rows))
+    return joined.withColumn(name, F.col(seconds) - F.col("__first")).drop("__first")
 
 
 def tumbling_windows(df: DataFrame, elapsed: str = "elapsed_time", size: int = 60) -> DataFrame:
@@ -64,14 +69,18 @@ def phase_filter(df: DataFrame, phase: str = "operation", column: str = "phase")
     return df.filter(F.lower(F.col(column)) == phase.lower())
 
 
-def complete_windows(df: DataFrame, keys: Sequence[str], size: int = 60, window: str = "window") -> DataFrame:
+def complete_windows(df: DataFrame, keys: Sequence[str], size: int = 60, window: str = "window",
+                     max_rows: int | None = None) -> DataFrame:
     """Rows of the windows that hold exactly ``size`` rows.
 
-    The count is pre-aggregated before its shuffle, so a window of any length costs one row per task.
+    The count is pre-aggregated before its shuffle. Windows too long for one task cannot be complete, so their rows
+    leave before the others are shuffled.
     """
     group = [*keys, window]
+    limit = max(size, max_rows or max_rows_per_key(df))
     full = df.groupBy(*group).count().filter(F.col("count") == size).select(*group)
-    return join_null_safe(df, full, group, "left_semi")
+    rest = without_large(df, group, find_large_keys(df, group, limit))
+    return join_null_safe(rest, full, group, "left_semi")
 
 
 def window_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], window: str = "window",

@@ -17,8 +17,9 @@ def make(spark, windows):
 
 def test_only_complete_windows_stay(spark):
     df = make(spark, {("a", 0): [1.0] * 59, ("a", 1): [1.0, 2.0] * 30, ("a", 2): [1.0] * 61})
-    full = series.complete_windows(df, ["entity"], 60)
-    assert {r["window"] for r in full.select("window").distinct().collect()} == {1}
+    for max_rows in (None, 60):
+        full = series.complete_windows(df, ["entity"], 60, max_rows=max_rows)
+        assert {r["window"] for r in full.select("window").distinct().collect()} == {1} and full.count() == 60
     assert {r["window"] for r in ft.window_stats(df, ["entity"], ["x"], 60).collect()} == {1}
 
 
@@ -131,3 +132,11 @@ def test_operation_data(spark):
     got = sorted((r["window"], r["window_start"], r["window_end"], r["T701"])
                  for r in series.operation_data(df, ["T701"], large=["T701"]).collect())
     assert got == [(0, 0, 60, 0.8), (1, 60, 120, 20.0)]
+
+
+@pytest.mark.parametrize("max_rows", [2, 100])
+def test_elapsed_since_first(spark, max_rows):
+    df = spark.createDataFrame([("a", 5), ("a", 3), ("a", 9), ("b", 7), (None, 4), (None, 6)], "e string, t int")
+    out = series.elapsed_since_first(df, ["e"], "t", max_rows=max_rows)
+    got = sorted((r["e"] or "", r["t"], r["elapsed_time"]) for r in out.collect())
+    assert got == [("", 4, 0), ("", 6, 2), ("a", 3, 0), ("a", 5, 2), ("a", 9, 6), ("b", 7, 0)]
