@@ -213,6 +213,20 @@ def unflatten_window(wide: DataFrame, keys: Sequence[str], window: str = "window
     )
 
 
+def window_series(wide: DataFrame, keys: Sequence[str], values: Sequence, number: int,
+                  window: str = "window") -> DataFrame:
+    """The time series of one window of one entity; the lookup is a plain filter and reaches the Parquet scan."""
+    picked = wide.filter(F.col(window) == number)
+    for k, v in zip(keys, values):
+        picked = picked.filter(F.col(k) == v)
+    return unflatten_window(picked, keys, window).orderBy("signal", "position")
+
+
+def window_list(df: DataFrame, keys: Sequence[str], window: str = "window") -> DataFrame:
+    """Distinct windows in key order."""
+    return df.select(*keys, window).distinct().orderBy(*keys, window)
+
+
 @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in SPECTRUM]))
 def _spectrum(values: pd.Series) -> pd.DataFrame:
     """Power spectrum summary of a batch of complete windows (arrays of equal length, no missing value)."""

@@ -351,3 +351,11 @@ def dataset_summary(spark, sf_dir):
     return profile.dataset_summary(
         {"windows": windows, "entities": parts}, {"windows": ["status", "rare"], "entities": ["experiment_class"]},
         "split", ["train", "validation", "final_test"], 0.5)
+
+
+@query("label_set_overlap", f"""
+WITH {ENTITY_SQL} SELECT entity, coalesce(list_has_any(labels, [2, 3]), false) AS observable FROM ec""")
+def label_set_overlap(spark, sf_dir):
+    """Entities whose label set meets the observable labels."""
+    out = classes(spark, sf_dir)
+    return out.select("entity", split.class_set_overlap(F.col("labels"), F.array(F.lit(2), F.lit(3))).alias("observable"))

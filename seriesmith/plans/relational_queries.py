@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seriesmith.functions import expressions as ex
 from seriesmith.operators import cleaning, joins, model_grid, series
 from seriesmith.plans.registry import load, query, rounded
+from seriesmith.sources.nested import extra_fields
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 LINE_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -88,6 +89,23 @@ def uncertainty(spark, sf_dir):
     return rounded(out.select(*LINE, "uncertainty"), 6, "uncertainty")
 
 
+@query("equipment_attributes", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_type AS kind, CAST(p_size AS DOUBLE) AS percent
+FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand NOT IN ('Brand#1', 'Brand#2')""")
+def equipment_attributes(spark, sf_dir):
+    """Attributes kept as nested JSON per equipment item, read out and attached; excluded makes left out."""
+    def value(c):
+        return F.struct(F.col(c).cast("string").alias("value"))
+
+    part = joins.exclude(load(spark, sf_dir, "part"), "p_brand", ["Brand#1", "Brand#2"])
+    text = F.to_json(F.struct(F.struct(value("p_type").alias("Sensor Type"), value("p_size").alias("Uncertainty Estimation"))
+                              .alias("extra_fields")))
+    spec = extra_fields(part.select(F.col("p_partkey").alias("l_partkey"), text.alias("metadata")), "metadata",
+                        {"kind": "Sensor Type", "percent": "Uncertainty Estimation"})
+    spec = spec.select("l_partkey", "kind", F.col("percent").try_cast("double").alias("percent"))
+    return load(spark, sf_dir, "lineitem").select(*LINE).join(spec, "l_partkey")
+
+
 @query("multi_source_left_join", """
 WITH a AS (SELECT l_orderkey AS identifier, l_linenumber AS "Time", l_quantity AS act FROM lineitem),
 l AS (SELECT l_orderkey AS identifier, l_linenumber AS "Time", CASE l_returnflag WHEN 'A' THEN 1 ELSE 2 END AS lab

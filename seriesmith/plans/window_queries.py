@@ -166,3 +166,9 @@ def ml_table(spark, sf_dir):
     temporal = temporal_table(spark, sf_dir)
     tall = ft.frequency_features(complete(spark, sf_dir), KEYS, SIGNALS, SIZE)
     return ft.ml_features(temporal, ft.pivot_frequency(tall, KEYS, SIGNALS), KEYS)
+
+
+@query("window_list", f"""
+WITH {windows_sql()} SELECT DISTINCT entity, "window" FROM w""")
+def window_list(spark, sf_dir):
+    return ft.window_list(complete(spark, sf_dir), KEYS)

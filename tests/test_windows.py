@@ -140,3 +140,11 @@ def test_elapsed_since_first(spark, max_rows):
     out = series.elapsed_since_first(df, ["e"], "t", max_rows=max_rows)
     got = sorted((r["e"] or "", r["t"], r["elapsed_time"]) for r in out.collect())
     assert got == [("", 4, 0), ("", 6, 2), ("a", 3, 0), ("a", 5, 2), ("a", 9, 6), ("b", 7, 0)]
+
+
+def test_one_window_as_series(spark):
+    df = make(spark, {("a", w): [w * 100 + i for i in range(60)] for w in range(3)})
+    wide = ft.raw_windows(df, ["entity"], ["x", "c"], 60)
+    out = ft.window_series(wide, ["entity"], ["a"], 2).filter("signal = 'x'").collect()
+    assert [(r["position"], r["value"]) for r in out] == [(i, 200.0 + i) for i in range(60)]
+    assert [r["window"] for r in ft.window_list(df, ["entity"]).collect()] == [0, 1, 2]
