@@ -99,9 +99,10 @@ pk AS (SELECT entity, "window", signal, k, any_value(lo) AS lo, any_value(hi) AS
        FROM cen, range(1, 31) AS r(k) GROUP BY entity, "window", signal, k),
 tp AS (SELECT *, sum(power) OVER (PARTITION BY entity, "window", signal) AS total FROM pk),
 fr AS (SELECT entity, "window", signal,
-              CASE WHEN any_value(lo) = any_value(hi) THEN 0.0 ELSE round(sum(power), 6) + 0.0 END AS total_power,
-              CASE WHEN any_value(lo) < any_value(hi) THEN round(max(power / total), 6) + 0.0 END
+              CASE WHEN any_value(lo) = any_value(hi) THEN 0.0 WHEN signal IN ('discount', 'tax') THEN round(sum(power), 8) + 0.0
+                   ELSE round(sum(power), 5) + 0.0 END AS total_power,
+              CASE WHEN any_value(lo) < any_value(hi) THEN round(max(power / total), 8) + 0.0 END
                 AS dominant_power_ratio,
               CASE WHEN any_value(lo) = any_value(hi) THEN 0.0
-                   ELSE round(-sum(power / total * log2(power / total + 1e-12)), 6) + 0.0 END AS spectral_entropy
+                   ELSE round(-sum(power / total * log2(power / total + 1e-12)), 8) + 0.0 END AS spectral_entropy
        FROM tp GROUP BY entity, "window", signal)"""

@@ -146,7 +146,11 @@ def temporal_long(spark, sf_dir):
 WITH {windows_sql()}, {FREQ_SQL}
 SELECT entity, "window", signal, total_power, dominant_power_ratio, spectral_entropy FROM fr""")
 def frequency_features(spark, sf_dir):
-    return rounded(ft.frequency_features(complete(spark, sf_dir), KEYS, SIGNALS, SIZE), 6, *ft.SPECTRUM)
+    out = ft.frequency_features(complete(spark, sf_dir), KEYS, SIGNALS, SIZE)
+    # Digits by the size of the signal: the power of quantity and price is about a million times larger.
+    power, fine = F.col("total_power"), F.col("signal").isin("discount", "tax")
+    out = out.withColumn("total_power", F.when(fine, F.round(power, 8)).otherwise(F.round(power, 5)) + F.lit(0.0))
+    return rounded(out, 8, "dominant_power_ratio", "spectral_entropy")
 
 
 FREQ_NAMES = [f"{m}_{s}" for s in SIGNALS for m in ft.SPECTRUM]
@@ -159,7 +163,9 @@ fw AS (SELECT entity, "window",
 SELECT tmp.*, {", ".join(f"fw.{n}" for n in FREQ_NAMES)}
 FROM tmp JOIN fw ON tmp.entity = fw.entity AND tmp."window" = fw."window" """)
 def ml_features(spark, sf_dir):
-    return rounded(rounded(ml_table(spark, sf_dir), 7, *TEMPORAL_NAMES), 6, *FREQ_NAMES)
+    coarse = ["total_power_quantity", "total_power_price"]
+    out = rounded(rounded(ml_table(spark, sf_dir), 7, *TEMPORAL_NAMES), 5, *coarse)
+    return rounded(out, 8, *[n for n in FREQ_NAMES if n not in coarse])
 
 
 def ml_table(spark, sf_dir):
