@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from seriesmith.session import scratch_path
 
 #: Fixed pattern of a word: a run of bytes other than the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
+SLABS = "slab int, sums binary"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +34,36 @@ def raw(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob; :func:`unpack_arrays` takes their types."""
+    head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+
+
+def unpack_arrays(blob: bytes, *dtypes: str) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    sizes = np.frombuffer(data, "<i8", len(dtypes), 8)
+    ends = np.cumsum(sizes) + 8 * (len(dtypes) + 1)
+    return [np.frombuffer(data[e - n:e], d) for e, n, d in zip(ends.tolist(), sizes.tolist(), dtypes)]
+
+
+def summed(parts: DataFrame) -> np.ndarray:
+    """Element-wise sum of vectors of 64-bit integers that tasks sent in slabs (slab, sums); one vector is collected."""
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b.as_buffer(), np.int64) for b in table.column("sums"))
+        return pa.table({"slab": table.column("slab")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    table = parts.groupBy("slab").applyInArrow(add, SLABS).toArrow()
+    rows = sorted(zip(table.column("slab").to_pylist(), table.column("sums").to_pylist()))
+    return np.frombuffer(b"".join(b for _, b in rows), np.int64)
+
+
+def in_slabs(vector: np.ndarray, slabs: int = 32) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(slabs), pa.int32()),
+         pa.array([v.tobytes() for v in np.array_split(vector.astype(np.int64), slabs)], pa.binary())], ["slab", "sums"])
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import fold, labelled_sample, raw
+from seriesmith.llm.common import SLABS, fold, in_slabs, labelled_sample, raw, summed
 
 #: Word numbers a worker remembers; the memory is emptied when full.
 REMEMBERED = 600_000
@@ -104,7 +104,7 @@ def _add_contexts(total: np.ndarray, found: np.ndarray, index: np.ndarray, windo
     total[:, index.shape[1]] += counts.astype(np.int64)
 
 
-def word_vectors(docs: DataFrame, settings: Settings = Settings(), slabs: int = 32) -> tuple[np.ndarray, np.ndarray]:
+def word_vectors(docs: DataFrame, settings: Settings = Settings()) -> tuple[np.ndarray, np.ndarray]:
     """Word vectors (rows x 2 size) and word counts from all documents.
 
     Every task adds up a table of fixed size, which is summed slab by slab; the driver receives the sum. A vector is the
@@ -127,22 +127,10 @@ def word_vectors(docs: DataFrame, settings: Settings = Settings(), slabs: int =
                     held, size = [], 0
         if held:
             _add_contexts(total, np.concatenate(held), index, s.window)
-        parts = np.array_split(total, slabs)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(slabs), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slab", "sums"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b.as_buffer(), np.int64) for b in table.column("sums"))
-        return pa.table({"slab": table.column("slab")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "slab int, sums binary"
-    tables = docs.select("text").mapInArrow(run, schema).groupBy("slab").applyInArrow(add, schema).toArrow()
-    by_slab = dict(zip(tables.column("slab").to_pylist(), tables.column("sums")))
-    if by_slab:
-        total = np.concatenate([np.frombuffer(by_slab[i].as_buffer(), np.int64) for i in range(slabs)])
-        total = total.reshape(s.rows, s.size + 1).astype(float)
-    else:
-        total = np.zeros((s.rows, s.size + 1))
+        yield in_slabs(total.ravel())
+
+    total = summed(docs.select("text").mapInArrow(run, SLABS))
+    total = (total if len(total) else np.zeros(s.rows * (s.size + 1))).reshape(s.rows, s.size + 1).astype(float)
     contexts, counts = total[:, : s.size], total[:, s.size]
     contexts = contexts / np.maximum(counts, 1)[:, None]
     contexts -= (counts @ contexts) / max(counts.sum(), 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmith.llm import forest_search, kdtree, mixing, packing, quality, simhash, suffix_dedup, toxicity, warc
+from seriesmith.llm import forest_search, kdtree, mixing, packing, pitman_yor, quality, simhash, suffix_dedup, toxicity, warc
 from seriesmith.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,9 +51,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_exact_top_k", """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS x FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x::DOUBLE))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = len(embedding)
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
@@ -79,6 +79,11 @@ def op7_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest_search.forest_search(load(spark, sf_dir, "embeddings"))
 
 
+@query("op8_pitman_yor")
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scores(load(spark, sf_dir, "documents"))
+
+
 @query("op9_suffix_dedup")
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(load(spark, sf_dir, "documents"))

@@ -19,12 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import raw, stored
+from seriesmith.llm.common import pack_arrays, raw, stored, unpack_arrays
 
 #: Bytes of an anchor. Shorter ones repeat by chance, longer ones leave more anchors.
 GRAM = 20
@@ -37,18 +36,6 @@ NOBODY = np.iinfo(np.int64).max
 PAD = 0xFF  # never part of UTF-8
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
-
-
-def _unpack(blob: bytes, *dtypes: str) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    sizes = np.frombuffer(data, "<i8", len(dtypes), 8)
-    ends = np.cumsum(sizes) + 8 * (len(dtypes) + 1)
-    return [np.frombuffer(data[e - n:e], d) for e, n, d in zip(ends.tolist(), sizes.tolist(), dtypes)]
-
-
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     """best (minimum or maximum) of each ``width`` consecutive values, by doubling."""
     out, have = values, 1
@@ -134,7 +121,7 @@ def _count_anchors(docs: DataFrame, length: int, blocks: int) -> DataFrame:
             shard = (pairs["key"] >> np.uint64(32)).astype(np.int64)
             bounds = np.searchsorted(shard, np.arange(blocks + 1))
             own = np.flatnonzero(np.diff(bounds))
-            blobs = [_pack(pairs["key"][a:b].astype("<u4"), pairs["block"][a:b].astype("<u4"), counts[a:b])
+            blobs = [pack_arrays(pairs["key"][a:b].astype("<u4"), pairs["block"][a:b].astype("<u4"), counts[a:b])
                      for a, b in zip(bounds[own], bounds[own + 1])]
             for i in range(0, len(own), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(own[i:i + 64], pa.int32()), pa.array(blobs[i:i + 64], pa.binary())],
@@ -163,7 +150,7 @@ def _count_anchors(docs: DataFrame, length: int, blocks: int) -> DataFrame:
 def _shared_anchors(hot_documents: int):
     """Of a shard: for each block the anchors that occur in more than one document, and which of them are hot."""
     def run(table: pa.Table) -> pa.Table:
-        parts = [_unpack(b.as_py(), "<u4", "<u4", "<u4") for b in table.column("blob")]
+        parts = [unpack_arrays(b.as_py(), "<u4", "<u4", "<u4") for b in table.column("blob")]
         key, block, count = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.lexsort((block, key))
         key, block, count = key[order], block[order], count[order]
@@ -178,7 +165,7 @@ def _shared_anchors(hot_documents: int):
         key, block, documents = key[new], block[new], documents[new]
         found, bounds = np.unique(block, return_index=True)
         shard = np.uint64(table.column("shard")[0].as_py())
-        blobs = [_pack((shard << np.uint64(32)) | key[a:b].astype("<u8"), (documents[a:b] > hot_documents).astype("u1"))
+        blobs = [pack_arrays((shard << np.uint64(32)) | key[a:b].astype("<u8"), (documents[a:b] > hot_documents).astype("u1"))
                  for a, b in zip(bounds, np.append(bounds[1:], len(key)))]
         return pa.table({"block": pa.array(found, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
@@ -213,7 +200,7 @@ def _suffix_runs(length: int, blocks: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         out = {"kind": [], "target": [], "block": [], "blob": []}
         if replies.num_rows:
-            known = [_unpack(b.as_py(), "<u8", "u1") for b in replies.column("blob")]
+            known = [unpack_arrays(b.as_py(), "<u8", "u1") for b in replies.column("blob")]
             shared, hot = (np.concatenate([k[i] for k in known]) for i in range(2))
             order = np.argsort(shared)
             shared, hot = shared[order], hot[order]
@@ -272,14 +259,14 @@ def _suffix_runs(length: int, blocks: int):
                     out["kind"].append(0)
                     out["target"].append(s)
                     out["block"].append(block)
-                    out["blob"].append(_pack(prefix, rest, smallest[own]))
+                    out["blob"].append(pack_arrays(prefix, rest, smallest[own]))
                 rows = np.concatenate(rows)
                 order = np.argsort(ids, kind="stable")
                 rank = ranks[order][np.searchsorted(ids[order], rows)]
                 out["kind"].append(1)
                 out["target"].append(block)
                 out["block"].append(block)
-                out["blob"].append(_pack(rows, rank, np.concatenate(places).astype("<i8"), new[np.array(suffixes)]))
+                out["blob"].append(pack_arrays(rows, rank, np.concatenate(places).astype("<i8"), new[np.array(suffixes)]))
         return pa.table({"kind": pa.array(out["kind"], pa.int32()), "target": pa.array(out["target"], pa.int32()),
                          "block": pa.array(out["block"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
 
@@ -358,7 +345,7 @@ def _merge_shard(length: int):
         blocks = table.column("block").to_pylist()
         runs, least, answers = [], [], []
         for blob in table.column("blob"):
-            prefix, rest, smallest = _unpack(blob.as_py(), "u1", "u1", "<i8")
+            prefix, rest, smallest = unpack_arrays(blob.as_py(), "u1", "u1", "<i8")
             runs.append((front_decode(prefix, rest.tobytes(), width), prefix.tolist()))
             least.append(smallest.tolist())
             answers.append(np.repeat(smallest[:, None], back + 1, 1))
@@ -410,7 +397,7 @@ def _merge_shard(length: int):
             answer[(o > back - before) | (o < behind)] = NOBODY  # windows that leave the text
         target = table.column("target")
         return pa.table({"block": pa.array(blocks, pa.int32()), "shard": target,
-                         "blob": pa.array([_pack(a) for a in answers], pa.binary())})
+                         "blob": pa.array([pack_arrays(a) for a in answers], pa.binary())})
 
     return run
 
@@ -438,10 +425,10 @@ def _spans(length: int):
     def run(index: pa.Table, replies: pa.Table) -> pa.Table:
         owners, starts, ends = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if index.num_rows:
-            rows, rank, place, number = _unpack(index.column("blob")[0].as_py(), "<i8", "<i8", "<i8", "<i8")
+            rows, rank, place, number = unpack_arrays(index.column("blob")[0].as_py(), "<i8", "<i8", "<i8", "<i8")
             order = np.argsort(replies.column("shard").to_numpy())
             blobs = replies.column("blob").to_pylist()
-            smallest = np.concatenate([_unpack(blobs[i], "<i8")[0] for i in order]).reshape(-1, back + 1)
+            smallest = np.concatenate([unpack_arrays(blobs[i], "<i8")[0] for i in order]).reshape(-1, back + 1)
             parts = []
             for i in range(0, len(rows), 200_000):
                 part = slice(i, i + 200_000)
