@@ -153,9 +153,12 @@ def read_frames(stream) -> Iterator[bytes]:
             if len(content) != size:
                 raise WarcError("archive ends inside a skippable frame")
             if first and magic == DICTIONARY_MAGIC:
-                if content[:4] == FRAME_MAGIC.to_bytes(4, "little"):
-                    content = zstandard.ZstdDecompressor().decompressobj().decompress(content)
-                decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content))
+                try:
+                    if content[:4] == FRAME_MAGIC.to_bytes(4, "little"):
+                        content = zstandard.ZstdDecompressor().decompressobj().decompress(content)
+                    decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content))
+                except zstandard.ZstdError as err:
+                    raise WarcError(f"broken dictionary: {err}") from None
         elif magic == FRAME_MAGIC:
             frame, parts, data = decoder.decompressobj(), [], head + buffer
             buffer = b""
@@ -209,7 +212,7 @@ class ArchiveWriter:
     def _open(self) -> None:
         content = archive_dictionary(self.waiting, self.dictionary_bytes)
         name = f"pages-{uuid.uuid4().hex}.warc.zst"  # each attempt has its own name
-        self.out = self.fs.open_output_stream(f"{self.folder.rstrip('/')}/{name}")
+        self.out = self.fs.open_output_stream(f"{self.folder.rstrip('/')}/{name}", compression=None)
         packed = zstandard.ZstdCompressor(level=self.level).compress(content)
         self.out.write(DICTIONARY_MAGIC.to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed)
         self.encoder = zstandard.ZstdCompressor(
@@ -296,7 +299,7 @@ def read_archives(manifest: DataFrame, strict: bool = True, keep_payload: bool =
         for df in frames:
             for path in df["path"]:
                 store, inner = fs.FileSystem.from_uri(path)
-                with store.open_input_stream(inner) as stream:
+                with store.open_input_stream(inner, compression=None) as stream:
                     rows, held = [], 0
                     for row in _records(path, stream, strict):
                         size = len(row["payload"])
