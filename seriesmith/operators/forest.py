@@ -4,8 +4,8 @@ A forest is a table of nodes (spec, tree, node, feature, threshold, size, path);
 order, so the children of ``i`` are ``2i`` and ``2i + 1``. All randomness is a hash of (seed, spec, tree, node, row
 key): results do not depend on how the rows are partitioned, and a lost task rebuilds the same trees.
 
-Sub-samples that fit one task are grown there in one go. Larger ones are split level by level with aggregates over
-the rows in place until every open node fits one task, so no task ever receives an unbounded group.
+Sub-samples that fit one task are grown there in one go. Larger ones are split level by level, with the top of the
+trees as a Spark table, until every open node fits one task. Both ways give the same trees.
 """
 
 from __future__ import annotations
@@ -132,22 +132,51 @@ def pack(df: DataFrame, keys: Sequence[str], features: Sequence[str], keep: Sequ
     return df.select(*keys, *keep, F.array(*as_doubles(df, features)).alias("vec"))
 
 
-def _sampled_trees(seed: int, n_trees: int, keys: Sequence[str], share: float) -> Column:
-    """Trees whose sub-sample may hold the row, each with the row's draw."""
+def _draws(seed: int, n_trees: int, keys: Sequence[str]) -> Column:
+    """A row's uniform draw for every tree."""
     def draw(t: Column) -> Column:
         bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, *[F.col(k) for k in keys]), 11)
         return bits / F.lit(float(1 << 53))
 
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                        lambda t: F.struct(t.alias("tree"), draw(t).alias("u")))
-    return F.filter(pairs, lambda p: p["u"] < share) if share < 1 else pairs
+    return F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("u")))
+
+
+def sample_cuts(packed: DataFrame, keys: Sequence[str], seed: int, n_trees: int, size: int, n_rows: int) -> list[float]:
+    """Per tree the ``size``-th smallest draw, so that rows at or below it are a sub-sample of exactly that size.
+
+    The draws are uniform, so that value lies in a narrow band around size / n_rows: rows below the band are counted and
+    the band's few draws (about the square root of ``size``) are sorted. A tree whose value lies outside is met again
+    with a wider band. One number per tree is collected.
+    """
+    if size >= n_rows:
+        return [1.0] * n_trees
+    width = 6 * math.sqrt(size) + 10
+    while True:
+        low, high = max(0.0, (size - width) / n_rows), min(1.0, (size + width) / n_rows)
+        near = F.filter(_draws(seed, n_trees, keys), lambda p: p["u"] < high) if high < 1 else _draws(seed, n_trees, keys)
+        u = F.col("p.u")
+        found = packed.select(F.explode(near).alias("p")).groupBy("p.tree").agg(
+            F.count_if(u < low).alias("below"), F.sort_array(F.collect_list(F.when(u >= low, u))).alias("band"))
+        at = F.lit(size) - F.col("below")
+        cut = F.when((at >= 1) & (at <= F.size("band")), F.get("band", (at - 1).cast("int")))
+        cuts = {r["tree"]: r["cut"] for r in found.select("tree", cut.alias("cut")).collect()}
+        if len(cuts) == n_trees and None not in cuts.values():
+            return [cuts[t] for t in range(n_trees)]
+        width *= 4
+
+
+def _sampled_trees(seed: int, n_trees: int, keys: Sequence[str], cuts: Sequence[float]) -> Column:
+    """Trees whose sub-sample holds the row, each with the row's draw."""
+    limits = F.array(*[F.lit(float(c)) for c in cuts[:n_trees]])
+    return F.filter(_draws(seed, n_trees, keys), lambda p: p["u"] <= F.get(limits, p["tree"]))
 
 
 def fit_forests(packed: DataFrame, keys: Sequence[str], specs: Sequence[ForestSpec],
                 max_group_cells: int = MAX_GROUP_CELLS) -> Forests:
     """Fit every spec on the packed rows (``pack``); row keys must be unique.
 
-    The input is read twice (row count and growing), so pin it when it is expensive.
+    Every sub-sample has exactly the wanted number of rows, wherever it is grown. The input is read several times (row
+    count, cuts and growing), so pin it when it is expensive.
     """
     n_rows, d = packed.agg(F.count("*"), F.max(F.size("vec"))).first()
     if not n_rows:
@@ -160,13 +189,15 @@ def fit_forests(packed: DataFrame, keys: Sequence[str], specs: Sequence[ForestSp
         # A row's draw for a tree is the same in every spec of a seed, so the largest sub-sample contains the others
         # and one copy of its rows serves all of them.
         group = [i for i in in_task if spec_list[i].seed == seed]
-        groups.append(_sampled_rows(packed, keys, seed, max(spec_list[i].n_trees for i in group),
-                                    max(sizes[i] for i in group), n_rows, -1 - seed))
+        trees, size = max(spec_list[i].n_trees for i in group), max(sizes[i] for i in group)
+        cuts = sample_cuts(packed, keys, seed, trees, size, n_rows)
+        groups.append(_sampled_rows(packed, keys, seed, cuts, -1 - seed))
     for i, (spec, size) in enumerate(zip(spec_list, sizes)):
         if i not in in_task:
-            rows, top = _fit_by_levels(packed, keys, i, spec, size, n_rows, d, room)
-            groups.append(rows)
-            tops += [top] if top is not None else []
+            cuts = sample_cuts(packed, keys, spec.seed, spec.n_trees, size, n_rows)
+            rows, top = _fit_by_levels(packed, keys, i, spec, cuts, depth_limit(size), d, room)
+            groups += rows
+            tops += top
     names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -188,117 +219,76 @@ def fit_forests(packed: DataFrame, keys: Sequence[str], specs: Sequence[ForestSp
     return Forests(pin(grown), spec_list, sizes)
 
 
-def _sampled_rows(packed, keys, seed, n_trees, size, n_rows, code):
-    """Rows of the sub-samples with a few to spare, so that the exact number can be cut inside the task."""
-    share = min(1.0, (size + 6 * math.sqrt(size) + 10) / n_rows)
-    return packed.select("vec", F.explode(_sampled_trees(seed, n_trees, keys, share)).alias("p")).select(
+def _sampled_rows(packed, keys, seed, cuts, code):
+    return packed.select("vec", F.explode(_sampled_trees(seed, len(cuts), keys, cuts)).alias("p")).select(
         F.lit(code).alias("spec"), F.col("p.tree").alias("tree"), F.lit(1).cast("long").alias("node"),
         F.lit(0).alias("depth"), F.col("p.u").alias("u"), "vec")
 
 
-def _fit_by_levels(packed, keys, i, spec, size, n_rows, d, room):
-    """Split nodes larger than ``room`` by aggregates over the rows in place; hand the rest to the tasks.
+def _fit_by_levels(packed, keys, i, spec, cuts, limit, d, room):
+    """Split nodes larger than ``room`` level by level; returns rows for the tasks and finished nodes.
 
-    A sub-sample this large is drawn by the row's hash alone, so its size varies around ``size`` by its square root.
+    The top of the trees is a table of nodes. A level is one aggregate over the rows (ranges of a few candidate features,
+    which follow from the node's hash) and one join that moves the rows to the children. The driver sees one count per
+    level. The join sends the level's nodes around when they are few and shuffles both sides otherwise.
     """
-    spark = packed.sparkSession
-    limit = depth_limit(size)
-    sampled = packed.select("vec", F.transform(_sampled_trees(spec.seed, spec.n_trees, keys, size / n_rows),
-                                               lambda p: p["tree"]).alias("trees"))
-    top: dict[tuple[int, int], tuple[int, float]] = {}  # (tree, node) -> (feature, threshold)
-    done: list[tuple] = []  # finished nodes of the top part
-    ready: dict[tuple[int, int], int] = {}  # nodes that fit one task -> depth
     subsets = [tree_features(spec, t, d) for t in range(spec.n_trees)]
-    # Open nodes with the number of candidate features already found constant in them.
-    open_nodes = {(t, 1): (0, 0) for t in range(spec.n_trees)}
-    while open_nodes:
-        asked = {}
-        for (t, node), (depth, skip) in open_nodes.items():
-            ranked = subsets[t][np.argsort(-_uniform(spec.seed, 2, t, node, subsets[t]), kind="stable")]
-            asked.setdefault(t, {})[node] = ranked[skip:skip + CANDIDATES]
-        shared = spark.sparkContext.broadcast((top, asked))
-
-        def measure(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            splits, wanted = shared.value
-            for pdf in batches:
-                for t, rows, node in _route(pdf, splits):
-                    for n, feats in wanted.get(t, {}).items():
-                        inside = rows[node == n]
-                        if len(inside):
-                            part = inside[:, feats]
-                            yield pd.DataFrame({"tree": t, "node": n, "feature": feats, "low": part.min(axis=0),
-                                                "high": part.max(axis=0), "size": len(inside)})
-
-        found = (
-            sampled.mapInPandas(measure, "tree int, node long, feature int, low double, high double, size long")
-            .groupBy("tree", "node", "feature").agg(F.min("low").alias("low"), F.max("high").alias("high"),
-                                                    F.sum("size").alias("size")).collect()
-        )
-        shared.destroy()
-        seen: dict[tuple[int, int], dict] = {}
-        for r in found:
-            seen.setdefault((r["tree"], r["node"]), {})[r["feature"]] = r
-        following = {}
-        for (t, node), (depth, skip) in open_nodes.items():
-            cells = seen.get((t, node))
-            if not cells:
-                continue
-            count = next(iter(cells.values()))["size"]
-            if count <= room and depth < limit:
-                ready[(t, node)] = depth
-                continue
-            usable = [f for f in asked[t][node] if cells[f]["low"] < cells[f]["high"]]
-            if depth >= limit or (not usable and skip + CANDIDATES >= len(subsets[t])):
-                done.append((i, t, node, depth, -1, None, count, float(depth + average_path(count))))
-            elif not usable:
-                following[(t, node)] = (depth, skip + CANDIDATES)
-            else:
-                cell = cells[usable[0]]
-                cut = float(_cut(spec.seed, t, node, cell["low"], cell["high"]))
-                top[(t, node)] = (int(usable[0]), cut)
-                done.append((i, t, node, depth, int(usable[0]), cut, count, None))
-                following[(t, 2 * node)] = following[(t, 2 * node + 1)] = (depth + 1, 0)
-        open_nodes = following
-
-    shared = spark.sparkContext.broadcast((top, ready))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        splits, targets = shared.value
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for (t, node, depth, skip), part in pdf.groupby(["tree", "node", "depth", "skip"], sort=False):
+                ranked = subsets[t][np.argsort(-_uniform(spec.seed, 2, t, node, subsets[t]), kind="stable")]
+                feats = ranked[skip:skip + CANDIDATES]
+                cells = np.stack(part["vec"].to_numpy())[:, feats]
+                yield pd.DataFrame({"tree": t, "node": node, "depth": depth, "skip": skip, "place": np.arange(len(feats)),
+                                    "feature": feats, "low": cells.min(axis=0), "high": cells.max(axis=0),
+                                    "size": len(part)})
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for t, rows, node in _route(pdf, splits):
-                depth = np.array([targets.get((t, int(n)), -1) for n in node])
-                if (depth >= 0).any():
-                    keep = depth >= 0
-                    yield pd.DataFrame({"spec": i, "tree": t, "node": node[keep], "depth": depth[keep], "u": 0.0,
-                                        "vec": list(rows[keep])})
-
-    rows = sampled.mapInPandas(place, "spec int, tree int, node long, depth int, u double, vec array<double>")
-    made = spark.createDataFrame(done, NODE_SCHEMA) if done else None
-    return rows, made
-
-
-def _route(pdf: pd.DataFrame, splits: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per tree: the sampled rows of a batch and the open or finished node each has reached."""
-    if not len(pdf):
-        return
-    x = np.stack(pdf["vec"].to_numpy())
-    lengths = pdf["trees"].map(len).to_numpy()
-    row, tree = np.repeat(np.arange(len(pdf)), lengths), np.concatenate(pdf["trees"].to_numpy())
-    order = np.argsort(tree, kind="stable")
-    ids, starts = np.unique(tree[order], return_index=True)
-    for t, picked in zip(ids, np.split(order, starts[1:])):
-        rows = x[row[picked]]
-        node = np.ones(len(rows), dtype=np.int64)
-        moving = True
-        while moving:
-            moving = False
-            for n in np.unique(node):
-                cut = splits.get((int(t), int(n)))
-                if cut is not None:
-                    inside = node == n
-                    node[inside] = 2 * n + (rows[inside, cut[0]] > cut[1])
-                    moving = True
-        yield int(t), rows, node
+            cut = [_cut(spec.seed, t, n, lo, hi) if f >= 0 else np.nan for t, n, f, lo, hi in
+                   zip(pdf["tree"], pdf["node"], pdf["feature"], pdf["low"], pdf["high"])]
+            path = pdf["depth"] + average_path(pdf["size"].to_numpy())
+            yield pdf.assign(threshold=np.array(cut, dtype=float), path=path)[[c.split()[0] for c in decided.split(", ")]]
+
+    by = ["tree", "node", "depth", "skip"]
+    decided = "tree int, node long, depth int, skip int, size long, feature int, kind string, threshold double, path double"
+    state = pin(packed.select("vec", F.explode(_sampled_trees(spec.seed, spec.n_trees, keys, cuts)).alias("p")).select(
+        F.col("p.tree").alias("tree"), F.lit(1).cast("long").alias("node"), F.lit(0).alias("depth"),
+        F.lit(0).alias("skip"), "vec"))
+    ready, made = [], []
+    more = F.col("skip") + CANDIDATES < F.get(F.array(*[F.lit(len(x)) for x in subsets]), F.col("tree"))
+    kind = (
+        F.when((F.col("size") <= room) & (F.col("depth") < limit), "ready").when(F.col("depth") >= limit, "leaf")
+        .when(F.col("best").isNotNull(), "split").when(more, "more").otherwise("leaf")
+    )
+    while True:
+        ranges = state.mapInPandas(
+            measure, "tree int, node long, depth int, skip int, place int, feature int, low double, high double, size long"
+        ).groupBy(*by, "place", "feature").agg(
+            F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("size"))
+        best = F.min(F.when(F.col("low") < F.col("high"), F.struct("place", "feature", "low", "high")))
+        chosen = ranges.groupBy(*by).agg(F.max("size").alias("size"), best.alias("best")).withColumn("kind", kind)
+        split = F.col("kind") == "split"
+        level = pin(chosen.select(
+            *by, "size", F.when(split, F.col("best.feature")).otherwise(-1).alias("feature"),
+            "best.low", "best.high", "kind").mapInPandas(decide, decided))
+        n_nodes = level.count()
+        if not n_nodes:
+            return ready, made
+        split_path = F.when(split, F.lit(None).cast("double")).otherwise(F.col("path"))
+        made.append(level.filter("kind IN ('split', 'leaf')").select(
+            F.lit(i).alias("spec"), "tree", "node", "depth", "feature",
+            F.when(split, F.col("threshold")).alias("threshold"), "size", split_path.alias("path")))
+        moves = level.select("tree", "node", "kind", "feature", "threshold")
+        moved = state.join(F.broadcast(moves) if n_nodes <= MAX_SHARED_NODES else moves, ["tree", "node"])
+        ready.append(moved.filter("kind = 'ready'").select(
+            F.lit(i).alias("spec"), "tree", "node", "depth", F.lit(0.0).alias("u"), "vec"))
+        right = (F.get("vec", F.col("feature")) > F.col("threshold")).cast("long")
+        state = pin(moved.filter("kind IN ('split', 'more')").select(
+            "tree", F.when(split, 2 * F.col("node") + right).otherwise(F.col("node")).alias("node"),
+            (F.col("depth") + split.cast("int")).alias("depth"),
+            F.when(split, 0).otherwise(F.col("skip") + CANDIDATES).alias("skip"), "vec"))
 
 
 @dataclass
@@ -370,7 +360,7 @@ def score_forests(packed: DataFrame, forests: Forests, prefixes: Sequence[int] |
         blocks.append(block)
 
     summed = packed.withColumn("sums", F.array(*[F.lit(0.0)] * len(slots)))
-    for block in blocks:
+    for number, block in enumerate(blocks):
         picked = _of_block(forests.nodes, block, huge)
         shared = spark.sparkContext.broadcast(_flatten(picked.toArrow().to_pandas(), slots))
 
@@ -382,6 +372,10 @@ def score_forests(packed: DataFrame, forests: Forests, prefixes: Sequence[int] |
                 yield pdf
 
         summed = summed.mapInPandas(walk, summed.schema)
+        if number + 1 < len(blocks):
+            # Only one block is held by the executors at a time.
+            summed = pin(summed)
+            shared.destroy()
     c = average_path(np.array(forests.sample_sizes))
     cells = [F.struct(F.lit(i).alias("spec"), F.lit(p).alias("n_trees"), F.col("sums")[j].alias("total"))
              for j, (i, p) in enumerate(slots)]
@@ -413,9 +407,11 @@ def _walk_by_joins(packed, keep, forests, huge, slots):
     pairs = F.array(*[F.struct(F.lit(s).alias("spec"), F.lit(t).alias("tree")) for s, t in huge])
     state = packed.select(*keep, "vec", F.inline(pairs)).withColumn("node", F.lit(1).cast("long"))
     finished = None
-    for _ in range(depth + 1):
-        moved = pin(state.join(nodes.select("spec", "tree", "node", "feature", "threshold", "path"),
-                               ["spec", "tree", "node"]))
+    for level in range(depth + 1):
+        # All rows of a huge tree meet its few upper nodes, so these are sent around; a level has at most 2 ** level.
+        at = nodes.filter(F.col("depth") == level).select("spec", "tree", "node", "feature", "threshold", "path")
+        few = 2 ** level * len(huge) <= MAX_SHARED_NODES
+        moved = pin(state.join(F.broadcast(at) if few else at, ["spec", "tree", "node"]))
         ended = moved.filter("feature < 0").select(*keep, "spec", "tree", "path")
         finished = ended if finished is None else finished.unionByName(ended)
         state = moved.filter("feature >= 0").select(

@@ -54,10 +54,12 @@ def test_tree_structure(spark, cloud):
     assert np.allclose(leaves["path"], leaves["depth"] + fo.average_path(leaves["size"]))
 
 
-def test_levels_give_the_same_trees(spark, cloud):
-    spec = [fo.ForestSpec(6, "1.0", "0.5")]
+@pytest.mark.parametrize("share,rows", [("0.5", 200), ("0.75", 300), ("1.0", 400)])
+def test_levels_give_the_same_trees(spark, cloud, share, rows):
+    spec = [fo.ForestSpec(6, share, "0.5")]
     plain = fo.fit_forests(cloud, ["id"], spec).nodes.toPandas().sort_values(["tree", "node"]).reset_index(drop=True)
     split = fo.fit_forests(cloud, ["id"], spec, max_group_cells=6 * 60).nodes.toPandas().sort_values(["tree", "node"]).reset_index(drop=True)
+    assert (split.loc[split["node"] == 1, "size"] == rows).all()
     assert (plain[["tree", "node", "feature", "size"]].to_numpy() == split[["tree", "node", "feature", "size"]].to_numpy()).all()
     np.testing.assert_allclose(plain["threshold"], split["threshold"], equal_nan=True)
 
@@ -69,6 +71,21 @@ def test_blocks_and_joins_give_the_same_scores(spark, cloud):
     np.testing.assert_allclose(whole, scores(cloud, forests, prefixes=[3, 6], max_shared_nodes=150))
 
 
+def test_levels_with_shuffled_nodes(spark, cloud, monkeypatch):
+    spec = [fo.ForestSpec(3, "0.75", "1.0")]
+    plain = fo.fit_forests(cloud, ["id"], spec, max_group_cells=6 * 40).nodes
+    monkeypatch.setattr(fo, "MAX_SHARED_NODES", 1)
+    joined = fo.fit_forests(cloud, ["id"], spec, max_group_cells=6 * 40).nodes
+    assert sorted(map(str, plain.collect())) == sorted(map(str, joined.collect()))
+
+
+def test_cuts_leave_exactly_the_wanted_rows(spark, cloud):
+    for size in (1, 37, 399):
+        cuts = fo.sample_cuts(cloud, ["id"], 5, 4, size, 400)
+        rows = cloud.select(F.explode(fo._sampled_trees(5, 4, ["id"], cuts)).alias("p")).groupBy("p.tree").count()
+        assert {r["tree"]: r["count"] for r in rows.collect()} == dict.fromkeys(range(4), size)
+
+
 def test_prefix_is_the_smaller_forest(spark, cloud):
     big = fo.fit_forests(cloud, ["id"], [fo.ForestSpec(20)])
     small = fo.fit_forests(cloud, ["id"], [fo.ForestSpec(8)])
