@@ -14,7 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmith.operators.ordered import LargeKeys, find_large_keys, join_null_safe, ordered_columns
+from seriesmith.operators.ordered import LargeKeys, find_large_keys, join_null_safe, join_one_per_key, ordered_columns
+from seriesmith.session import pin
 
 
 def _pieces(df: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def _pieces(df: DataFrame) -> DataFrame:
         "__first": F.expr("shiftright(__low + shiftleft(1L, level) - 1, level)"),
         "__end": F.expr("shiftright(__high + 1, level)"),
     }).filter("__first < __end")
-    cells = F.expr("array_compact(array(if(__first % 2 = 1, __first, null), if(__end % 2 = 1, __end - 1, null)))")
+    cells = F.expr("array_compact(array(if((__first & 1) = 1, __first, null), if((__end & 1) = 1, __end - 1, null)))")
     return leveled.withColumn("cell", F.explode(cells)).drop("__low", "__high", "__first", "__end", "__top")
 
 
@@ -33,21 +34,21 @@ def segments(intervals: DataFrame, keys: Sequence[str], low: str, high: str, pri
              payload: Sequence[str]) -> DataFrame:
     """Points at which the interval in force changes: keys, start, winner (struct of ``payload`` or NULL).
 
-    Of all intervals [low, high] (both inclusive, non-negative integers) that cover a point, the one with the
-    greatest ``priority`` wins.
+    Of all intervals [low, high] (both inclusive integers, negative ones too) that cover a point, the one with the
+    greatest ``priority`` wins. The valid intervals are pinned, since cells, points and levels are all read off them.
     """
     keys = list(keys)
-    valid = intervals.filter(F.col(low) <= F.col(high)).select(
+    valid = pin(intervals.filter(F.col(low) <= F.col(high)).select(
         *keys, F.col(low).cast("long").alias("__low"), F.col(high).cast("long").alias("__high"),
         F.struct(F.struct(*priority).alias("p"), F.struct(*payload).alias("v")).alias("__w"),
         (F.length(F.bin(F.col(high).cast("long") - F.col(low).cast("long") + 1)) - 1).alias("__top"),
-    )
+    ))
     cells = _pieces(valid).groupBy(*keys, "level", "cell").agg(F.max_by("__w", F.col("__w.p")).alias("__w"))
     # Every point where the answer may change, looked up in the enclosing cell of every size its key has.
     points = valid.select(*keys, F.explode(F.array(F.col("__low"), F.col("__high") + 1)).alias("start")).distinct()
     tops = valid.groupBy(*keys).agg(F.max("__top").alias("__top"))
     lookups = (
-        join_null_safe(points, tops, keys, "inner")
+        join_one_per_key(points, tops, keys, "inner")
         .withColumn("level", F.explode(F.sequence(F.lit(0), F.col("__top"))))
         .withColumn("cell", F.expr("shiftright(start, level)"))
         .drop("__top")
@@ -99,10 +100,9 @@ def patch_ranges(df: DataFrame, patches: DataFrame, keys: Sequence[str], time: s
                  feature: str = "feature", low: str = "start", high: str = "end", value: str = "value",
                  order: Sequence[str] = ("patch_order",), max_rows: int | None = None) -> DataFrame:
     """Overwrite features with patch values for inclusive time ranges; the last patch wins."""
-    layers = {
-        f"__patch_{f}": segments(patches.filter(F.col(feature) == f), keys, low, high, order, [value])
-        for f in features
-    }
+    known = patches.filter(F.col(feature).isin(list(features)))
+    found = pin(segments(known, [*keys, feature], low, high, order, [value]))
+    layers = {f"__patch_{f}": found.filter(F.col(feature) == f).drop(feature) for f in features}
     out = apply_segments(df, keys, time, layers, _sizes(df, patches, keys, max_rows))
     return out.withColumns(
         {f: F.coalesce(F.col(f"__patch_{f}.{value}"), F.col(f)) for f in features}

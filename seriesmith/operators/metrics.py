@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seriesmith.functions.statistics import ratio_or_zero
 from seriesmith.operators.joins import best_row
-from seriesmith.operators.ordered import find_large_keys, join_null_safe, ordered_columns
+from seriesmith.operators.ordered import find_large_keys, join_null_safe, join_one_per_key, ordered_columns
 
 N_THRESHOLDS = 1000
 
@@ -61,7 +61,7 @@ def precision_recall_steps(df: DataFrame, keys: Sequence[str], score: str, truth
     large = find_large_keys(df, keys, max_rows)
     cum = ordered_columns(steps, keys, [F.col(score).desc()], sums={"tp": F.col("pos"), "fp": F.col("neg")},
                           large=large)
-    joined = join_null_safe(cum, _totals(steps, keys), keys, "inner")
+    joined = join_one_per_key(cum, _totals(steps, keys), keys, "inner")
     return joined.withColumns({
         "precision": ratio_or_zero(F.col("tp"), F.col("tp") + F.col("fp")),
         "recall": ratio_or_zero(F.col("tp"), F.col("n_pos")),
@@ -106,7 +106,7 @@ def threshold_sweep(df: DataFrame, keys: Sequence[str], score: str, truth: str,
 
     guess = F.coalesce(F.floor(F.try_divide(F.col("__s") - F.col("__lo"), F.col("__step"))), F.lit(last))
     i = F.least(F.greatest(guess, F.lit(0)), F.lit(last)).cast("long")
-    placed = join_null_safe(known, span, keys, "inner").withColumn("__i", i)
+    placed = join_one_per_key(known, span, keys, "inner").withColumn("__i", i)
     reached = F.col("__s") >= at(F.col("__i") + 1)
     missed = F.col("__s") < at(F.col("__i"))
     fixed = F.when((F.col("__i") < last) & reached, F.col("__i") + 1).when(missed, F.col("__i") - 1)
@@ -138,7 +138,7 @@ def best_thresholds(sweep: DataFrame, keys: Sequence[str]) -> DataFrame:
 def apply_thresholds(scored: DataFrame, thresholds: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """Prediction per row from the frozen threshold of its model (one threshold row per model)."""
     cut = thresholds.select(*keys, F.col("threshold").alias("__cut"))
-    return join_null_safe(scored, cut, keys, "inner").withColumn(
+    return join_one_per_key(scored, cut, keys, "inner").withColumn(
         "prediction", (F.col(score) >= F.col("__cut")).cast("int")).withColumnRenamed("__cut", "threshold")
 
 

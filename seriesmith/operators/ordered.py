@@ -81,6 +81,16 @@ def join_per_key(df: DataFrame, table: DataFrame, keys: Sequence[str], large: La
     return small.unionByName(join_null_safe(marked.filter("__large").drop("__large"), few, keys, how))
 
 
+def join_one_per_key(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a table with one row per key to a long one without shuffling the long one by its key.
+
+    The table is written down and counted, and sent around when it has at most ``MAX_SHARED_KEYS`` rows. With more keys
+    than that both sides are shuffled, and the skew join splits a key that holds many rows.
+    """
+    pinned = pin(table)
+    return join_null_safe(df, F.broadcast(pinned) if pinned.count() <= MAX_SHARED_KEYS else pinned, keys, how)
+
+
 def without_large(df: DataFrame, keys: Sequence[str], large: LargeKeys) -> DataFrame:
     return df if large.marks is None else join_null_safe(df, large.shared(large.marks), keys, "left_anti")
 

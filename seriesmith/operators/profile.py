@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmith.operators.features import to_long
-from seriesmith.operators.ordered import find_large_keys, join_null_safe, ordered_columns
+from seriesmith.operators.ordered import find_large_keys, join_null_safe, join_one_per_key, ordered_columns
 
 MAX_MISSING_FRACTION = 0.95
 
@@ -77,7 +77,7 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, probabilit
                              large=find_large_keys(present, keys, max_rows, at_most=at_most))
     # The totals come from the same counts, so both branches share one shuffle of the input.
     totals = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    joined = join_null_safe(ranked, totals, keys, "inner")
+    joined = join_one_per_key(ranked, totals, keys, "inner")
     cells, out = [], []
     for i, p in enumerate(probabilities):
         at = (F.col("__n") - 1) * F.lit(float(p))

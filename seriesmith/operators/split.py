@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmith.operators.ordered import join_null_safe
+from seriesmith.session import pin
 
 N_SEEDS = 1000
 
@@ -57,7 +58,7 @@ def balanced_group_split(entities: DataFrame, groups: Sequence[str], n_seeds: in
         sided.groupBy("seed").agg(F.abs(F.sum(signed)).alias("gap"))
         .agg(F.min_by("seed", F.struct("gap", "seed")).alias("seed"))
     )
-    return sided.join(best, "seed", "left_semi").select(*groups, "n_entities", "seed", "side")
+    return sided.join(F.broadcast(best), "seed", "left_semi").select(*groups, "n_entities", "seed", "side")
 
 
 def assign_by_group(entities: DataFrame, sides: DataFrame, groups: Sequence[str],
@@ -72,7 +73,11 @@ def assign_by_group(entities: DataFrame, sides: DataFrame, groups: Sequence[str]
 
 def split_violations(split: DataFrame, source: DataFrame, key: str, groups: Sequence[str],
                      cls: str = "experiment_class") -> DataFrame:
-    """Every broken rule as a row (rule, detail); empty when the split is sound."""
+    """Every broken rule as a row (rule, detail); empty when the split is sound.
+
+    Both tables are read by several rules, so they are pinned.
+    """
+    split, source = pin(split), pin(source.select(key).distinct())
     ident = F.col(key).cast("string").alias("detail")
 
     def rule(name: str, df: DataFrame, detail: Column = ident) -> DataFrame:
@@ -91,8 +96,8 @@ def split_violations(split: DataFrame, source: DataFrame, key: str, groups: Sequ
         rule("observable outside evaluation",
              split.filter((c == "observable") & ~F.coalesce(s.isin("validation", "final_test"), F.lit(False)))),
         rule("group in both sides", shared, group_name),
-        rule("entity missing", source.select(key).distinct().join(split, key, "left_anti")),
-        rule("entity unknown", split.join(source.select(key).distinct(), key, "left_anti")),
+        rule("entity missing", source.join(split, key, "left_anti")),
+        rule("entity unknown", split.join(source, key, "left_anti")),
     ]
     out = checks[0]
     for check in checks[1:]:
@@ -101,9 +106,11 @@ def split_violations(split: DataFrame, source: DataFrame, key: str, groups: Sequ
 
 
 def require_sound(split: DataFrame, source: DataFrame, key: str, groups: Sequence[str]) -> DataFrame:
-    bad = split_violations(split, source, key, groups).limit(10).collect()
-    if bad:
-        raise ValueError(f"unsound split: {[(r['rule'], r['detail']) for r in bad]}")
+    found = pin(split_violations(split, source, key, groups))
+    count = found.count()
+    if count:
+        first = [(r["rule"], r["detail"]) for r in found.limit(10).collect()]
+        raise ValueError(f"unsound split, {count} violations, among them {first}")
     return split
 
 

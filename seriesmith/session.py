@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import importlib.metadata
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +23,7 @@ def build_session(cpus: str | int = "*", partitions: int = 8, app: str = "series
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SERIESMITH_DRIVER_MEMORY", "12g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -40,10 +45,37 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="seriesmith-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers unless it is installed; once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    try:
+        importlib.metadata.distribution("seriesmith")
+        return
+    except importlib.metadata.PackageNotFoundError:
+        pass
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="seriesmith-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "seriesmith-package.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for top, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                inner = os.path.relpath(os.path.join(top, name), os.path.dirname(package))
+                archive.write(os.path.join(top, name), inner)
+    context.addPyFile(path)  # the driver serves the file to the executors
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and fixes the rows, so a lost executor cannot change them."""
     spark = df.sparkSession

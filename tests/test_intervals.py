@@ -54,6 +54,15 @@ def test_incident_labels_match_painting(spark, max_rows):
         assert (g.sort_values("t")["label"].to_numpy() == want[e]).all(), e
 
 
+def test_negative_times(spark):
+    spans = [(lo, lo + n) for lo in range(-40, 10, 3) for n in (0, 3, 17)]
+    iv = spark.createDataFrame([(1, lo, hi, i) for i, (lo, hi) in enumerate(spans)], "e int, lo int, hi int, w int")
+    rows = spark.range(-60, 60).select(F.lit(1).alias("e"), F.col("id").alias("t"))
+    got = intervals.last_writer(rows, iv, ["e"], "t", "lo", "hi", ["w"], "w", "w").collect()
+    for r in got:
+        assert r["w"] == max((i for i, (lo, hi) in enumerate(spans) if lo <= r["t"] <= hi), default=None), r
+
+
 @pytest.mark.parametrize("max_rows", [40, 100_000])
 def test_last_writer_with_many_overlaps(spark, max_rows):
     rng = np.random.default_rng(9)
