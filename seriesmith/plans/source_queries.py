@@ -35,6 +35,7 @@ def plant_rows(spark, sf_dir):
         F.date_format(F.timestamp_seconds((F.col("l_orderkey") % 86400).cast("long")), "HH:mm:ss").alias("Time"),
         F.col("l_orderkey").cast("double").alias("order"), F.col("l_linenumber").cast("double").alias("line"),
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),
+        F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("flag"),
     )
 
 
@@ -50,7 +51,7 @@ FROM pl GROUP BY ALL""")
 def csv_roundtrip_path_metadata(spark, sf_dir):
     """Write one CSV folder per experiment in two layouts, read both back by column name."""
     root = scratch_path(spark, "series")
-    rows = plant_rows(spark, sf_dir)
+    rows = plant_rows(spark, sf_dir).drop("status", "flag")
     files.write_series(rows.filter("phase = 'Operation'"), f"{root}/full", LAYOUT)
     # Other phases lack the price and hold their columns in another order.
     files.write_series(rows.filter("phase <> 'Operation'").select("quantity", "Time", "order", "line", *LAYOUT),
@@ -61,6 +62,58 @@ def csv_roundtrip_path_metadata(spark, sf_dir):
         F.round(F.sum("price"), 2).alias("price"))
 
 
+@query("series_rows", f"""
+WITH {PLANT_SQL}
+SELECT phase, experiment, strftime(make_timestamp(l_orderkey % 86400 * 1000000), '%H:%M:%S') AS "Time",
+       CAST(l_orderkey AS DOUBLE) AS "order", CAST(l_linenumber AS DOUBLE) AS line, l_quantity AS quantity,
+       l_linestatus || ', ' || l_returnflag AS note
+FROM pl""")
+def series_rows(spark, sf_dir):
+    """Every row of written series with a text column that holds the separator, in two layouts."""
+    root = scratch_path(spark, "notes")
+    note = F.concat("status", F.lit(", "), "flag")
+    rows = plant_rows(spark, sf_dir).withColumn("note", note)
+    full = [c for c in rows.columns if c not in ("price", "status", "flag")]
+    files.write_series(rows.filter("phase = 'Operation'").select(*full), f"{root}/a", LAYOUT)
+    files.write_series(rows.filter("phase <> 'Operation'").select(*reversed(full)), f"{root}/b", LAYOUT)
+    back = split_identifier(files.read_series(spark, root, text=("Time", "note")))
+    return back.select("phase", "experiment", "Time", "order", "line", "quantity", "note")
+
+
+@query("read_modalities", f"""
+WITH {PLANT_SQL}
+SELECT 'labels' AS modality, experiment, count(*) AS n_rows, round(sum(CAST(l_linenumber AS DOUBLE)), 2) AS total
+FROM pl GROUP BY experiment
+UNION ALL SELECT 'sensors', experiment, count(*), round(sum(l_extendedprice), 2) FROM pl GROUP BY experiment
+UNION ALL SELECT 'actuators', experiment, count(*), round(sum(l_quantity), 2) FROM pl GROUP BY experiment""")
+def read_modalities(spark, sf_dir):
+    """The three kinds of series written into their folders and read back."""
+    root = scratch_path(spark, "plant")
+    rows = plant_rows(spark, sf_dir)
+    columns = {"labels": "line", "sensors": "price", "actuators": "quantity"}
+    for name, column in columns.items():
+        files.write_series(rows.select("Time", column, *LAYOUT), f"{root}/{files.MODALITIES[name]}", LAYOUT)
+    found = files.read_modalities(spark, root)
+    parts = [split_identifier(found[name]).groupBy("experiment").agg(
+        F.count("*").alias("n_rows"), F.round(F.sum(column), 2).alias("total")).select(
+        F.lit(name).alias("modality"), "experiment", "n_rows", "total") for name, column in columns.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("inferred_settings", """
+SELECT p_brand, count(*) AS n_rows, CAST(sum(p_size) AS BIGINT) AS sizes, round(sum(p_retailprice), 2) AS prices,
+       'string int double' AS types FROM part GROUP BY p_brand""")
+def inferred_settings(spark, sf_dir):
+    """A delimited settings table whose column types are inferred."""
+    path = scratch_path(spark, "settings")
+    part = load(spark, sf_dir, "part").select("p_brand", "p_size", F.col("p_retailprice").cast("double").alias("p_retailprice"))
+    part.write.option("header", True).option("sep", ";").csv(path)
+    back = files.read_delimited(spark, path, infer=True)
+    return back.groupBy("p_brand").agg(
+        F.count("*").alias("n_rows"), F.sum("p_size").alias("sizes"), F.round(F.sum("p_retailprice"), 2).alias("prices"),
+    ).withColumn("types", F.lit(" ".join(t for _, t in back.dtypes)))
+
+
 @query("csv_number_format", """
 SELECT l_suppkey, count(*) AS n_rows, round(sum(CAST(printf('%.6f', l_extendedprice / 7) AS DOUBLE)), 3) AS price
 FROM lineitem GROUP BY l_suppkey""")
@@ -103,6 +156,17 @@ def parquet_roundtrip(spark, sf_dir):
         F.count("*").alias("n_rows"), F.sum("quantity").alias("quantity"))
 
 
+@query("parquet_whole", """
+SELECT l_suppkey AS entity, l_linestatus AS status, count(*) AS n_rows, sum(l_quantity) AS quantity FROM lineitem
+GROUP BY l_suppkey, l_linestatus""")
+def parquet_whole(spark, sf_dir):
+    """The whole partitioned table read back."""
+    path = scratch_path(spark, "operation")
+    files.write_table(windowed(spark, sf_dir), path, ["status"])
+    return files.read_table(spark, path).groupBy("entity", "status").agg(
+        F.count("*").alias("n_rows"), F.sum("quantity").alias("quantity"))
+
+
 @query("pending_files", f"""
 WITH {PLANT_SQL}, f AS (SELECT DISTINCT phase, experiment_type || '_' || experiment AS stem FROM pl)
 SELECT stem FROM (SELECT DISTINCT stem FROM f WHERE phase = 'Startup') EXCEPT SELECT stem FROM f

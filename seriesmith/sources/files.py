@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seriesmith.functions.expressions import round_to_second
 from seriesmith.operators.cleaning import keep_first
@@ -22,13 +21,13 @@ BATCHES = [
 ]
 EXPERIMENT_TYPES = ["train_normal", "test_anormal"]
 
+# Folders of the three kinds of series.
 MODALITIES = {
     "labels": "00_Timeseries_Label_Anomaly_Metadata",
     "sensors": "01_Timeseries_Sensors",
     "actuators": "02_Timeseries_Actuators",
 }
 PATH_COLUMNS = ["phase", "batch", "operating_point", "experiment_type", "experiment"]
-MAX_LAYOUTS = 1000
 
 
 def _any_of(names: Sequence[str]) -> str:
@@ -54,17 +53,6 @@ def path_metadata(path: Column) -> dict[str, Column]:
     }
 
 
-def _with_path(df: DataFrame) -> DataFrame:
-    parts = path_metadata(F.col("_metadata.file_path"))
-    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in parts])
-    return (
-        df.select("*", F.col("_metadata.file_block_start").alias("file_block"), *[e.alias(n) for n, e in parts.items()])
-        .filter(known)
-        .withColumn("identifier", F.concat_ws("/", *PATH_COLUMNS))
-        .drop(*PATH_COLUMNS)
-    )
-
-
 def discover(spark: SparkSession, folder: str) -> DataFrame:
     """Matching series files with their path parts; file contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv") \
@@ -74,52 +62,76 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", *[e.alias(n) for n, e in parts.items()]).filter(known)
 
 
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of all matching files with their path and reading order."""
+    parts = path_metadata(F.col("path"))
+    known = reduce(lambda a, b: a & b, [e.isNotNull() for e in parts.values()])
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
+    return lines.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("file_block"),
+        F.monotonically_increasing_id().alias("file_row"), "value").filter(known)
+
+
 def layouts(spark: SparkSession, folder: str) -> DataFrame:
     """Header line per matching file: (path, header).
 
     A header is the first line of a file's first block, found by a pre-aggregated minimum of the reading order.
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
-    first = lines.filter(F.col("_metadata.file_block_start") == 0).select(
-        F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("i"))
-    heads = first.groupBy("path").agg(F.min_by("value", "i").alias("header"))
-    parts = path_metadata(F.col("path"))
-    known = reduce(lambda a, b: a & b, [e.isNotNull() for e in parts.values()])
-    return heads.filter(known)
+    return _lines(spark, folder).filter("file_block = 0").groupBy("path").agg(
+        F.min_by("value", "file_row").alias("header"))
 
 
-def _schema(header: str, sep: str, text: Sequence[str]) -> T.StructType:
-    names = [h.strip().strip('"') or f"_c{i}" for i, h in enumerate(header.split(sep))]
-    return T.StructType([T.StructField(n, T.StringType() if n in text else T.DoubleType()) for n in names])
+def _cells(line: Column, width: int, sep: str) -> Column:
+    """The cells of a line as an array of ``width`` strings; NULL where a cell is empty or missing."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    options = {"sep": sep, "ignoreLeadingWhiteSpace": "true",
+               "ignoreTrailingWhiteSpace": "true", "maxColumns": str(max(20480, width + 1)), "maxCharsPerColumn": "-1"}
+    parsed = F.from_csv(line, schema, options)
+    return F.array(*[parsed[f"c{i}"] for i in range(width)])
 
 
-def read_series(spark: SparkSession, folder: str, text: Sequence[str] = ("Time",), sep: str = ",") -> DataFrame:
+def read_series(spark: SparkSession, folder: str, text: Sequence[str] = ("Time",), sep: str = ",",
+                bad_cells: str = "fail") -> DataFrame:
     """All matching series files below a folder, united by column name and tagged with ``identifier``.
 
-    Files are read once per distinct header. ``file_block`` and ``file_row`` give the order of rows inside a file.
+    Columns are numbers except those named in ``text``. A cell that is no number ends the read with its file, or, with
+    ``bad_cells="report"``, becomes NULL and its column is named in the array ``bad_cells``. Every file may have a header
+    of its own: lines meet their header in a join by path, so neither paths nor headers pass through the driver; it
+    collects the distinct column names. ``file_block`` and ``file_row`` give the order of rows inside a file.
     """
+    if bad_cells not in ("fail", "report"):
+        raise ValueError(f"unknown choice {bad_cells!r}")
     heads = pin(layouts(spark, folder))
-    kinds = [r["header"] for r in heads.select("header").distinct().limit(MAX_LAYOUTS + 1).collect()]
-    if not kinds:
+    bare = F.regexp_replace("header", '"[^"]*"', "")  # separators inside quotes do not count
+    count = F.size(F.split(bare, F.lit("\\Q" + sep + "\\E")))
+    width = heads.agg(F.max(count)).first()[0]
+    if not width:
         raise ValueError(f"no matching series files in {folder}")
-    if len(kinds) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} different headers in {folder}")
-
-    def read(header: str, paths: str | list[str]) -> DataFrame:
-        raw = (
-            spark.read.schema(_schema(header, sep, text)).option("header", True).option("sep", sep)
-            .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(paths)
-        )
-        return _with_path(raw).withColumn("file_row", F.monotonically_increasing_id())
-
-    if len(kinds) == 1:
-        return read(kinds[0], folder)
-    # The reader takes a list of files; the driver's file index holds the same list.
-    parts = [
-        read(h, [r["path"] for r in heads.filter(F.col("header") == h).select("path").collect()])
-        for h in sorted(kinds)
-    ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    named = F.transform(F.slice(_cells(F.col("header"), width, sep), 1, count),
+                        lambda c, i: F.coalesce(c, F.concat(F.lit("_c"), i.cast("string"))))
+    heads = pin(heads.select("path", "header", named.alias("names")))
+    order = heads.select(F.posexplode("names").alias("i", "name")).groupBy("name").agg(F.min("i").alias("i"))
+    columns = [r["name"] for r in order.orderBy("i", "name").collect()]
+    places = F.array(*[F.array_position("names", F.lit(c)).cast("int") - 1 for c in columns])
+    heads = heads.select(F.col("path").alias("__path"), F.col("header").alias("__header"), places.alias("__places"))
+    lines = _lines(spark, folder).join(heads, F.col("path") == F.col("__path"))
+    rows = lines.filter("NOT (file_block = 0 AND value = __header) AND trim(value) <> ''").withColumn(
+        "__cells", _cells(F.col("value"), width, sep))
+    cell = {c: F.when(F.get("__places", F.lit(i)) >= 0, F.get("__cells", F.get("__places", F.lit(i))))
+            for i, c in enumerate(columns)}
+    values, wrong = {}, []
+    for c in columns:
+        number = cell[c].try_cast("double")
+        bad = cell[c].isNotNull() & number.isNull()
+        message = F.concat(F.lit(f"no number in column {c}: "), cell[c], F.lit(" in "), F.col("path"))
+        values[c] = cell[c] if c in text else F.when(bad, F.raise_error(message).cast("double")).otherwise(number) \
+            if bad_cells == "fail" else number
+        wrong += [] if c in text else [F.when(bad, F.lit(c))]
+    parts = path_metadata(F.col("path"))
+    report = [F.array_compact(F.array(*wrong)).alias("bad_cells")] if bad_cells == "report" else []
+    return rows.select(
+        *[v.alias(c) for c, v in values.items()], *report, "file_block", "file_row",
+        F.concat_ws("/", *[parts[p] for p in PATH_COLUMNS]).alias("identifier"))
 
 
 def read_modalities(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -37,6 +37,17 @@ def test_file_order_is_kept(spark, tmp_path):
     assert got == [float((i * 7) % 24) for i in range(24)]
 
 
+def test_text_columns_quotes_and_bad_cells(spark, tmp_path):
+    name = tmp_path / "Operation" / BATCH / "operating_point_001" / "train_normal_experiment_001.csv"
+    write(name, 'Time,"a,b", Remark ,x,\n08:00:00,1,"hot, very",2,7\n08:00:01,1;6,,-1.5e3,\n')
+    read = files.read_series(spark, str(tmp_path), text=("Time", "Remark"), bad_cells="report").orderBy("file_row")
+    assert read.columns[:5] == ["Time", "a,b", "Remark", "x", "_c4"]
+    assert [tuple(r)[:6] for r in read.collect()] == [
+        ("08:00:00", 1.0, "hot, very", 2.0, 7.0, []), ("08:00:01", None, None, -1500.0, None, ["a,b"])]
+    with pytest.raises(Exception, match="no number in column a,b: 1;6"):
+        files.read_series(spark, str(tmp_path), text=("Time", "Remark")).collect()
+
+
 def test_no_matching_file_is_an_error(spark, tmp_path):
     write(tmp_path / "Operation" / "x.csv", "a\n1\n")
     with pytest.raises(ValueError, match="no matching"):
