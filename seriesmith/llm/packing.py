@@ -17,12 +17,12 @@ from pyspark.sql import types as T
 from seriesmith.llm.common import raw, stored
 
 #: Words whose ids a task remembers; the memory is emptied when full.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 _TOKENIZERS: dict[str, object] = {}
 #: Ids of words seen by this worker, by tokenizer; kept from task to task.
 _MEMORY: dict[str, dict[bytes, bytes]] = {}
-#: A word of ASCII letters with ASCII marks behind it: both parts are tokenized apart, whatever the other is.
-_LETTERS_MARKS = re.compile(rb"([A-Za-z]+)([.,;:!?]+)")
+#: A word of ASCII letters, with ASCII marks behind it or not: normalising only lowers it, and the parts are split.
+_LETTERS_MARKS = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
 
 
 def _tokenizer(path: str):
@@ -40,28 +40,36 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def _encode(encoder, words: list[bytes]) -> Iterator[bytes]:
-    """Ids of each word. Many words go through one call, parted by a control character that makes a token of its own."""
-    mark = encoder.encode("\x01", add_special_tokens=False).ids
-    if len(mark) != 1 or any(b"\x01" in w for w in words):
-        yield from (np.array(encoder.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words)
-        return
-    for i in range(0, len(words), 2000):
-        part = words[i:i + 2000]
-        ids = np.array(encoder.encode(b" \x01 ".join(part).decode(), add_special_tokens=False).ids, "<u4")
-        ends = 4 * np.append(np.flatnonzero(ids == mark[0]), len(ids))
-        if len(ends) != len(part):
-            raise ValueError("the tokenizer joins text across white space")
-        data = ids.tobytes()
-        yield from (data[a:b] for a, b in zip(np.append(0, ends[:-1] + 4).tolist(), ends.tolist()))
+def _word_ids(encoder, word: bytes) -> bytes:
+    """Ids of one word by the tokenizer's own steps, without the alignments that its one call would track.
+
+    A word that may hold an added token goes through that call.
+    """
+    text = word.decode()
+    if "<" in text:
+        ids = encoder.encode(text, add_special_tokens=False).ids
+    else:
+        normal = encoder.normalizer.normalize_str(text)
+        ids = [t.id for piece, _ in encoder.pre_tokenizer.pre_tokenize_str(normal) for t in encoder.model.tokenize(piece)]
+    return np.array(ids, "<u4").tobytes()
 
 
 def _learn(encoder, memory: dict[bytes, bytes], new: list[bytes]) -> None:
     """Add the ids of new words; letters before closing marks are encoded once for all their spellings."""
-    parts = {w: m.groups() if (m := _LETTERS_MARKS.fullmatch(w)) else (w,) for w in new}
-    unknown = list({p for group in parts.values() for p in group} - memory.keys())
-    memory.update(zip(unknown, _encode(encoder, unknown)))
-    memory.update((w, b"".join([memory[p] for p in group])) for w, group in parts.items())
+    model, keeps = encoder.model, encoder.normalizer.normalize_str("Az") == "az"
+    for word in new:
+        match = _LETTERS_MARKS.fullmatch(word) if keeps else None
+        if match is None:
+            memory[word] = _word_ids(encoder, word)
+            continue
+        letters, marks = match.groups()
+        letters = letters.lower()
+        ids = memory.get(letters)
+        if ids is None:
+            ids = memory[letters] = np.array([t.id for t in model.tokenize(letters.decode())], "<u4").tobytes()
+        if marks and marks not in memory:
+            memory[marks] = _word_ids(encoder, marks)
+        memory[word] = ids + memory[marks] if marks else ids
 
 
 def pieces(docs: DataFrame, length: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 0,
