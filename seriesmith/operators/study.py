@@ -20,6 +20,7 @@ from seriesmith.operators import metrics, profile
 from seriesmith.operators.joins import model_datasets, union_all
 from seriesmith.operators.model_grid import CONTAMINATION, DEFAULT_N_ESTIMATORS, PARAM_GRID, best_configurations
 from seriesmith.session import pin
+from seriesmith.sources.files import write_table
 
 PREDICTION_COLUMNS = ["identifier", "window", "window_start", "window_end", "batch", "operating_point", "experiment",
                       "experiment_type", "phase", "model", "anomaly_score", "prediction", "anomaly_label"]
@@ -203,6 +204,12 @@ def run_study(datasets: Mapping[str, Dataset], keys: Sequence[str], target: str,
     }
 
 
+def write_results(tables: Mapping[str, DataFrame], folder: str) -> None:
+    """Result sink: one Parquet table per result."""
+    for name, table in tables.items():
+        write_table(table, f"{folder.rstrip('/')}/{name}")
+
+
 def prediction_timeline(predictions: DataFrame, model: str, entity: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Score and prediction of one entity's windows under one model, in window order."""
     cond = reduce(lambda a, b: a & b, [F.col(k) == v for k, v in zip(keys, entity)])

@@ -9,10 +9,11 @@ from seriesmith.operators import forest as fo
 from seriesmith.operators import joins, study
 from seriesmith.operators.model_grid import presentation_order, validation_against_final
 from seriesmith.plans.bindings import KEYS, SIGNALS, SIZE, windowed
-from seriesmith.plans.evaluation_queries import experiment_split
+from seriesmith.plans.evaluation_queries import SPLIT_SQL, experiment_split
 from seriesmith.plans.registry import load, query
 from seriesmith.plans.window_queries import FREQ_NAMES, RAW_CELLS, TEMPORAL_NAMES, WIDE_NAMES, complete, ml_table
-from seriesmith.session import pin
+from seriesmith.session import pin, scratch_path
+from seriesmith.sources.files import read_table
 
 WINDOW = ["entity", "window"]
 TARGET = "observable_anomaly"
@@ -56,15 +57,28 @@ def datasets(spark, sf_dir):
 
 
 KEEP = ["anomaly_label", "window_start", "window_end"]
-_STUDIES: dict[tuple, dict] = {}
+RESULTS = ["default_results", "hyperparameter_results", "best_configurations", "threshold_results",
+           "final_test_results", "window_predictions"]
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _input_state(spark, sf_dir) -> tuple:
+    """Names, sizes and times of the input files; their contents are not read."""
+    rows = []
+    for table in ("lineitem", "supplier", "nation"):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir}/{table}.parquet")
+        rows += files.select("path", "modificationTime", "length").collect()
+    return tuple(sorted(map(str, rows)))
 
 
 def full_study(spark, sf_dir):
-    """One study per session and table folder; the result queries read its pinned tables."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STUDIES:
-        _STUDIES[key] = study.run_study(datasets(spark, sf_dir), WINDOW, TARGET, KEEP)
-    return _STUDIES[key]
+    """The study's result tables, written once for each state of the input files and read back."""
+    key = (spark.sparkContext.applicationId, _input_state(spark, sf_dir))
+    if key not in _WRITTEN:
+        folder = scratch_path(spark, "study")
+        study.write_results(study.run_study(datasets(spark, sf_dir), WINDOW, TARGET, KEEP), folder)
+        _WRITTEN[key] = folder
+    return {n: read_table(spark, f"{_WRITTEN[key]}/{n}") for n in RESULTS}
 
 
 MODELS = ["raw_window", "window_features", "temporal_features", "ml_features"]
@@ -111,3 +125,47 @@ def validation_and_final(spark, sf_dir):
 @query("error_types")
 def error_types(spark, sf_dir):
     return study.error_types(full_study(spark, sf_dir)["window_predictions"], TARGET)
+
+
+# ---- what is exact in the study, against SQL -----------------------------------------------------------------------
+
+STUDY_SQL = f"""{SPLIT_SQL},
+sw AS (SELECT w.entity, w."window", w.label AS anomaly_label, CASE w.label WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 END AS target,
+              sp.split FROM w JOIN sp ON sp.entity = w.entity WHERE w.position = 0),
+mo AS (SELECT unnest(['raw_window', 'window_features', 'temporal_features', 'ml_features']) AS model)"""
+
+
+@query("study_grid", f"""
+WITH {STUDY_SQL},
+g AS (SELECT n.v AS n_estimators, s.v AS max_samples, f.v AS max_features,
+        CAST((n.i - 1) * 12 + (s.i - 1) * 3 + f.i AS INTEGER) AS run
+      FROM (SELECT unnest([200, 300, 500]) AS v, unnest([1, 2, 3]) AS i) n,
+           (SELECT unnest(['auto', '0.5', '0.75', '1.0']) AS v, unnest([1, 2, 3, 4]) AS i) s,
+           (SELECT unnest(['0.5', '0.75', '1.0']) AS v, unnest([1, 2, 3]) AS i) f)
+SELECT model, run, n_estimators, max_samples, max_features, (SELECT count(*) FROM sw WHERE split = 'train' AND target = 0) AS n_train,
+       (SELECT count(*) FROM sw WHERE split = 'validation' AND target IS NOT NULL) AS n_validation
+FROM mo, g""")
+def study_grid(spark, sf_dir):
+    """Every searched setting of every representation with the sizes of its sets."""
+    return full_study(spark, sf_dir)["hyperparameter_results"].select(
+        "model", "run", "n_estimators", "max_samples", "max_features", "n_train", "n_validation")
+
+
+@query("study_predictions", f"""
+WITH {STUDY_SQL}
+SELECT model, entity, "window", "window" * 60 AS window_start, ("window" + 1) * 60 AS window_end, anomaly_label, target
+FROM sw, mo WHERE split = 'final_test' AND target IS NOT NULL""")
+def study_predictions(spark, sf_dir):
+    """Windows that are predicted, with their bounds and labels."""
+    return full_study(spark, sf_dir)["window_predictions"].select(
+        "model", *WINDOW, "window_start", "window_end", "anomaly_label", F.col(TARGET).alias("target"))
+
+
+@query("study_totals", f"""
+WITH {STUDY_SQL}
+SELECT model, count(*) AS n_test, CAST(sum(target) AS BIGINT) AS n_anomalies, count(*) AS outcomes
+FROM sw, mo WHERE split = 'final_test' AND target IS NOT NULL GROUP BY model""")
+def study_totals(spark, sf_dir):
+    """Sizes of the final evaluation; the four outcomes add up to the windows."""
+    return full_study(spark, sf_dir)["final_test_results"].select(
+        "model", "n_test", "n_anomalies", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("outcomes"))
