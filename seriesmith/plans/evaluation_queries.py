@@ -246,16 +246,21 @@ def distinct_counts(spark, sf_dir):
 
 
 @query("missing_profile", """
-WITH x AS (SELECT d.doc_id, d.lang, l.quality, CAST(d.n_chars AS DOUBLE) / nullif(d.n_chars % 5, 0) AS ratio
+WITH x AS (SELECT d.doc_id, d.lang, l.quality, CAST(d.n_chars AS DOUBLE) / nullif(d.n_chars % 5, 0) AS ratio, d.n_chars
            FROM documents d LEFT JOIN labels l USING (doc_id)),
-c AS (SELECT 'lang' AS "column", count(*) AS n_rows, count(*) - count(lang) AS n_missing FROM x
-      UNION ALL SELECT 'quality', count(*), count(*) - count(quality) FROM x
-      UNION ALL SELECT 'ratio', count(*), count(*) - count(ratio) FROM x)
-SELECT *, 0::BIGINT AS n_infinite, round(n_missing / n_rows, 9) AS missing_fraction FROM c""")
+c AS (SELECT 'lang' AS "column", count(*) AS n_rows, count(*) - count(lang) AS n_missing, 0::BIGINT AS n_infinite FROM x
+      UNION ALL SELECT 'quality', count(*), count(*) - count(quality), 0 FROM x
+      UNION ALL SELECT 'ratio', count(*), count(*) - count(ratio), 0 FROM x
+      UNION ALL SELECT 'odd', count(*), count(*) - count(ratio),
+        count(*) FILTER (n_chars % 5 <> 0 AND (n_chars % 7 = 0 OR n_chars % 11 = 0)) FROM x)
+SELECT *, round(n_missing / n_rows, 9) AS missing_fraction FROM c""")
 def missing_profile(spark, sf_dir):
     df = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id", "left").withColumn(
         "ratio", F.try_divide(F.col("n_chars").cast("double"), F.col("n_chars") % 5))
-    return rounded(profile.missing_profile(df, ["lang", "quality", "ratio"]), 9, "missing_fraction")
+    # Infinities of both signs, planted where the ratio is known.
+    odd = F.when(F.col("n_chars") % 7 == 0, float("inf")).when(F.col("n_chars") % 11 == 0, float("-inf")).otherwise(1.0)
+    df = df.withColumn("odd", F.when(F.col("ratio").isNotNull(), odd))
+    return rounded(profile.missing_profile(df, ["lang", "quality", "ratio", "odd"]), 9, "missing_fraction")
 
 
 @query("duplicate_keys", """
@@ -307,11 +312,15 @@ SELECT entity, "window", round(coalesce(quantity_mean_prev, q), 7) + 0.0 AS quan
        round(coalesce(price_mean_prev, p), 7) + 0.0 AS price_mean_prev,
        round(coalesce(price_std_prev, s), 7) + 0.0 AS price_std_prev FROM lg, md""")
 def median_impute(spark, sf_dir):
-    """Previous-window features; the missing first windows are filled with the medians of the training entities."""
+    """Previous-window features; the missing first windows are filled with the medians of the training entities.
+
+    A feature that is missing in more than 95 % of the training rows is planted and must be dropped.
+    """
     base = ["quantity_mean", "price_mean", "price_std"]
-    temporal = temporal_table(spark, sf_dir, base)
+    rare = F.when((F.col("window") == 1) & (F.col("entity") % 5 == 1), F.col("price_mean_prev"))
+    temporal = temporal_table(spark, sf_dir, base).withColumn("rare", rare)
     train = temporal.filter(F.col("entity") % 3 != 0)
-    kept = profile.kept_features(train, IMPUTED)
+    kept = profile.kept_features(train, [*IMPUTED, "rare"])
     out = profile.impute(temporal.select("entity", "window", *kept), profile.medians(train, kept), kept)
     return rounded(out, 7, *kept)
 
@@ -328,16 +337,39 @@ def window_report(spark, sf_dir):
 
 
 @query("temporal_violations", f"""
-WITH {windows_sql()}, f AS (SELECT DISTINCT entity, "window" FROM w)
-SELECT 'entities' AS item, count(DISTINCT entity) AS n FROM f UNION ALL SELECT 'violations', CAST(0 AS BIGINT)""")
+WITH {windows_sql()}, f AS (SELECT entity, max("window") AS last FROM w GROUP BY entity)
+SELECT 'entities' AS item, count(*) AS n FROM f
+UNION ALL SELECT 'violations', count(*) FILTER ((entity % 10 = 0 AND last >= 1) OR entity % 10 = 1) FROM f""")
 def temporal_violations(spark, sf_dir):
+    """Sound temporal features damaged on purpose: a second window without history, a first window with some."""
     base = ["quantity_mean", "price_mean"]
     temporal = temporal_table(spark, sf_dir, base)
-    bad = profile.temporal_violations(temporal, KEYS, base).agg(F.lit("violations").alias("item"), F.count("*").alias("n"))
+    e, w = F.col("entity") % 10, F.col("window")
+    names = [f"{b}_{s}" for b in base for s in ("prev", "delta")]
+    broken = temporal.withColumns({
+        c: F.when((e == 0) & (w == 1), F.lit(None)).when((e == 1) & (w == 0), F.lit(1.0)).otherwise(F.col(c)) for c in names})
+    bad = profile.temporal_violations(broken, KEYS, base).agg(F.lit("violations").alias("item"), F.count("*").alias("n"))
     known = temporal.groupBy("entity").count().agg(F.lit("entities").alias("item"), F.count("*").alias("n"))
     return known.unionByName(bad)
 
 
+@query("temporal_report", f"""
+WITH {windows_sql()}, f AS (SELECT entity, "window", CASE WHEN label = 0 THEN 0 WHEN label IN (2, 3) THEN 1 END AS target
+                            FROM w WHERE position = 0)
+SELECT count(DISTINCT entity) AS n_entities, count(*) AS n_windows, CAST(0 AS BIGINT) AS n_duplicates,
+       count(*) - count(target) AS n_missing_target, count(*) FILTER (target = 1) AS n_positive,
+       4 * count(DISTINCT entity) AS n_missing_cells FROM f""")
+def temporal_report(spark, sf_dir):
+    """The validation report on real features: only first windows lack their four temporal values."""
+    base = ["quantity_mean", "price_mean"]
+    names = [f"{b}_{s}" for b in base for s in ("prev", "delta")]
+    first = ft.window_metadata(windowed(spark, sf_dir), KEYS, ["status"], label="label", size=SIZE)
+    table = joins.checked_join(first.select("entity", "window", "target"), temporal_table(spark, sf_dir, base),
+                               ["entity", "window"], "inner", "one_to_one")
+    profile.validate_count(names, 2 * len(base), "temporal")
+    return profile.window_report(table, KEYS, names, "target")
+
+
 @query("dataset_summary", f"""
 WITH {SPLIT_SQL},
 ws AS (SELECT w.entity, w."window", sp.split, CASE WHEN w.label = 1 THEN 1 END AS rare FROM w JOIN sp ON sp.entity = w.entity WHERE position = 0)
