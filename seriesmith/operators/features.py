@@ -181,12 +181,13 @@ def window_arrays(df: DataFrame, keys: Sequence[str], signals: Sequence[str], si
                   window: str = "window", position: str = "position") -> DataFrame:
     """One row per complete window, one array of ``size`` values per signal, in position order.
 
-    The input must hold at most ``size`` rows per window (``complete_windows`` or ``position_windows``).
+    Only rows at positions below ``size`` are gathered, and a window counts as complete if it has no others; positions
+    are those of ``window_position`` or ``position_windows``, so a longer window gathers ``size`` rows at most.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"),
-                                                *[F.col(s).cast("double").alias(s) for s in signals])))
-    packed = df.groupBy(*keys, window).agg(rows.alias("__rows"))
-    return packed.filter(F.size("__rows") == size).select(
+    row = F.struct(F.col(position).alias("p"), *[F.col(s).cast("double").alias(s) for s in signals])
+    rows = F.array_sort(F.collect_list(F.when(F.col(position) < size, row)))
+    packed = df.groupBy(*keys, window).agg(rows.alias("__rows"), F.count("*").alias("__n"))
+    return packed.filter((F.size("__rows") == size) & (F.col("__n") == size)).select(
         *keys, window, *[F.col(f"__rows.{s}").alias(s) for s in signals]
     )
 

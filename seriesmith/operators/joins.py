@@ -64,23 +64,33 @@ def pending_inputs(candidates: DataFrame, done: DataFrame, partner: DataFrame |
 
 
 def words(text: Column) -> Column:
-    """Lower-case word tokens (letters, digits, underscore)."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1)))
+    """Lower-case word tokens (letters, digits, underscore) in their order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1))
 
 
 def match_word(keys: DataFrame, titles: DataFrame, key: str, title: str, title_order: str) -> DataFrame:
     """First title (by ``title_order``) that contains the key as whole words, ignoring case.
 
-    A word-boundary match needs the key's first word to be a word of the title, so both sides meet on that word by
-    an equi-join and only those candidates are tested; the first match is a pre-aggregated minimum. A key without
-    any word character matches nothing.
+    A word-boundary match needs all words of the key next to each other in the title, so both sides meet on the key's
+    whole word sequence by an equi-join, and only those candidates are tested for what stands between the words. Titles
+    give their word sequences of the lengths that keys have (a handful of numbers, collected). The first match is a
+    pre-aggregated minimum. A key without any word character matches nothing.
     """
-    anchored = keys.withColumn("__word", F.regexp_extract(F.lower(F.col(key)), r"(?U)(\w+)", 1))
-    spread = titles.select(title, title_order, F.explode(words(F.col(title))).alias("__word"))
+    anchored = keys.withColumn("__words", words(F.col(key))).filter(F.size("__words") > 0)
+    lengths = [r[0] for r in anchored.select(F.size("__words")).distinct().collect()]
+    found = words(F.col(title))
+    none = F.array().cast("array<string>")
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(found) - (n - 1))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(found, i, n), " "))
+        return F.when(F.size(found) >= n, joined).otherwise(none)
+
+    spread = titles.select(title, title_order, F.explode(F.array_distinct(F.concat(none, *map(runs, lengths)))).alias("__word"))
     literal = F.replace(F.col(key), F.lit(r"\E"), F.lit(r"\E\\E\Q"))
     quoted = F.concat(F.lit(r"(?iuU)\b\Q"), literal, F.lit(r"\E\b"))
     return (
-        anchored.join(spread, "__word")
+        anchored.select(key, F.array_join("__words", " ").alias("__word")).join(spread, "__word")
         .filter(F.rlike(F.col(title), quoted))
         .groupBy(key)
         .agg(F.min_by(title, title_order).alias(title), F.min(title_order).alias(title_order))
