@@ -424,10 +424,5 @@ def _walk_by_joins(packed, keep, forests, huge, slots):
 
 
 def default_prediction(scored: DataFrame, cut: float = DEFAULT_CUT) -> DataFrame:
-    """Anomalous when the score exceeds one half."""
-    return scored.withColumn("prediction", (F.col("score") > cut).cast("int"))
-
-
-def decision_score(scored: DataFrame, cut: float = DEFAULT_CUT) -> DataFrame:
-    """The shifted score: positive when anomalous, same ranking."""
-    return scored.withColumn("decision", F.col("score") - cut)
+    """Anomalous when the score exceeds one half; ``decision`` is the shifted score, positive when anomalous."""
+    return scored.withColumns({"prediction": (F.col("score") > cut).cast("int"), "decision": F.col("score") - cut})

@@ -117,10 +117,6 @@ def overlap(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     return left.select(*keys).intersect(right.select(*keys))
 
 
-def equal_key_sets(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> bool:
-    return key_difference(left, right, keys).isEmpty()
-
-
 def exclude(df: DataFrame, column: str, values: Sequence) -> DataFrame:
     """Rows whose column is none of a short list of values; rows without a value stay."""
     return df.filter(~F.coalesce(F.col(column).isin(list(values)), F.lit(False)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmith.functions.expressions import ordered_select
+from seriesmith.functions.expressions import ordered_select, require_columns
 from seriesmith.operators.cleaning import repair_scales
 from seriesmith.operators.ordered import (
     LargeKeys, find_large_keys, join_null_safe, join_per_key, max_rows_per_key, ordered_columns, row_position,
@@ -106,9 +106,11 @@ def position_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str | C
 
 def operation_data(series: DataFrame, signals: Sequence[str], large: Sequence[str] = (), small: Sequence[str] = (),
                    size: int = 60) -> DataFrame:
-    """Operation-phase rows with repaired signals and window numbers, metadata first."""
+    """Operation-phase rows with repaired signals and window numbers, metadata first; a missing column is an error."""
+    # Metadata columns of the output in their order.
     meta = ["Time", "elapsed_time", "anomaly_label", "identifier", "phase", "batch", "operating_point",
             "experiment_type", "experiment"]
+    require_columns(series, [*meta, *signals])
     fixed = repair_scales(series, {**{c: 500 for c in large}, **{c: 1 for c in small}})
     kept = ordered_select(phase_filter(fixed), [*meta, *signals], keep_rest=False)
     return tumbling_windows(kept, "elapsed_time", size)

@@ -28,7 +28,7 @@ def isolation_forest_scores(spark, sf_dir):
     """Default forest over all embedding vectors with the default decision."""
     packed = _embeddings(spark, sf_dir)
     fitted = fo.fit_forests(packed, ["vec_id"], [fo.ForestSpec()])
-    return fo.default_prediction(fo.score_forests(packed, fitted)).select("vec_id", "score", "prediction")
+    return fo.default_prediction(fo.score_forests(packed, fitted)).select("vec_id", "score", "decision", "prediction")
 
 
 @query("isolation_forest_nodes")

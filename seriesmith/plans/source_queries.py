@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesmith.functions.expressions import split_identifier
+from seriesmith.functions.expressions import features_except, split_identifier
 from seriesmith.operators.joins import pending_inputs
+from seriesmith.operators.series import operation_data
 from seriesmith.plans.bindings import windowed
 from seriesmith.plans.registry import load, query
 from seriesmith.session import scratch_path
@@ -194,3 +195,25 @@ def upload_parts(spark, sf_dir):
     ev = load(spark, sf_dir, "events").select(
         "user_id", F.date_format("ts", "HH:mm:ss.SSSSSS").alias("Timestamp"), "value", F.dayofmonth("ts").alias("d"))
     return files.combine_uploads([ev.filter("d <= 15").drop("d"), ev.filter("d > 15").drop("d")], ["user_id"])
+
+
+@query("operation_rows", f"""
+WITH {PLANT_SQL}, o AS (SELECT *, CAST(l_orderkey % 1000 AS DOUBLE) AS elapsed, CAST(floor(l_orderkey % 1000 / 60.0) AS INTEGER) AS k
+                        FROM pl WHERE phase = 'Operation')
+SELECT strftime(make_timestamp(l_orderkey % 86400 * 1000000), '%H:%M:%S') AS "Time", elapsed AS elapsed_time,
+       CAST(l_linenumber % 4 AS DOUBLE) AS anomaly_label,
+       concat_ws('/', phase, batch, operating_point, experiment_type, experiment) AS identifier,
+       phase, batch, operating_point, experiment_type, experiment, l_quantity AS quantity,
+       CASE WHEN l_extendedprice > 500 THEN l_extendedprice / 1000 ELSE l_extendedprice END AS price,
+       k AS "window", k * 60 AS window_start, (k + 1) * 60 AS window_end, 2 AS n_features
+FROM o""")
+def operation_rows(spark, sf_dir):
+    """Operation-phase rows of all experiments, repaired and windowed, metadata first; other columns are left out."""
+    rows = plant_rows(spark, sf_dir).withColumns({
+        "experiment_type": F.regexp_extract("experiment_file", "^(.*)_experiment_", 1),
+        "experiment": F.regexp_extract("experiment_file", "(experiment_.*)$", 1),
+        "elapsed_time": F.col("order") % 1000, "anomaly_label": F.col("line") % 4})
+    named = rows.withColumn("identifier", F.concat_ws("/", *files.PATH_COLUMNS))
+    out = operation_data(named, ["quantity", "price"], large=["price"])
+    meta = ["Time", "elapsed_time", "anomaly_label", "identifier", *files.PATH_COLUMNS, "window", "window_start", "window_end"]
+    return out.withColumn("n_features", F.lit(len(features_except(out, meta))))

@@ -175,11 +175,6 @@ def combine_uploads(frames: Sequence[DataFrame], keys: Sequence[str] = ()) -> Da
     return keep_first(timed, [*keys, "Time"], ["__part", "Timestamp"]).drop("__part", "Timestamp")
 
 
-def file_stem(path: Column) -> Column:
-    """File name without folder and extension."""
-    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
-
-
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     (df.hint("rebalance", *partition_by) if partition_by else df).write.mode(mode).partitionBy(*partition_by).parquet(path)
 

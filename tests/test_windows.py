@@ -128,10 +128,13 @@ def test_modalities_fan_out_and_default_label(spark):
 
 def test_operation_data(spark):
     rows = [("Operation", 0.0, 800.0), ("operation", 61.0, 20.0), ("Shutdown", 5.0, 1.0)]
-    df = spark.createDataFrame(rows, "phase string, elapsed_time double, T701 double").withColumn("identifier", F.lit("i"))
+    df = spark.createDataFrame(rows, "phase string, elapsed_time double, T701 double").withColumns({
+        c: F.lit("i") for c in ("Time", "anomaly_label", "identifier", "batch", "operating_point", "experiment_type", "experiment")})
     got = sorted((r["window"], r["window_start"], r["window_end"], r["T701"])
                  for r in series.operation_data(df, ["T701"], large=["T701"]).collect())
     assert got == [(0, 0, 60, 0.8), (1, 60, 120, 20.0)]
+    with pytest.raises(ValueError, match="T999"):
+        series.operation_data(df, ["T701", "T999"])
 
 
 @pytest.mark.parametrize("max_rows", [2, 100])
