@@ -28,8 +28,8 @@ from seriesmith.llm.common import pack_arrays, raw, stored, unpack_arrays
 #: Bytes of an anchor. Shorter ones repeat by chance, longer ones leave more anchors.
 GRAM = 20
 #: Bytes of text in one block or one pass over a batch.
-BLOCK_BYTES = 16 << 20
-CHUNK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 18  # arrays of this many entries stay in the processor's cache
 #: An anchor in more documents than this is exchanged window by window, so that no shard gets all of its suffixes.
 HOT_DOCUMENTS = 20_000
 NOBODY = np.iinfo(np.int64).max
@@ -55,13 +55,10 @@ def _joined(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     return data, ends - sizes, ends
 
 
-def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Padded data, and of each anchor its place there, its text's number and its 64-bit hash."""
+def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Padded data, where texts start in it, and of each anchor its place, its text's number and its 64-bit hash."""
     data, starts, ends = _joined(texts, length)
     n = len(data) - GRAM - 8
-    none = np.zeros(0, np.int64)
-    if n <= 0:
-        return data, none, none, none.astype(np.uint64)
     words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))  # the 8 bytes at every place
     code = words[:n] * np.uint64(0x9E3779B97F4A7C15)
     code ^= (words[8:n + 8] + (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -70,23 +67,20 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     code *= np.uint64(0x9FB21C651E98DF25)
     rank = (code >> np.uint64(32)).astype(np.uint32)
     width = length - GRAM + 1
-    long = (ends - starts) >= length
-    edge = np.zeros(n + 1, np.int32)  # windows that lie inside one text
-    edge[starts[long]] += 1
-    edge[np.minimum(ends[long] - length + 1, n)] -= 1
-    inside = np.cumsum(edge[:n])[: n - width + 1] > 0
     least = _sliding(rank, width, np.minimum)
-    least = np.where(inside, least, np.uint32(0))
-    padded = np.concatenate([np.zeros(width - 1, np.uint32), least, np.zeros(width - 1, np.uint32)])
-    chosen = _sliding(padded, width, np.maximum)  # the largest minimum of the windows around a place
-    covered = np.concatenate([[0], np.cumsum(inside)])
-    at = np.arange(n)
-    has = covered[np.minimum(at + 1, len(covered) - 1)] > covered[np.minimum(np.maximum(at - width + 1, 0), len(covered) - 1)]
-    place = np.flatnonzero((chosen[:n] == rank) & has)
+    # Windows that lie inside one text; the others must not choose an anchor.
+    windows = np.maximum(ends - starts - length + 1, 0)
+    sides = np.stack([starts - np.append(0, (starts + windows)[:-1]), windows], 1).ravel()
+    inside = np.zeros(len(least), np.uint32)
+    marks = np.repeat(np.tile(np.array([0, 1], np.uint32), len(texts)), sides)[: len(least)]
+    inside[: len(marks)] = marks
+    least = np.concatenate([np.zeros(width - 1, np.uint32), least * inside, np.zeros(width - 1, np.uint32)])
+    chosen = _sliding(least, width, np.maximum)  # the largest minimum of the windows around a place
+    place = np.flatnonzero(chosen[:n] == rank)
     owner = np.searchsorted(starts, place, "right") - 1
-    fits = (place + GRAM <= ends[owner]) & long[owner]
+    fits = (owner >= 0) & (place + GRAM <= ends[owner]) & (windows[owner] > 0)
     place, owner = place[fits], owner[fits]
-    return data, place, owner, code[place]
+    return data, starts, place, owner, code[place]
 
 
 def _chunks(sizes: list[int]) -> Iterator[slice]:
@@ -111,33 +105,36 @@ def _count_anchors(docs: DataFrame, length: int, blocks: int) -> DataFrame:
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            pairs = np.concatenate(held)
-            pairs = pairs[np.lexsort((pairs["block"], pairs["key"]))]
-            new = np.ones(len(pairs), bool)
-            new[1:] = pairs[1:] != pairs[:-1]
-            first = np.flatnonzero(new)
-            counts = np.diff(np.append(first, len(pairs))).astype("<u4")
-            pairs = pairs[first]
-            shard = (pairs["key"] >> np.uint64(32)).astype(np.int64)
+            key, block = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            if blocks <= 1 << 16:  # shard, hash and block in one number
+                both = np.sort(key << np.uint64(16) | block)
+                key, block = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype("<u4")
+            else:
+                order = np.lexsort((block, key))
+                key, block = key[order], block[order].astype("<u4")
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
+            counts = np.diff(np.append(first, len(key))).astype("<u4")
+            key, block = key[first], block[first]
+            shard = (key >> np.uint64(32)).astype(np.int64)
             bounds = np.searchsorted(shard, np.arange(blocks + 1))
             own = np.flatnonzero(np.diff(bounds))
-            blobs = [pack_arrays(pairs["key"][a:b].astype("<u4"), pairs["block"][a:b].astype("<u4"), counts[a:b])
+            blobs = [pack_arrays(key[a:b].astype("<u4"), block[a:b], counts[a:b])
                      for a, b in zip(bounds[own], bounds[own + 1])]
             for i in range(0, len(own), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(own[i:i + 64], pa.int32()), pa.array(blobs[i:i + 64], pa.binary())],
                                                  ["shard", "blob"])
 
-        kind = np.dtype([("key", "<u8"), ("block", "<u4")])
         for batch in batches:
             texts, block = [t or b"" for t in raw(batch, "text")], batch.column("block").to_numpy()
             for part in _chunks([len(t) for t in texts]):
-                _, _, owner, code = anchors(texts[part], length)
+                _, _, _, owner, code = anchors(texts[part], length)
+                key = _keys(code, blocks)
+                order = np.argsort(key, kind="stable")  # keeps the documents of a key in order
+                key, owner = key[order], owner[order]
                 # A document counts once for each of its anchors.
-                once = np.unique(np.rec.fromarrays([owner, _keys(code, blocks)], names="owner,key"))
-                pairs = np.zeros(len(once), kind)
-                pairs["key"], pairs["block"] = once["key"], block[part][once["owner"]]
-                held.append(pairs)
-                size += len(pairs)
+                once = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))[: len(key)]
+                held.append((key[once], block[part][owner[once]].astype(np.uint64)))
+                size += int(once.sum())
             if size > 2_000_000:
                 yield from flush()
                 held, size = [], 0
@@ -210,8 +207,7 @@ def _suffix_runs(length: int, blocks: int):
             least: list[int] = []
             rows, places, suffixes = [], [], []
             for part in _chunks([len(t) for t in texts]):
-                data, place, owner, code = anchors(texts[part], length)
-                _, starts, _ = _joined(texts[part], length)
+                data, starts, place, owner, code = anchors(texts[part], length)
                 key = _keys(code, blocks)
                 at = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
                 own = shared[at] == key
@@ -349,31 +345,52 @@ def _merge_shard(length: int):
             runs.append((front_decode(prefix, rest.tobytes(), width), prefix.tolist()))
             least.append(smallest.tolist())
             answers.append(np.repeat(smallest[:, None], back + 1, 1))
-        flat: list[tuple[list, list, list]] = [([], [], []) for _ in runs]  # index, value for all windows
+        whole: list[tuple[list, list]] = [([], []) for _ in runs]  # of each run: suffix, id for all its windows
+        spans: list[list[tuple[int, int, int, int]]] = [[] for _ in runs]  # suffix, first and last window, id
 
-        def settle(group: list[tuple[bytes, int, list[tuple[int, int]]]]) -> None:
-            """group: distinct strings that share an anchor, their smallest id and where they are."""
-            if len(group) == 1:
-                _, smallest, members = group[0]
+        def settle(group: list[tuple[bytes, int, list[tuple[int, int]]]], shares: list[int]) -> None:
+            """group: distinct strings that share an anchor, their smallest id and where they are; ``shares``: the bytes
+            from the anchor on that each has in common with the string before."""
+            for _, smallest, members in group:
                 if len(members) > 1:
                     for r, i in members:
-                        flat[r][0].append(i)
-                        flat[r][1].append(smallest)
+                        whole[r][0].append(i)
+                        whole[r][1].append(smallest)
+            if len(group) < 2:
+                return
+            if len(group) == 2:
+                # Windows that reach no further back than the common bytes before the anchor, nor further on than behind it.
+                (a, first_id, _), (b, second_id, _) = group
+                differ = int.from_bytes(a[length:], "big") ^ int.from_bytes(b[length:], "big")
+                first, last = max(0, length - shares[1]), ((differ & -differ).bit_length() - 1) // 8 if differ else back
+                if first <= last and first_id != second_id:
+                    for r, i in group[first_id < second_id][2]:
+                        spans[r].append((i, first, last, min(first_id, second_id)))
                 return
+            # A string meets others from the window on that is no longer than what it shares with a neighbour.
+            begins = [length - max(x, y) for x, y in zip(shares, [*shares[1:], 0])]
             turned = [s[length:] + s[:length] for s, _, _ in group]
-            pads = [back - len(s[length:].lstrip(b"\xff")) for s, _, _ in group]
-            for o in range(back + 1):
+            running: dict[int, tuple[int, int]] = {}  # string: first window, id
+            for o in range(max(0, min(begins)), back + 1):
                 found: dict[bytes, int] = {}
-                windows = [(k, t[back - o:width - o]) for k, (t, p) in enumerate(zip(turned, pads)) if o <= back - p]
-                for k, w in windows:
+                live = [(k, t[back - o:width - o]) for k, (t, at) in enumerate(zip(turned, begins)) if at <= o]
+                for k, w in live:
                     if group[k][1] < found.get(w, NOBODY):
                         found[w] = group[k][1]
-                for k, w in windows:
-                    value = found[w]
+                for k, w in live:
+                    value = found[w] if found[w] < group[k][1] else NOBODY
+                    began, old = running.get(k, (o, NOBODY))
+                    if value != old:
+                        if old != NOBODY:
+                            for r, i in group[k][2]:
+                                spans[r].append((i, began, o - 1, old))
+                        running[k] = (o, value)
+            for k, (began, old) in running.items():
+                if old != NOBODY:
                     for r, i in group[k][2]:
-                        answers[r][i, o] = value
+                        spans[r].append((i, began, back, old))
 
-        group: list = []
+        group, shares = [], []
         for share, r, i in merge_runs(runs):
             if share == width and group:
                 s, smallest, members = group[-1]
@@ -381,15 +398,20 @@ def _merge_shard(length: int):
                 if least[r][i] < smallest:
                     group[-1] = (s, least[r][i], members)
                 continue
-            if share < GRAM and group:
-                settle(group)
-                group = []
+            if share < GRAM:
+                settle(group, shares)
+                group, shares = [], []
             group.append((runs[r][0][i], least[r][i], [(r, i)]))
-        if group:
-            settle(group)
-        for (strings, _), answer, (at, value, _) in zip(runs, answers, flat):
-            if at:
-                answer[np.array(at)] = np.array(value, np.int64)[:, None]
+            shares.append(min(share, length) if shares else 0)
+        settle(group, shares)
+        for (strings, _), answer, all_windows, some in zip(runs, answers, whole, spans):
+            if all_windows[0]:
+                answer[np.array(all_windows[0])] = np.array(all_windows[1], np.int64)[:, None]
+            if some:
+                suffix, first, last, value = np.array(some, np.int64).T
+                for o in range(back + 1):
+                    own = (first <= o) & (o <= last)
+                    answer[suffix[own], o] = value[own]
             matrix = np.frombuffer(b"".join(strings), np.uint8).reshape(-1, width)
             before = (matrix[:, length:] == PAD).sum(1)[:, None]
             behind = (matrix[:, :length] == PAD).sum(1)[:, None]
@@ -459,7 +481,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot_documents: int = HOT_D
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(max(4, -(-total // block_bytes)))
+    # Small inputs are dealt over the session's partitions too, down to a sixteenth of a block.
+    spread = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-16 * total // block_bytes))
+    blocks = int(max(4, -(-total // block_bytes), spread))
     rows = docs.select(
         row_hash().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NOBODY))).alias("rank"), "text",
     ).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
