@@ -151,6 +151,14 @@ def drop_incidents(incidents: DataFrame, experiments: DataFrame, keys: Sequence[
     )
 
 
+def label_grid(series: DataFrame, keys: Sequence[str], time: str, name: str = "t", step: int = 1) -> DataFrame:
+    """Every ``step`` time units from the first to the last time of each key (whole numbers), to be labelled."""
+    t = F.col(time).cast("long")
+    span = series.groupBy(*keys).agg(F.min(t).alias("__lo"), F.max(t).alias("__hi"))
+    return span.filter("__lo IS NOT NULL").select(
+        *keys, F.explode(F.sequence("__lo", "__hi", F.lit(step).cast("long"))).alias(name))
+
+
 def label_incidents(df: DataFrame, rules: DataFrame, keys: Sequence[str], time: str, order: Sequence[str],
                     name: str = "label", max_rows: int | None = None) -> DataFrame:
     """Per-row label 0-3: label 2 is never overwritten, otherwise the rule written last wins, default 0."""

@@ -237,6 +237,21 @@ def incident_labels(spark, sf_dir):
     return intervals.label_incidents(ev.select("event_id", "user_id", "t"), rules, USER, "t", ["incident"])
 
 
+@query("label_grid", f"""
+WITH {EV_SQL}, {INCIDENTS_SQL},
+sp AS (SELECT user_id, min(t) AS lo, max(t) AS hi FROM ev GROUP BY user_id),
+g AS (SELECT user_id, unnest(generate_series(lo, hi, 14400)) AS t FROM sp)
+SELECT g.user_id, g.t, CAST(CASE WHEN max(ru.label = 2) THEN 2
+         ELSE coalesce(arg_max(ru.label, ru.incident * 10 + ru.ro), 0) END AS INTEGER) AS label
+FROM g LEFT JOIN ru ON g.user_id = ru.user_id AND g.t BETWEEN ru.lo AND ru.hi GROUP BY g.user_id, g.t""")
+def label_grid(spark, sf_dir):
+    """A label series of its own: one row per four hours from the first to the last event of an entity."""
+    ev = events(spark, sf_dir)
+    rules = intervals.incident_rules(incidents(ev), "sc", "ec", "se", "ee", "class", "incident")
+    grid = intervals.label_grid(ev, USER, "t", step=14400)
+    return intervals.label_incidents(grid, rules, USER, "t", ["incident"])
+
+
 @query("incident_rows", f"""
 WITH {EV_SQL}, {INCIDENTS_SQL}
 SELECT u.user_id, count(inc.incident) AS n_incidents, CAST(coalesce(max(inc.class), 0) AS INTEGER) AS worst_class
