@@ -73,18 +73,32 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)).cast("int")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, folds: int = 5) -> DataFrame:
-    """(text, label) of at most ``rows`` labelled documents outside fold 0, the smallest by a hash of the id.
-
-    The sample of ids is drawn from the narrow label table, so its broadcast has at most ``rows`` rows and no text is
-    shuffled. A document labelled more than once counts with its largest label; null labels are left out.
-    """
-    ids = (
+def known_labels(labels: DataFrame, label: str, folds: int = 5) -> DataFrame:
+    """(__id, __label) outside fold 0: one row per id, with its largest label; null ids and labels are left out."""
+    return (
         labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label"))
         .filter(F.col("__id").isNotNull() & F.col("__label").isNotNull() & (fold(F.col("__id"), folds) != 0))
         .groupBy("__id").agg(F.max("__label").alias("__label"))
-        .orderBy(F.xxhash64("__id"), "__id").limit(rows)
     )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, folds: int = 5,
+                    even: bool = False) -> DataFrame:
+    """(doc_id, text, label) of at most ``rows`` labelled documents outside fold 0, the smallest by a hash of the id.
+
+    ``even`` takes at most half of them from each side of the label. The ids are drawn from the narrow label table, so
+    their broadcast has at most ``rows`` rows and no text is shuffled.
+    """
+    known = known_labels(labels, label, folds)
+
+    def first(df: DataFrame, n: int) -> DataFrame:
+        return df.orderBy(F.xxhash64("__id"), "__id").limit(n)
+
+    if even:
+        ids = first(known.filter("__label > 0"), rows // 2).unionByName(
+            first(known.filter("__label <= 0"), rows - rows // 2))
+    else:
+        ids = first(known, rows)
     texts = docs.select(F.col("doc_id").alias("__doc"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.join(F.broadcast(ids), F.col("__doc") == F.col("__id")).select(
         F.col("__id").alias("doc_id"), "text", F.col("__label").alias("label")

@@ -11,24 +11,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import fold, labelled_sample, raw
+from seriesmith.llm.common import fold, known_labels, labelled_sample, pack_arrays, raw, unpack_arrays
 
 #: Words whose scores a task remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the labelled rows used for the fit; ``buckets`` and ``size`` bound the model."""
+    """``sample_rows`` bounds the labelled rows used for the fit; ``buckets`` and ``size`` bound the model.
 
-    sample_rows: int = 8000
+    Half of the sample is toxic, where there are enough; ``prior`` is the share of the difference to the true odds that
+    the bias gets back (1: calibrated to the true rate, 0: as if half of all documents were toxic).
+    """
+
+    sample_rows: int = 6000
     grams: tuple[int, ...] = (3, 4, 5)
     buckets: int = 1 << 17
     size: int = 16
-    epochs: int = 5
+    epochs: int = 8
     batch: int = 128
     rate: float = 0.5
-    positive_weight: float = 1.5
+    prior: float = 0.5
     seed: int = 11
 
 
@@ -85,7 +89,6 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Sett
     W, b = np.zeros((s.size, 2), np.float32), np.zeros(2, np.float32)
     W[:] = rng.normal(0, 0.1, W.shape)
     seen_e, seen_w, seen_b = np.full(s.buckets, 1e-8, np.float32), np.full(W.shape, 1e-8, np.float32), 1e-8
-    weight = np.where(labels == 1, s.positive_weight, 1.0)
     order = np.arange(len(bags))
     for _ in range(s.epochs):
         rng.shuffle(order)
@@ -102,8 +105,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Sett
             logits = np.stack([np.bincount(row, val * (rows @ W[:, c])[place], len(part)) for c in (0, 1)], 1) + b
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(part)), labels[part]] -= 1
-            p *= weight[part][:, None]  # gradient of the loss at the logits
+            p[np.arange(len(part)), labels[part]] -= 1  # gradient of the loss at the logits
             per_bucket = np.bincount(place, val * p[row, 1], len(used)).astype(np.float32)
             grad_w = np.outer(per_bucket @ rows, [-1, 1]).astype(np.float32)
             direction = W[:, 1] - W[:, 0]
@@ -128,20 +130,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [document_bag(t, s.grams, s.buckets) for t in raw(batch, "text")]
+            bags = [pack_arrays(np.diff(x, prepend=np.int32(0)), v) for x, v in made]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array([x.tobytes() for x, _ in made], pa.binary()),
-                 pa.array([v.tobytes() for _, v in made], pa.binary())], ["doc_id", "label", "ids", "weights"])
+                [batch.column("doc_id"), batch.column("label"), pa.array(bags, pa.binary())], ["doc_id", "label", "bag"])
 
-    sample = labelled_sample(docs, labels, label, s.sample_rows)
-    schema = T.StructType([*sample.select("doc_id", "label").schema, T.StructField("ids", T.BinaryType()),
-                           T.StructField("weights", T.BinaryType())])
+    sample = labelled_sample(docs, labels, label, s.sample_rows, even=True)
+    schema = T.StructType([*sample.select("doc_id", "label").schema, T.StructField("bag", T.BinaryType())])
     table = sample.mapInArrow(bags, schema).toArrow()
     if not table.num_rows:
         return np.zeros(s.buckets, np.float32), 0.0
-    rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("label").to_pylist(),
-                      table.column("ids"), table.column("weights")), key=lambda r: (r[0], len(r[2].as_buffer())))
-    made = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float32)) for _, _, i, w in rows]
-    return train(made, np.array([int(y > 0) for _, y, _, _ in rows]), s)
+    rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("label").to_pylist(), table.column("bag").to_pylist()))
+    del table
+    made = []
+    for _, _, blob in rows:
+        steps, weights = unpack_arrays(blob, "<i4", "<f4")
+        made.append((np.cumsum(steps, dtype=np.int32), weights))
+    y = np.array([int(y > 0) for _, y, _ in rows])
+    per_bucket, bias = train(made, y, s)
+    yes, no = known_labels(labels, label).agg(F.count_if(F.col("__label") > 0), F.count_if(F.col("__label") <= 0)).first()
+    if y.any() and not y.all():
+        bias += s.prior * float(np.log(yes / no) - np.log(y.sum() / (len(y) - y.sum())))
+    return per_bucket, bias
 
 
 def score(docs: DataFrame, per_bucket: np.ndarray, bias: float, settings: Settings = Settings(),
