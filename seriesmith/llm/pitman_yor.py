@@ -22,9 +22,9 @@ from seriesmith.llm.common import SLABS, fold, in_slabs, pack_arrays, raw, store
 
 CONTEXTS = 1 << 16
 #: Tokens that a task gathers before it sends them, bytes of text hashed at once, bytes of text per shard.
-CHUNK_TOKENS = 1_500_000
-CHUNK_BYTES = 2 << 20
-SHARD_BYTES = 32 << 20
+CHUNK_TOKENS = 1_000_000
+CHUNK_BYTES = 1 << 19
+SHARD_BYTES = 16 << 20
 
 _U = np.uint64
 _PRIME = 0x9E3779B97F4A7C15 | 1
@@ -127,16 +127,16 @@ def _member(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _hot(docs: DataFrame, shards: int, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of words and of (word, context) pairs with more than a quarter of a shard in a sample of documents.
+    """Hashes of words and of (word, context) pairs that fill more than a shard, judged by a sample of documents.
 
-    They only decide how rows are dealt. There are at most ``4 * shards`` of each.
+    They only decide how rows are dealt. There are at most as many of each as shards.
     """
     def run(batches):
         for code, context, *_ in _chunks(batches):
             rows = [[], [], []]
             for kind, values in enumerate((code, _pair(code, context))):
                 found, counts = np.unique(values, return_counts=True)
-                many = counts * 16 * shards > len(code)
+                many = counts * 4 * shards > len(code)
                 rows[0] += [kind] * int(many.sum())
                 rows[1] += found[many].view(np.int64).tolist()
                 rows[2] += counts[many].tolist()
@@ -149,7 +149,7 @@ def _hot(docs: DataFrame, shards: int, part: int) -> tuple[np.ndarray, np.ndarra
     counts = stored(chosen.mapInArrow(run, "kind long, code long, n long").groupBy("kind", "code").agg(
         F.sum("n").alias("n")), "frequent")
     total = counts.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
-    rows = counts.filter((F.col("kind") < 2) & (F.col("n") * 4 * shards > total)).collect()
+    rows = counts.filter((F.col("kind") < 2) & (F.col("n") * shards > total)).collect()
     return tuple(np.sort(np.array([r["code"] for r in rows if r["kind"] == k], np.int64).view(np.uint64)) for k in (0, 1))
 
 
@@ -200,19 +200,25 @@ def _gather(words: np.ndarray, pairs: np.ndarray):
             return pa.table([table.column("kind"), table.column("key"), table.column("chunk"), table.column("blob"),
                              none, none], names)
         chunks = table.column("chunk").to_numpy()
-        parts = []
-        for i in np.argsort(chunks):
-            w, runs, context, owner, times, train = unpack_arrays(
-                table.column("blob")[int(i)].as_py(), "<u8", "<u4", "<u2", "<u4", "<u4", "u1")
-            parts.append((np.repeat(w, runs), context, np.full(len(context), i, np.uint32), owner, times,
-                          np.where(train[owner] > 0, times, 0)))
-        w, context, chunk, owner, times, taught = (np.concatenate([p[i] for p in parts]) for i in range(6))
-        del parts
+        blobs, types = table.column("blob"), ("<u8", "<u4", "<u2", "<u4", "<u4", "u1")
+        order = [int(i) for i in np.argsort(chunks)]
+        sizes = [len(unpack_arrays(blobs[i].as_py(), *types)[2]) for i in order]
+        n, at = sum(sizes), 0
+        # Filled part by part: a shard's postings are held once.
+        w, context = np.empty(n, np.uint64), np.empty(n, np.uint16)
+        chunk, owner, times, taught = (np.empty(n, np.uint32) for _ in range(4))
+        for i, size in zip(order, sizes):
+            word, runs, here, who, many, train = unpack_arrays(blobs[i].as_py(), *types)
+            own = slice(at, at + size)
+            w[own], context[own], chunk[own], owner[own], times[own] = np.repeat(word, runs), here, i, who, many
+            taught[own] = many * (train[who] > 0)
+            at += size
         order = np.lexsort((context, w))
         w, context = w[order], context[order]
         first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (context[1:] != context[:-1])))
         row = np.repeat(np.arange(len(first), dtype=np.uint32), np.diff(np.append(first, len(w))))
-        count = np.add.reduceat(taught[order].astype(np.int64), first)
+        count = np.add.reduceat(taught[order], first, dtype=np.int64)
+        del taught
         w, context = w[first], context[first]
         new = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
         runs = np.diff(np.append(new, len(w))).astype("<u4")
@@ -344,7 +350,7 @@ def _start(total: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> Shared:
 
 
 def _next(shared: Shared, total: np.ndarray, owners: np.ndarray, contexts: np.ndarray, s: Settings, turn: int) -> Shared:
-    """The shared state after a round; rows that span shards are seated here, at most four for each shard."""
+    """The shared state after a round; rows that span shards are seated here, at most one for each shard."""
     rng = np.random.default_rng([s.seed, turn])
     by_context, (customers, parent_tables), hot = total[:CONTEXTS].astype(float), total[CONTEXTS:CONTEXTS + 2], total[CONTEXTS + 2:].astype(float)
     theta, g = s.parent_strength, shared
@@ -367,8 +373,8 @@ def scores(docs: DataFrame, settings: Settings = Settings(), folds: int = 7, hel
            shard_bytes: int = SHARD_BYTES, sample_part: int = 64) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
-    Words are known by 64-bit hashes, contexts by 16 bits of another. A word or pair that would fill a quarter of a
-    shard is dealt over all shards; its counts are added up exactly. What the driver collects and sends is one number per
+    Words are known by 64-bit hashes, contexts by 16 bits of another. A word or pair that would fill a shard is
+    dealt over all shards; its counts are added up exactly. What the driver collects and sends is one number per
     context and a few per shard. Null texts are empty and hold the end token alone; a null id counts as the empty text
     when folds are drawn; repeated rows count each time; extra columns are ignored; an empty table gives an empty result.
     """
