@@ -193,6 +193,7 @@ def _suffix_runs(length: int, blocks: int):
     """Of a block: rows (kind 0) with its sorted run for each shard, and (kind 1) where each suffix of a run occurs."""
     back = length - GRAM
     width = length + back
+    flagged = width + 1  # the last byte tells hot windows from suffixes at the start of a text, which end in padding too
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         out = {"kind": [], "target": [], "block": [], "blob": []}
@@ -213,11 +214,14 @@ def _suffix_runs(length: int, blocks: int):
                 own = shared[at] == key
                 place, owner, at = place[own], owner[own], at[own]
                 wide = hot[at] > 0
-                strings = [np.stack([data[place[~wide] + i] for i in [*range(length), *range(-back, 0)]], 1)]
-                spots, owners = [place[~wide]], [owner[~wide]]
+                cold = place[~wide]
+                strings = [np.stack([*(data[cold + i] for i in [*range(length), *range(-back, 0)]),
+                                     np.zeros(len(cold), np.uint8)], 1)]
+                spots, owners = [cold], [owner[~wide]]
                 for step in range(back + 1) if wide.any() else ():
                     here = place[wide] - step
-                    window = np.full((len(here), width), PAD, np.uint8)
+                    window = np.full((len(here), flagged), PAD, np.uint8)
+                    window[:, width] = 1
                     for i in range(length):
                         window[:, i] = data[here + i]
                     whole = (window[:, :length] != PAD).all(1)
@@ -227,7 +231,7 @@ def _suffix_runs(length: int, blocks: int):
                 flat, owner = np.concatenate(strings).tobytes(), np.concatenate(owners)
                 rank = ranks[part][owner].tolist()
                 for i, r in enumerate(rank):
-                    s = flat[i * width:(i + 1) * width]
+                    s = flat[i * flagged:(i + 1) * flagged]
                     n = numbers.setdefault(s, len(least))
                     if n == len(least):
                         least.append(r)
@@ -238,11 +242,12 @@ def _suffix_runs(length: int, blocks: int):
                 places.append(np.concatenate(spots) - starts[owner])
             if numbers:
                 ordered = sorted(numbers)
-                matrix = np.frombuffer(b"".join(ordered), np.uint8).reshape(-1, width)
+                matrix = np.frombuffer(b"".join(ordered), np.uint8).reshape(-1, flagged)
+                matrix, hot_window = matrix[:, :width], matrix[:, width] > 0
                 old = np.fromiter(map(numbers.__getitem__, ordered), np.int64, len(ordered))
                 smallest = np.array(least, np.int64)[old]
                 # A hot window is named by all its bytes, any other suffix by its anchor.
-                named = np.where((matrix[:, length:] == PAD).all(1), length, GRAM)
+                named = np.where(hot_window, length, GRAM)
                 shard = _shards(matrix, named, blocks)
                 new = np.empty(len(old), np.int64)
                 by_shard = np.argsort(shard, kind="stable")

@@ -58,6 +58,20 @@ def test_equals_brute_force(spark, options):
     assert found(spark, rows, **options) == brute(rows)
 
 
+@pytest.mark.parametrize("hot_documents", [2, 20_000])
+def test_openings_inside_other_documents(spark, hot_documents):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    rows = []
+    for i in range(400):
+        opening = text(rng.choice([50, 51, 70]))
+        whole, inside = opening + text(40), text(rng.randint(1, 60)) + opening + text(rng.randint(0, 40))
+        rows += [(2 * i, whole), (2 * i + 1, inside)] if i % 2 else [(2 * i, inside), (2 * i + 1, whole)]
+        if i % 10 == 0:
+            rows += [(1000 + 3 * i + k, text(k) + opening) for k in range(3)]
+    assert found(spark, rows, hot_documents=hot_documents, block_bytes=3000) == brute(rows)
+
+
 def test_table_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
