@@ -114,8 +114,13 @@ def kept_documents(docs: DataFrame, radius: int = 2, width: int = 3, seed: int =
     A null id is the largest; rows that share the smallest id are settled by a hash of their text.
     """
     marked, classes = _marked(docs, radius, width, seed)
+    return first_rows(docs, marked.join(classes.select("fp", "component"), "fp"))
+
+
+def first_rows(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """Of each component of ``named`` (doc_id, key, component) the row of ``docs`` with the smallest id."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    kept = marked.join(classes.select("fp", "component"), "fp").groupBy("component").agg(first.alias("first"))
+    kept = named.groupBy("component").agg(first.alias("first"))
     keys = kept.select(F.col("first.key").alias("__kept"))
     one = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))  # equal keys: equal rows
     return (
