@@ -86,23 +86,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, f
                     even: bool = False) -> DataFrame:
     """(doc_id, text, label) of at most ``rows`` labelled documents outside fold 0, the smallest by a hash of the id.
 
-    ``even`` takes at most half of them from each side of the label. The ids are drawn from the narrow label table, so
-    their broadcast has at most ``rows`` rows and no text is shuffled.
+    ``even`` takes at most half of them from each side of the label. The ids are drawn from the narrow label table. A
+    document is a distinct (id, text); where ids repeat with other texts, the documents to keep are drawn from their
+    hashes before any text is sent, so that both broadcasts have at most ``rows`` rows.
     """
-    known = known_labels(labels, label, folds)
-
-    def first(df: DataFrame, n: int) -> DataFrame:
-        return df.orderBy(F.xxhash64("__id"), "__id").limit(n)
-
-    if even:
-        ids = first(known.filter("__label > 0"), rows // 2).unionByName(
-            first(known.filter("__label <= 0"), rows - rows // 2))
-    else:
-        ids = first(known, rows)
-    texts = docs.select(F.col("doc_id").alias("__doc"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids), F.col("__doc") == F.col("__id")).select(
-        F.col("__id").alias("doc_id"), "text", F.col("__label").alias("label")
-    )
+    def first(df: DataFrame, order: list[str]) -> DataFrame:
+        def least(side: DataFrame, n: int) -> DataFrame:
+            return side.orderBy(F.xxhash64(*order), *order).limit(n)
+
+        if not even:
+            return least(df, rows)
+        return least(df.filter("__label > 0"), rows // 2).unionByName(least(df.filter("__label <= 0"), rows - rows // 2))
+
+    ids = first(known_labels(labels, label, folds), ["__id"])
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(F.col("doc_id").alias("__doc"), text.alias("text"), F.xxhash64(text).alias("__hash"))
+    found = texts.select("__doc", "__hash").join(F.broadcast(ids), F.col("__doc") == F.col("__id"))
+    chosen = first(found.select("__id", "__hash", "__label").distinct(), ["__id", "__hash"])
+    own = texts.withColumnRenamed("__hash", "__own")
+    return own.join(F.broadcast(chosen), (F.col("__doc") == F.col("__id")) & (F.col("__own") == F.col("__hash"))).groupBy(
+        F.col("__id").alias("doc_id"), "__hash", F.col("__label").alias("label")
+    ).agg(F.first("text").alias("text")).select("doc_id", "text", "label")
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str,

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesmith.llm import quality, toxicity
+from seriesmith.llm import common, quality, toxicity
 
 SCHEMA = "doc_id long, text string, score string, label string"
 BAD = ["trash", "idiots", "pathetic"]
@@ -125,3 +125,13 @@ def test_temperature_minimises_the_loss():
     z = rng.normal(0, 2, 4000)
     y = (rng.random(4000) < 1 / (1 + np.exp(-z))).astype(float)
     assert abs(quality.temperature(3 * z, y) - 3) < 0.4
+
+
+@pytest.mark.parametrize("even", [False, True])
+def test_sample_is_bounded_when_an_id_repeats(spark, even):
+    rows = [(1, "a copy")] * 2000 + [(1, f"text {i}") for i in range(2000)] + [(i, f"own {i}") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, toxic int")
+    found = common.labelled_sample(docs, labels, "toxic", 60, even=even).collect()
+    assert 30 <= len(found) <= 60 and len({(r.doc_id, r.text) for r in found}) == len(found)
+    assert {(r.doc_id, r.text) for r in found} <= set(rows) and all(r.label == r.doc_id % 2 for r in found)
