@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesmith.llm import mixing, near_copies, packing, suffix_dedup, toxicity
+from seriesmith.llm import mixing, packing, simhash, suffix_dedup, toxicity
 from seriesmith.llm.common import load, stored
 from seriesmith.session import ship_package
 
@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word similarity of 0.8, verified on the texts."""
-    return near_copies.kept_documents(docs)
+    """One document of each near-duplicate group stays: fingerprints of 3-word shingles linked at 2 bits or fewer."""
+    return simhash.kept_documents(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the pieces of all documents that the stages keep; an empty table of documents gives an empty result.
+
+    Null texts count as empty and null ids as the largest; stages ignore columns they do not know.
+    """
     ship_package(spark)
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
