@@ -122,8 +122,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Sett
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings = Settings()):
     """Logit difference per bucket and bias, fitted on at most ``sample_rows`` labelled documents outside fold 0.
 
-    The documents' bags are made on the executors; the driver receives at most ``sample_rows`` bags of at most
-    ``buckets`` entries. Without any labelled row, every score is one half.
+    The documents' bags are made by the tasks that read them; one further task takes the bounded sample, at most
+    ``sample_rows`` bags of at most ``buckets`` entries, and trains on it. Only the model, ``buckets`` numbers, comes to
+    the driver. Without any labelled row, every score is one half.
     """
     s = settings
 
@@ -134,22 +135,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("label"), pa.array(bags, pa.binary())], ["doc_id", "label", "bag"])
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "bag"))))
+        if rows:
+            made, y = [], np.array([int(label > 0) for _, label, _ in rows])
+            for _, _, blob in rows:
+                steps, weights = unpack_arrays(blob, "<i4", "<f4")
+                made.append((np.cumsum(steps, dtype=np.int32), weights))
+            per_bucket, bias = train(made, y, s)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([per_bucket.tobytes()], pa.binary()), pa.array([bias]), pa.array([len(y)], pa.int64()),
+                 pa.array([int(y.sum())], pa.int64())], ["model", "bias", "n", "positive"])
+
     sample = labelled_sample(docs, labels, label, s.sample_rows, even=True)
     schema = T.StructType([*sample.select("doc_id", "label").schema, T.StructField("bag", T.BinaryType())])
-    table = sample.mapInArrow(bags, schema).toArrow()
-    if not table.num_rows:
+    fitted = sample.mapInArrow(bags, schema).repartition(1).mapInArrow(
+        learn, "model binary, bias double, n long, positive long").first()
+    if fitted is None:
         return np.zeros(s.buckets, np.float32), 0.0
-    rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("label").to_pylist(), table.column("bag").to_pylist()))
-    del table
-    made = []
-    for _, _, blob in rows:
-        steps, weights = unpack_arrays(blob, "<i4", "<f4")
-        made.append((np.cumsum(steps, dtype=np.int32), weights))
-    y = np.array([int(y > 0) for _, y, _ in rows])
-    per_bucket, bias = train(made, y, s)
+    per_bucket, bias = np.frombuffer(fitted.model, np.float32), fitted.bias
     yes, no = known_labels(labels, label).agg(F.count_if(F.col("__label") > 0), F.count_if(F.col("__label") <= 0)).first()
-    if y.any() and not y.all():
-        bias += s.prior * float(np.log(yes / no) - np.log(y.sum() / (len(y) - y.sum())))
+    if 0 < fitted.positive < fitted.n:
+        bias += s.prior * float(np.log(yes / no) - np.log(fitted.positive / (fitted.n - fitted.positive)))
     return per_bucket, bias
 
 
