@@ -3,26 +3,33 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import raw, stored
+from seriesmith.llm.common import stored
 
 #: Words whose ids a task remembers; the memory is emptied when full.
 REMEMBERED = 1_000_000
 _TOKENIZERS: dict[str, object] = {}
-#: Ids of words seen by this worker, by tokenizer; kept from task to task.
-_MEMORY: dict[str, dict[bytes, bytes]] = {}
-#: A word of ASCII letters, with ASCII marks behind it or not: normalising only lowers it, and the parts are split.
-_LETTERS_MARKS = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
+#: Words seen by this worker, by tokenizer; kept from task to task.
+_WORDS: dict[str, Words] = {}
+#: Stands between words that are encoded together; words that hold it or may hold an added token are encoded alone.
+MARK = "\x01"
+TOGETHER = 20_000
+#: Bytes of text whose new words are learned together.
+TEXTS = 1 << 22
+#: ASCII marks that pre-tokenizers split from letters and digits before them.
+CLOSING = ".,;:!?%$#&*"
+#: An end that normalising leaves one letter or digit, so that marks behind it stay apart.
+_LETTER_END = "[0-9A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]$"
 
 
 def _tokenizer(path: str):
@@ -40,36 +47,107 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def _word_ids(encoder, word: bytes) -> bytes:
-    """Ids of one word by the tokenizer's own steps, without the alignments that its one call would track.
-
-    A word that may hold an added token goes through that call.
-    """
-    text = word.decode()
-    if "<" in text:
-        ids = encoder.encode(text, add_special_tokens=False).ids
-    else:
-        normal = encoder.normalizer.normalize_str(text)
-        ids = [t.id for piece, _ in encoder.pre_tokenizer.pre_tokenize_str(normal) for t in encoder.model.tokenize(piece)]
-    return np.array(ids, "<u4").tobytes()
-
-
-def _learn(encoder, memory: dict[bytes, bytes], new: list[bytes]) -> None:
-    """Add the ids of new words; letters before closing marks are encoded once for all their spellings."""
-    model, keeps = encoder.model, encoder.normalizer.normalize_str("Az") == "az"
-    for word in new:
-        match = _LETTERS_MARKS.fullmatch(word) if keeps else None
-        if match is None:
-            memory[word] = _word_ids(encoder, word)
-            continue
-        letters, marks = match.groups()
-        letters = letters.lower()
-        ids = memory.get(letters)
-        if ids is None:
-            ids = memory[letters] = np.array([t.id for t in model.tokenize(letters.decode())], "<u4").tobytes()
-        if marks and marks not in memory:
-            memory[marks] = _word_ids(encoder, marks)
-        memory[word] = ids + memory[marks] if marks else ids
+def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs values[start:start + length] one behind the other."""
+    before = np.cumsum(lengths) - lengths
+    return values[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
+
+
+class Words:
+    """Ids of words, each encoded once while it is remembered; the memory is emptied when it is full."""
+
+    def __init__(self, path: str):
+        self.encoder = _tokenizer(path)
+        self.ids: dict[bytes, bytes] = {}
+        # Where all spellings have the same ids, words are remembered in lower case.
+        self.lowers = self._encode("Az") == self._encode("az")
+        self.splits = self._encode("a.,") == self._encode("a") + self._encode(".,")
+        self.mark = self._encode(MARK)
+        self.ends = np.zeros(self.encoder.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.encoder.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def _encode(self, text: str) -> list[int]:
+        return self.encoder.encode(text, add_special_tokens=False).ids
+
+    def _parts(self, words: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Words without the ASCII marks at their end, then the marks, as codes of one dictionary; and where marks go."""
+        heads = pc.ascii_rtrim(words, characters=CLOSING)
+        apart = pc.and_(pc.match_substring_regex(heads, _LETTER_END), pc.invert(pc.match_substring(words, "<")))
+        heads = pc.if_else(apart if self.splits else False, heads, words)
+        whole, kept = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (words, heads))
+        marked = np.flatnonzero(whole > kept)
+        ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)[1:].astype(np.int64)
+        lengths = (whole - kept)[marked]
+        data = _gather(np.frombuffer(words.buffers()[2], np.uint8), ends[marked] - lengths, lengths)
+        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        tails = pa.StringArray.from_buffers(len(marked), pa.py_buffer(offsets), pa.py_buffer(data))
+        return pa.concat_arrays([heads, tails]).dictionary_encode(), marked
+
+    def _together(self, words: list[bytes], between: str, last: Callable[[np.ndarray], np.ndarray], keep: int) -> bool:
+        """Encode words as one text and cut its ids behind (``keep`` 4) or before (0) the ids that end a word."""
+        text = between.encode().join(words).decode()
+        ids = np.array(self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        at = 4 * np.flatnonzero(last(ids))
+        if len(at) != len(words) - (0 if keep else 1):
+            return False
+        blob, starts = ids.tobytes(), [0, *(at + 4).tolist()]
+        self.ids.update(zip(words, [blob[a:b] for a, b in zip(starts, [*(at + keep).tolist(), len(blob)])]))
+        return True
+
+    def _learn(self, words: pa.Array) -> None:
+        """Words of letters alone are encoded as one text and cut at their closing tokens, others with a mark between."""
+        alone = pc.or_(pc.match_substring(words, "<"), pc.match_substring(words, MARK))
+        letters = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+        data = words.cast(pa.binary()).to_pylist()
+        groups = [[data[i] for i in np.flatnonzero(g)] for g in (letters, ~(letters | alone.to_numpy(zero_copy_only=False)))]
+        for part in (groups[0][i:i + TOGETHER] for i in range(0, len(groups[0]), TOGETHER)):
+            if not self._together(part, " ", lambda ids: self.ends[ids], 4):
+                groups[1] += part
+        if len(self.mark) == 1:
+            for part in (groups[1][i:i + TOGETHER] for i in range(0, len(groups[1]), TOGETHER)):
+                self._together(part, f" {MARK} ", lambda ids: ids == self.mark[0], 0)
+        for w in data:
+            if w not in self.ids:
+                self.ids[w] = np.array(self._encode(w.decode()), "<u4").tobytes()
+
+    def encoded(self, texts: pa.Array) -> tuple[bytes, list[int]]:
+        """The ids of all texts, and where each text's bytes begin and end. White space is that of ASCII."""
+        if self.lowers:  # a "<" may open an added token, whose case counts
+            texts = pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        parts, marked = self._parts(words.dictionary)
+        if len(self.ids) > REMEMBERED:
+            self.ids.clear()
+        names = parts.dictionary.cast(pa.binary()).to_pylist()
+        new = [i for i, w in enumerate(names) if w not in self.ids]
+        self._learn(parts.dictionary.take(pa.array(new, pa.int64())))
+        found = [self.ids[w] for w in names]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        # A distinct word's ids are those of its head and its marks; a text's ids are those of its words.
+        n = len(words.dictionary)
+        part, codes = np.full((n, 2), -1, np.int64), parts.indices.to_numpy()
+        part[:, 0], part[marked, 1] = codes[:n], codes[n:]
+        part = part.ravel()
+        counts = np.where(part >= 0, sizes[part], 0) if n else np.zeros(0, np.int64)
+        flat = _gather(flat, np.where(part >= 0, starts[part], 0), counts) if n else flat
+        sizes = counts.reshape(-1, 2).sum(1)
+        code = words.indices.to_numpy()
+        data = _gather(flat, (np.cumsum(sizes) - sizes)[code], sizes[code]).tobytes()
+        before = np.concatenate(([0], np.cumsum(sizes[code])))
+        return data, (4 * before[split.offsets.to_numpy()]).tolist()
+
+
+def _ids(known: Words, column: pa.Array, end: bytes) -> Iterator[bytes]:
+    """Each text's ids and the end id, as little-endian 32-bit bytes; texts are taken about ``TEXTS`` bytes at a time."""
+    column = pc.fill_null(column, "")
+    behind = np.cumsum(pc.binary_length(column).to_numpy())
+    cuts = (np.flatnonzero(np.diff(behind // TEXTS, append=-1)) + 1).tolist()
+    for first, last in zip([0, *cuts], cuts):
+        data, at = known.encoded(column.slice(first, last - first))
+        for a, b in zip(at, at[1:]):
+            yield data[a:b] + end
 
 
 def pieces(docs: DataFrame, length: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 0,
@@ -80,20 +158,14 @@ def pieces(docs: DataFrame, length: int = 2048, tokenizer: str = "word_bpe_49k.j
     only); each distinct chunk is then encoded once per task. ``keep_ids`` adds the ids as little-endian 32-bit bytes.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, memory = _tokenizer(tokenizer), _MEMORY.setdefault(tokenizer, {})
+        if tokenizer not in _WORDS:
+            _WORDS[tokenizer] = Words(tokenizer)
+        known = _WORDS[tokenizer]
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * length
         for batch in batches:
             index, piece, crc, sizes, kept = [], [], [], [], []
-            for row, text in enumerate(raw(batch, "text")):
-                words = (text or b"").split()
-                new = list({w for w in words if w not in memory})
-                if new:
-                    if len(memory) > REMEMBERED:
-                        memory.clear()
-                        new = list(set(words))
-                    _learn(encoder, memory, new)
-                ids = b"".join([*map(memory.__getitem__, words), end])
+            for row, ids in enumerate(_ids(known, batch.column("text"), end)):
                 for k in range(0, len(ids), step):
                     cut = ids[k:k + step]
                     index.append(row)
