@@ -237,7 +237,9 @@ def variants(words: DataFrame, times: int = 5, partition_words: int = PARTITION_
     """
     words = stored(words.select("word", "n"), "words")
     pairs = near_pairs(words, partition_words)
-    both = pairs.union(pairs.select("b", "a")).toDF("word", "near")
+    ways = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near")),
+                   F.struct(F.col("b").alias("word"), F.col("a").alias("near")))
+    both = pairs.select(F.explode(ways).alias("way")).select("way.*")
     counted = both.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
     best = stored(counted.groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best")), "best")
