@@ -110,14 +110,15 @@ def _lowered(docs: DataFrame, *columns: str) -> DataFrame:
 def sample(docs: DataFrame, rows: int) -> DataFrame:
     """(lang, text) of at most ``rows`` different texts of each language, the smallest by a hash of the text.
 
-    Only hashes are ranked, first within 64 parts of a language and then among the parts' first ones, so a language
-    with a third of all rows is never ranked in one task.
+    Only hashes are ranked, and of a language's hashes no more than about three times as many as are taken: those below
+    a share of all hashes that its count sets.
     """
     text = F.coalesce("text", F.lit(""))
-    narrow = docs.select("lang", F.xxhash64(text).alias("hash")).distinct().withColumn("part", F.pmod("hash", F.lit(64)))
-    for keys in (["lang", "part"], ["lang"]):
-        narrow = narrow.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("hash"))).filter(
-            F.col("n") <= rows).drop("n")
+    narrow = docs.select("lang", F.xxhash64(text).alias("hash")).distinct()
+    sizes = F.broadcast(narrow.groupBy("lang").agg(F.count("*").alias("all")))  # one row per language
+    few = narrow.join(sizes, "lang").filter(F.pmod("hash", F.lit(1_000_003)) * F.col("all") <= 3 * rows * 1_000_003)
+    order = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1_000_003)), "hash")
+    narrow = few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows)
     chosen = F.broadcast(narrow.select(F.col("lang").alias("l"), F.col("hash").alias("h")))  # rows x languages
     own = docs.select("lang", text.alias("text"), F.xxhash64(text).alias("hash"))
     return own.join(chosen, (F.col("lang") == F.col("l")) & (F.col("hash") == F.col("h"))).groupBy("lang", "hash").agg(
