@@ -1,22 +1,27 @@
 """Isolation Forest as tables: sampling and grouping by Spark, small vectorised tree steps inside tasks.
 
 A forest is a table of nodes (spec, tree, node, feature, threshold, size, path); node numbers follow the heap
-order, so the children of ``i`` are ``2i`` and ``2i + 1``. All randomness is a hash of (seed, spec, tree, node, row
-key): results do not depend on how the rows are partitioned, and a lost task rebuilds the same trees.
-
-Sub-samples that fit one task are grown there in one go. Larger ones are split level by level, with the top of the
-trees as a Spark table, until every open node fits one task. Both ways give the same trees.
+order, so the children of ``i`` are ``2i`` and ``2i + 1``. All randomness is md5 of (seed, purpose, tree, node or row
+key), so results do not depend on how the rows are partitioned, a lost task rebuilds the same trees, and any engine
+with md5 grows the same forest.
+
+Trees share the rows: a task grows many trees from one copy of the rows that any of them samples. Sub-samples too large
+for a task are first split from the top, level by level, by passes over the rows as they lie: a pass walks every row down
+the tops found so far and sums up the ranges of the open nodes, so no row is copied or written for a tree. Both ways give
+the same trees.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +31,9 @@ from seriesmith.session import pin
 NODE_SCHEMA = ("spec int, tree int, node long, depth int, feature int, threshold double, size long, path double")
 MAX_GROUP_CELLS = 20_000_000  # rows x features one task may hold while growing a tree
 MAX_SHARED_NODES = 4_000_000  # nodes sent to every executor at once (about 32 bytes each)
-CANDIDATES = 8  # features looked at per open node and pass while splitting over all rows
+MAX_TOP_NODES = 200_000  # nodes above the task-sized ones that one block of trees may have
+PARTS_PER_TASK = 4  # parts of a forest, each grown from one copy of the rows, per task that runs at once
+ATTEMPTS = 8  # features drawn for a node before all of them are looked at
 AUTO_SAMPLES = 256
 DEFAULT_CUT = 0.5
 
@@ -70,61 +77,101 @@ def average_path(n):
     return np.where(n > 2, long, np.where(n == 2, 1.0, 0.0))
 
 
-_M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+def _digits(text: str) -> tuple[float, float]:
+    """The first two runs of 13 hexadecimal digits of a text's md5 as numbers in [0, 1)."""
+    v = int.from_bytes(hashlib.md5(text.encode()).digest()[:13], "big")
+    return (v >> 52) / (1 << 52), (v & ((1 << 52) - 1)) / (1 << 52)
+
+
+class NodeDraws:
+    """The draws of one tree's nodes: (place of the cut, place in the tree's features) of each attempt."""
 
+    def __init__(self, seed: int, tree: int):
+        self.head, self.known = f"{seed}:node:{tree}", {}
 
-def _uniform(*parts) -> np.ndarray:
-    """Hash integers (arrays broadcast against each other) to uniform numbers in [0, 1)."""
-    with np.errstate(over="ignore"):
-        h = np.uint64(0)
-        for p in parts:
-            h = (h ^ np.asarray(p).astype(np.uint64)) + _GOLD
-            h = (h ^ (h >> np.uint64(30))) * _M1
-            h = (h ^ (h >> np.uint64(27))) * _M2
-            h = h ^ (h >> np.uint64(31))
-    return (h >> np.uint64(11)).astype(float) / float(1 << 53)
+    def __call__(self, nodes: np.ndarray, attempt: int = 0) -> np.ndarray:
+        known, out = self.known, []
+        for n in nodes.tolist():
+            if (n, attempt) not in known:
+                known[n, attempt] = _digits(f"{self.head}:{n}:{attempt}")
+            out.append(known[n, attempt])
+        return np.array(out).reshape(-1, 2)
+
+
+@lru_cache(maxsize=1024)
+def _feature_order(seed: int, tree: int, d: int) -> list[int]:
+    return sorted(range(d), key=lambda f: hashlib.md5(f"{seed}:feature:{tree}:{f}".encode()).hexdigest())
 
 
 def tree_features(spec: ForestSpec, tree: int, d: int) -> np.ndarray:
-    """Sorted feature subset of a tree, drawn without replacement."""
-    order = np.argsort(_uniform(spec.seed, 1, tree, np.arange(d)), kind="stable")
-    return np.sort(order[: spec.n_features(d)])
+    """Sorted feature subset of a tree, drawn without replacement: those with the first md5 texts."""
+    return np.sort(np.array(_feature_order(spec.seed, tree, d)[: spec.n_features(d)], dtype=np.int64))
 
 
 def depth_limit(sample_size: int) -> int:
     return max(1, math.ceil(math.log2(max(sample_size, 2))))
 
 
-def _cut(seed: int, tree: int, node, low, high) -> np.ndarray:
-    at = low + _uniform(seed, 3, tree, node) * (high - low)
+def _cut(u: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    at = low + u * (high - low)
     return np.where(at >= high, low, at)
 
 
-def grow(x: np.ndarray, spec: ForestSpec, tree: int, root: int, depth: int, limit: int) -> pd.DataFrame:
-    """Grow one (sub)tree, all nodes of a level at a time. Columns of ``x`` outside the tree's subset are not read."""
-    subset = tree_features(spec, tree, x.shape[1])
-    x = x[:, subset]
-    node = np.full(len(x), root, dtype=np.int64)
+def _ranges(x: np.ndarray, rows: np.ndarray, sizes: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest value of one feature per node; the nodes' rows follow each other."""
+    values = x[rows, np.repeat(feature, sizes)]
+    starts = np.cumsum(sizes) - sizes
+    return np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
+
+
+def _next_varying(low: np.ndarray, high: np.ndarray, place: int) -> int:
+    """The first place from ``place`` on, in a circle, whose range is not one value; -1 if there is none."""
+    found = np.flatnonzero(low < high)
+    return int(found[np.searchsorted(found, place) % len(found)]) if len(found) else -1
+
+
+def grow(x: np.ndarray, rows: np.ndarray, subset: np.ndarray, draws: NodeDraws, root: int, depth: int, limit: int) -> pd.DataFrame:
+    """Grow one (sub)tree from the given rows of ``x``, all nodes of a level at a time.
+
+    A node draws a feature of the tree's subset until one varies in it, so a level reads one value of each row and
+    attempt. After ``ATTEMPTS`` draws it takes the next one that varies, if there is any.
+    """
+    node = np.full(len(rows), root, dtype=np.int64)
     levels = []
-    while len(x):
+    while len(rows):
         order = np.argsort(node, kind="stable")
-        x, node = x[order], node[order]
+        rows, node = rows[order], node[order]
         ids, starts, sizes = np.unique(node, return_index=True, return_counts=True)
-        low, high = np.minimum.reduceat(x, starts, axis=0), np.maximum.reduceat(x, starts, axis=0)
-        draw = np.where(low < high, _uniform(spec.seed, 2, tree, ids[:, None], subset[None, :]), -1.0)
-        pick = draw.argmax(axis=1)
-        each = np.arange(len(ids))
-        splits = (sizes > 1) & (draw[each, pick] >= 0) & (depth < limit)
-        cut = _cut(spec.seed, tree, ids, low[each, pick], high[each, pick])
-        levels.append((ids, np.full(len(ids), depth), np.where(splits, subset[pick], -1),
-                       np.where(splits, cut, np.nan), sizes, np.where(splits, np.nan, depth + average_path(sizes))))
-        at = np.repeat(each, sizes)
-        right = x[np.arange(len(x)), pick[at]] > cut[at]
+        u = draws(ids)
+        feature = np.full(len(ids), -1)
+        low, high = np.zeros(len(ids)), np.zeros(len(ids))
+        open_ = np.flatnonzero(sizes > 1) if depth < limit else np.zeros(0, np.int64)
+        for attempt in range(ATTEMPTS):
+            if not len(open_):
+                break
+            place = (draws(ids[open_], attempt)[:, 1] * len(subset)).astype(np.int64)
+            own = rows if len(open_) == len(ids) else rows[np.isin(node, ids[open_])]
+            lo, hi = _ranges(x, own, sizes[open_], subset[place])
+            varies = lo < hi
+            hit = open_[varies]
+            feature[hit], low[hit], high[hit] = subset[place[varies]], lo[varies], hi[varies]
+            open_, place = open_[~varies], place[~varies]
+        for i, p in zip(open_.tolist(), place.tolist() if len(open_) else ()):
+            cells = x[rows[starts[i]:starts[i] + sizes[i]]][:, subset]
+            lo, hi = cells.min(axis=0), cells.max(axis=0)
+            if (k := _next_varying(lo, hi, p)) >= 0:
+                feature[i], low[i], high[i] = subset[k], lo[k], hi[k]
+        splits = feature >= 0
+        cut = _cut(u[:, 0], low, high)
+        levels.append((ids, np.full(len(ids), depth), feature, np.where(splits, cut, np.nan), sizes,
+                       np.where(splits, np.nan, depth + average_path(sizes))))
+        at = np.repeat(np.arange(len(ids)), sizes)
         keep = splits[at]
-        x, node = x[keep], (2 * node + right)[keep]
+        rows, node, at = rows[keep], node[keep], at[keep]
+        node = 2 * node + (x[rows, feature[at]] > cut[at])
         depth += 1
     columns = [np.concatenate(c) for c in zip(*levels)]
-    return pd.DataFrame(dict(zip(["node", "depth", "feature", "threshold", "size", "path"], columns))).assign(tree=tree)
+    return pd.DataFrame(dict(zip(["node", "depth", "feature", "threshold", "size", "path"], columns)))
 
 
 def pack(df: DataFrame, keys: Sequence[str], features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -132,13 +179,17 @@ def pack(df: DataFrame, keys: Sequence[str], features: Sequence[str], keep: Sequ
     return df.select(*keys, *keep, F.array(*as_doubles(df, features)).alias("vec"))
 
 
-def _draws(seed: int, n_trees: int, keys: Sequence[str]) -> Column:
-    """A row's uniform draw for every tree."""
+def _draws(seed: int, n_trees: int, keys: Sequence[str], first: int | Column = 0, step: int = 1) -> Column:
+    """A row's uniform draw for the trees ``first``, ``first + step``, ...; an md5 serves two trees."""
+    key = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
+
     def draw(t: Column) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, *[F.col(k) for k in keys]), 11)
-        return bits / F.lit(float(1 << 53))
+        text = F.md5(F.concat(F.lit(f"{seed}:row:"), F.floor(t / 2).cast("string"), F.lit(":"), key).cast("binary"))
+        digits = F.when(t % 2 == 0, F.substring(text, 1, 13)).otherwise(F.substring(text, 14, 13))
+        return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("u")))
+    trees = F.sequence(F.lit(first), F.lit(n_trees - 1), F.lit(step))
+    return F.transform(trees, lambda t: F.struct(t.alias("tree"), draw(t).alias("u")))
 
 
 def sample_cuts(packed: DataFrame, keys: Sequence[str], seed: int, n_trees: int, size: int, n_rows: int) -> list[float]:
@@ -155,7 +206,8 @@ def sample_cuts(packed: DataFrame, keys: Sequence[str], seed: int, n_trees: int,
         low, high = max(0.0, (size - width) / n_rows), min(1.0, (size + width) / n_rows)
         near = F.filter(_draws(seed, n_trees, keys), lambda p: p["u"] < high) if high < 1 else _draws(seed, n_trees, keys)
         u = F.col("p.u")
-        found = packed.select(F.explode(near).alias("p")).groupBy("p.tree").agg(
+        # The outer form: the plain one would evaluate the draws again to filter empty arrays.
+        found = packed.select(F.explode_outer(near).alias("p")).filter("p IS NOT NULL").groupBy("p.tree").agg(
             F.count_if(u < low).alias("below"), F.sort_array(F.collect_list(F.when(u >= low, u))).alias("band"))
         at = F.lit(size) - F.col("below")
         cut = F.when((at >= 1) & (at <= F.size("band")), F.get("band", (at - 1).cast("int")))
@@ -165,18 +217,35 @@ def sample_cuts(packed: DataFrame, keys: Sequence[str], seed: int, n_trees: int,
         width *= 4
 
 
-def _sampled_trees(seed: int, n_trees: int, keys: Sequence[str], cuts: Sequence[float]) -> Column:
+def _sampled_trees(seed: int, n_trees: int, keys: Sequence[str], cuts: Sequence[float], first: int | Column = 0,
+                   step: int = 1) -> Column:
     """Trees whose sub-sample holds the row, each with the row's draw."""
     limits = F.array(*[F.lit(float(c)) for c in cuts[:n_trees]])
-    return F.filter(_draws(seed, n_trees, keys), lambda p: p["u"] <= F.get(limits, p["tree"]))
+    return F.filter(_draws(seed, n_trees, keys, first, step), lambda p: p["u"] <= F.get(limits, p["tree"]))
+
+
+def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    rows = len(vectors)
+    flat = (vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors).flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _memberships(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, tree and draw of every (row, tree) in a column of arrays of (tree, u)."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    pairs = lists.flatten()
+    return rows, pairs.field("tree").to_numpy(), pairs.field("u").to_numpy()
 
 
 def fit_forests(packed: DataFrame, keys: Sequence[str], specs: Sequence[ForestSpec],
                 max_group_cells: int = MAX_GROUP_CELLS) -> Forests:
     """Fit every spec on the packed rows (``pack``); row keys must be unique.
 
-    Every sub-sample has exactly the wanted number of rows, wherever it is grown. The input is read several times (row
-    count, cuts and growing), so pin it when it is expensive.
+    Every sub-sample has exactly the wanted number of rows, wherever it is grown. Trees are dealt to a few parts
+    for each task that runs at once, and a row goes to a part once, with the trees there that sample it; a part has fewer
+    trees where their sub-samples together would exceed ``max_group_cells``. The input is read several times (row count, cuts
+    and growing), so pin it when it is expensive.
     """
     n_rows, d = packed.agg(F.count("*"), F.max(F.size("vec"))).first()
     if not n_rows:
@@ -184,6 +253,7 @@ def fit_forests(packed: DataFrame, keys: Sequence[str], specs: Sequence[ForestSp
     room = max(1, max_group_cells // max(d, 1))
     spec_list, sizes = list(specs), [s.sample_size(n_rows) for s in specs]
     in_task = [i for i, size in enumerate(sizes) if size <= room]
+    tasks, most = parallelism(packed.sparkSession), 1
     groups, tops = [], []
     for seed in sorted({spec_list[i].seed for i in in_task}):
         # A row's draw for a tree is the same in every spec of a seed, so the largest sub-sample contains the others
@@ -191,104 +261,183 @@ def fit_forests(packed: DataFrame, keys: Sequence[str], specs: Sequence[ForestSp
         group = [i for i in in_task if spec_list[i].seed == seed]
         trees, size = max(spec_list[i].n_trees for i in group), max(sizes[i] for i in group)
         cuts = sample_cuts(packed, keys, seed, trees, size, n_rows)
-        groups.append(_sampled_rows(packed, keys, seed, cuts, -1 - seed))
+        parts = PARTS_PER_TASK * tasks
+        if n_rows > room:
+            parts = max(parts, -(-trees // max(1, room // size)))
+        parts = min(parts, trees)
+        most = max(most, parts)
+        groups.append(_sampled_rows(packed, keys, seed, cuts, parts, -1 - seed))
     for i, (spec, size) in enumerate(zip(spec_list, sizes)):
         if i not in in_task:
             cuts = sample_cuts(packed, keys, spec.seed, spec.n_trees, size, n_rows)
-            rows, top = _fit_by_levels(packed, keys, i, spec, cuts, depth_limit(size), d, room)
-            groups += rows
-            tops += top
+            block = max(1, MAX_TOP_NODES * room // (4 * size))  # trees whose tops are found together
+            for first in range(0, spec.n_trees, block):
+                rows, top = _fit_tops(packed, keys, i, spec, cuts, range(first, min(first + block, spec.n_trees)),
+                                      depth_limit(size), d, room)
+                groups += rows
+                tops += top
     names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
 
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        code, tree, node, depth = (int(k) for k in key)
-        x = np.stack(pdf["vec"].to_numpy())
-        if code >= 0:
-            made = [grow(x, spec_list[code], tree, node, depth, depth_limit(sizes[code])).assign(spec=code)]
-        else:
-            # The wanted number of rows, by lowest draw.
-            x = x[np.argsort(pdf["u"].to_numpy(), kind="stable")]
-            made = [grow(x[:sizes[i]], spec_list[i], tree, 1, 0, depth_limit(sizes[i])).assign(spec=i)
-                    for i in in_task if spec_list[i].seed == -1 - code and tree < spec_list[i].n_trees]
-        return pd.concat(made, ignore_index=True)[names]
-
-    # Growing costs far more than the bytes suggest, so the number of tasks is fixed rather than coalesced by size.
-    by = ["spec", "tree", "node", "depth"]
-    spread = reduce(DataFrame.unionByName, groups).repartition(parallelism(packed.sparkSession), *by)
-    grown = reduce(DataFrame.unionByName, tops, spread.groupBy(*by).applyInPandas(build, NODE_SCHEMA))
+    def build(group: pa.Table) -> pa.Table:
+        code, node, depth = (group.column(c)[0].as_py() for c in ("spec", "node", "depth"))
+        x, (row, tree, u) = _matrix(group.column("vec")), _memberships(group.column("trees"))
+        own = [code] if code >= 0 else [i for i in in_task if spec_list[i].seed == -1 - code]
+        order = np.lexsort((u, tree))
+        row, tree = row[order], tree[order]
+        made = []
+        for t, start, count in zip(*(v.tolist() for v in np.unique(tree, return_index=True, return_counts=True))):
+            draws = NodeDraws(spec_list[own[0]].seed, t)
+            subsets = {i: tree_features(spec_list[i], t, x.shape[1]) for i in own if t < spec_list[i].n_trees}
+            for i, subset in subsets.items():
+                # The wanted number of rows, by lowest draw; a node of a top has all its rows.
+                rows = row[start:start + (min(count, sizes[i]) if code < 0 else count)]
+                made.append(grow(x, rows, subset, draws, node, depth, depth_limit(sizes[i])).assign(spec=i, tree=t))
+        return pa.Table.from_pandas(pd.concat(made, ignore_index=True)[names], node_schema, preserve_index=False)
+
+    node_schema = pa.schema([("spec", pa.int32()), ("tree", pa.int32()), ("node", pa.int64()), ("depth", pa.int32()),
+                             ("feature", pa.int32()), ("threshold", pa.float64()), ("size", pa.int64()), ("path", pa.float64())])
+    # Growing costs far more than the bytes suggest, so the number of partitions is fixed rather than coalesced by size,
+    # and so large that few parts share one.
+    by = ["spec", "part", "node", "depth"]
+    spread = reduce(DataFrame.unionByName, groups).repartition(max(tasks, PARTS_PER_TASK * most), *by)
+    grown = reduce(DataFrame.unionByName, tops, spread.groupBy(*by).applyInArrow(build, NODE_SCHEMA))
     return Forests(pin(grown), spec_list, sizes)
 
 
-def _sampled_rows(packed, keys, seed, cuts, code):
-    return packed.select("vec", F.explode(_sampled_trees(seed, len(cuts), keys, cuts)).alias("p")).select(
-        F.lit(code).alias("spec"), F.col("p.tree").alias("tree"), F.lit(1).cast("long").alias("node"),
-        F.lit(0).alias("depth"), F.col("p.u").alias("u"), "vec")
-
-
-def _fit_by_levels(packed, keys, i, spec, cuts, limit, d, room):
-    """Split nodes larger than ``room`` level by level; returns rows for the tasks and finished nodes.
-
-    The top of the trees is a table of nodes. A level is one aggregate over the rows (ranges of a few candidate features,
-    which follow from the node's hash) and one join that moves the rows to the children. The driver sees one count per
-    level. The join sends the level's nodes around when they are few and shuffles both sides otherwise.
+def _sampled_rows(packed, keys, seed, cuts, n_parts, code):
+    """A row once for every part that has a tree whose sub-sample holds it."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(n_parts - 1)), lambda g: F.struct(
+        g.alias("part"), _sampled_trees(seed, len(cuts), keys, cuts, g, n_parts).alias("trees")))
+    return packed.select("vec", F.explode_outer(parts).alias("p")).filter(F.size("p.trees") > 0).select(
+        F.lit(code).alias("spec"), "p.part", F.lit(1).cast("long").alias("node"), F.lit(0).alias("depth"), "p.trees", "vec")
+
+
+class _Top:
+    """The decided nodes above the open ones of some trees, by tree: sorted node numbers, features and thresholds."""
+
+    def __init__(self, decided: dict[int, dict[int, tuple[int, float]]]):
+        self.trees = {}
+        for t, nodes in decided.items():
+            ids = sorted(nodes)
+            self.trees[t] = (np.array(ids, np.int64), np.array([nodes[n][0] for n in ids], np.int64),
+                             np.array([nodes[n][1] for n in ids], float))
+
+    def walk(self, x: np.ndarray, tree: int) -> np.ndarray:
+        """The node below the decided ones that each row of ``x`` comes to; 0 where it ends in a finished leaf."""
+        at = np.ones(len(x), np.int64)
+        ids, feature, threshold = self.trees.get(tree, (np.zeros(0, np.int64),) * 3)
+        going = np.arange(len(x)) if len(ids) else np.zeros(0, np.int64)
+        while len(going):
+            i = np.minimum(np.searchsorted(ids, at[going]), len(ids) - 1)
+            inner = (ids[i] == at[going]) & (feature[i] >= 0)
+            at[going[(ids[i] == at[going]) & (feature[i] == -1)]] = 0
+            going, i = going[inner], i[inner]
+            at[going] = 2 * at[going] + (x[going, feature[i]] > threshold[i])
+        return at
+
+
+def _fit_tops(packed, keys, code, spec, cuts, trees, limit, d, room):
+    """Split the nodes of some trees that hold more rows than ``room``; returns rows for the tasks and finished nodes.
+
+    A level is one pass over the rows in place: tasks walk each row down the decided nodes, which are few because only
+    nodes above ``room`` are split here, and sum up sizes and ranges of the features that the open nodes draw. Nodes
+    whose draws all fail are measured again over all features. The driver holds the decided nodes of the block.
     """
-    subsets = [tree_features(spec, t, d) for t in range(spec.n_trees)]
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for (t, node, depth, skip), part in pdf.groupby(["tree", "node", "depth", "skip"], sort=False):
-                ranked = subsets[t][np.argsort(-_uniform(spec.seed, 2, t, node, subsets[t]), kind="stable")]
-                feats = ranked[skip:skip + CANDIDATES]
-                cells = np.stack(part["vec"].to_numpy())[:, feats]
-                yield pd.DataFrame({"tree": t, "node": node, "depth": depth, "skip": skip, "place": np.arange(len(feats)),
-                                    "feature": feats, "low": cells.min(axis=0), "high": cells.max(axis=0),
-                                    "size": len(part)})
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            cut = [_cut(spec.seed, t, n, lo, hi) if f >= 0 else np.nan for t, n, f, lo, hi in
-                   zip(pdf["tree"], pdf["node"], pdf["feature"], pdf["low"], pdf["high"])]
-            path = pdf["depth"] + average_path(pdf["size"].to_numpy())
-            yield pdf.assign(threshold=np.array(cut, dtype=float), path=path)[[c.split()[0] for c in decided.split(", ")]]
-
-    by = ["tree", "node", "depth", "skip"]
-    decided = "tree int, node long, depth int, skip int, size long, feature int, kind string, threshold double, path double"
-    state = pin(packed.select("vec", F.explode(_sampled_trees(spec.seed, spec.n_trees, keys, cuts)).alias("p")).select(
-        F.col("p.tree").alias("tree"), F.lit(1).cast("long").alias("node"), F.lit(0).alias("depth"),
-        F.lit(0).alias("skip"), "vec"))
-    ready, made = [], []
-    more = F.col("skip") + CANDIDATES < F.get(F.array(*[F.lit(len(x)) for x in subsets]), F.col("tree"))
-    kind = (
-        F.when((F.col("size") <= room) & (F.col("depth") < limit), "ready").when(F.col("depth") >= limit, "leaf")
-        .when(F.col("best").isNotNull(), "split").when(more, "more").otherwise("leaf")
-    )
+    subsets = {t: tree_features(spec, t, d) for t in trees}
+    rows = packed.select("vec", F.filter(
+        _sampled_trees(spec.seed, trees.stop, keys, cuts, trees.start, 1), lambda p: p["tree"] >= trees.start).alias("trees"))
+    decided: dict[int, dict[int, tuple[int, float]]] = {t: {} for t in trees}
+    made, ready = [], set()
+
+    def measured(only: dict[int, set[int]] | None) -> list:
+        """(tree, node, place, size, low, high) of the open nodes: drawn places, or every place of the nodes in ``only``."""
+        top, closed = _Top(decided), ready
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, (row, tree, _) = _matrix(batch.column("vec")) if batch.num_rows else None, _memberships(batch.column("trees"))
+                out = []
+                for t in np.unique(tree).tolist():
+                    own = row[tree == t]
+                    at = top.walk(x[own], t)
+                    ids = [n for n in np.unique(at).tolist() if n and (t, n) not in closed and (only is None or n in only[t])]
+                    draws = NodeDraws(spec.seed, t)
+                    for n in ids:
+                        cells = x[own[at == n]]
+                        places = range(len(subsets[t])) if only is not None else dict.fromkeys(
+                            int(draws(np.array([n]), a)[0, 1] * len(subsets[t])) for a in range(ATTEMPTS))
+                        for p in places:
+                            v = cells[:, subsets[t][p]]
+                            out.append((t, n, p, len(v), float(v.min()), float(v.max())))
+                columns = list(zip(*out)) or [()] * 6
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64()))],
+                    ["tree", "node", "place", "size", "low", "high"])
+
+        ranges = rows.mapInArrow(run, "tree int, node long, place int, size long, low double, high double")
+        return ranges.groupBy("tree", "node", "place").agg(
+            F.sum("size").alias("size"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
+
+    depth = 0
     while True:
-        ranges = state.mapInPandas(
-            measure, "tree int, node long, depth int, skip int, place int, feature int, low double, high double, size long"
-        ).groupBy(*by, "place", "feature").agg(
-            F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("size"))
-        best = F.min(F.when(F.col("low") < F.col("high"), F.struct("place", "feature", "low", "high")))
-        chosen = ranges.groupBy(*by).agg(F.max("size").alias("size"), best.alias("best")).withColumn("kind", kind)
-        split = F.col("kind") == "split"
-        level = pin(chosen.select(
-            *by, "size", F.when(split, F.col("best.feature")).otherwise(-1).alias("feature"),
-            "best.low", "best.high", "kind").mapInPandas(decide, decided))
-        n_nodes = level.count()
-        if not n_nodes:
-            return ready, made
-        split_path = F.when(split, F.lit(None).cast("double")).otherwise(F.col("path"))
-        made.append(level.filter("kind IN ('split', 'leaf')").select(
-            F.lit(i).alias("spec"), "tree", "node", "depth", "feature",
-            F.when(split, F.col("threshold")).alias("threshold"), "size", split_path.alias("path")))
-        moves = level.select("tree", "node", "kind", "feature", "threshold")
-        moved = state.join(F.broadcast(moves) if n_nodes <= MAX_SHARED_NODES else moves, ["tree", "node"])
-        ready.append(moved.filter("kind = 'ready'").select(
-            F.lit(i).alias("spec"), "tree", "node", "depth", F.lit(0.0).alias("u"), "vec"))
-        right = (F.get("vec", F.col("feature")) > F.col("threshold")).cast("long")
-        state = pin(moved.filter("kind IN ('split', 'more')").select(
-            "tree", F.when(split, 2 * F.col("node") + right).otherwise(F.col("node")).alias("node"),
-            (F.col("depth") + split.cast("int")).alias("depth"),
-            F.when(split, 0).otherwise(F.col("skip") + CANDIDATES).alias("skip"), "vec"))
+        found: dict[tuple[int, int], dict[int, tuple]] = {}
+        for r in measured(None):
+            found.setdefault((r["tree"], r["node"]), {})[r["place"]] = (r["size"], r["low"], r["high"])
+        if not found:
+            break
+        stuck: dict[int, set[int]] = {}
+        chosen: dict[tuple[int, int], tuple] = {}
+        for (t, n), places in found.items():
+            size = next(iter(places.values()))[0]
+            drawn = [int(NodeDraws(spec.seed, t)(np.array([n]), a)[0, 1] * len(subsets[t])) for a in range(ATTEMPTS)]
+            hit = next((p for p in drawn if places[p][1] < places[p][2]), None)
+            if size <= room and depth < limit:
+                ready.add((t, n))
+            elif size > 1 and depth < limit and hit is None:
+                stuck.setdefault(t, set()).add(n)
+                chosen[t, n] = (size, drawn[-1])
+            else:
+                chosen[t, n] = (size, None) if depth >= limit or hit is None else (size, hit, *places[hit][1:])
+        if stuck:
+            every: dict[tuple[int, int], dict[int, tuple]] = {}
+            for r in measured({t: stuck.get(t, set()) for t in trees}):
+                every.setdefault((r["tree"], r["node"]), {})[r["place"]] = (r["low"], r["high"])
+            for key, places in every.items():
+                low, high = (np.array([places[p][k] for p in range(len(places))]) for k in (0, 1))
+                size, start = chosen[key]
+                k = _next_varying(low, high, start)
+                chosen[key] = (size, None) if k < 0 else (size, k, float(low[k]), float(high[k]))
+        for (t, n), (size, place, *span) in chosen.items():
+            if place is None:
+                decided[t][n] = (-1, math.nan)
+                made.append((code, t, n, depth, -1, None, size, depth + float(average_path(size))))
+            else:
+                cut = float(_cut(NodeDraws(spec.seed, t)(np.array([n]))[:, 0], *span)[0])
+                decided[t][n] = (int(subsets[t][place]), cut)
+                made.append((code, t, n, depth, int(subsets[t][place]), cut, size, None))
+        depth += 1
+    top = _Top(decided)
+
+    def hand_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, (row, tree, u) = _matrix(batch.column("vec")), _memberships(batch.column("trees"))
+            at = np.zeros(len(row), np.int64)
+            for t in np.unique(tree).tolist():
+                at[tree == t] = top.walk(x[row[tree == t]], t)
+            keep = np.flatnonzero(at)
+            pairs = [[{"tree": t, "u": v}] for t, v in zip(tree[keep].tolist(), u[keep].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tree[keep], pa.int32()), pa.array(at[keep]),
+                 pa.array([n.bit_length() - 1 for n in at[keep].tolist()], pa.int32()),
+                 pa.array(pairs, pa.list_(pa.struct([("tree", pa.int32()), ("u", pa.float64())]))),
+                 batch.column("vec").take(pa.array(row[keep]))], ["part", "node", "depth", "trees", "vec"])
+
+    spark = packed.sparkSession
+    open_rows = rows.mapInArrow(
+        hand_over, "part int, node long, depth int, trees array<struct<tree: int, u: double>>, vec array<double>")
+    return [open_rows.withColumn("spec", F.lit(code))] if ready else [], [spark.createDataFrame(made, NODE_SCHEMA)]
 
 
 @dataclass

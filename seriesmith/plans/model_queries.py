@@ -1,4 +1,7 @@
-"""Forest fits and the full model study over the driver tables. Random algorithms have no SQL counterpart."""
+"""Forest fits and the full model study over the driver tables.
+
+The forests draw by md5, so recursive SQL grows and walks the same trees.
+"""
 
 from __future__ import annotations
 
@@ -23,18 +26,81 @@ def _embeddings(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
 
 
-@query("isolation_forest_scores")
+def forest_sql(trees: int, size: str, share: float, seed: int = 42, d: int = 64) -> str:
+    """CTEs ``e`` (vectors) and ``nodes`` of the forest over the embeddings, grown level by level.
+
+    ``size`` is SQL for the sub-sample size. The operator looks at all features of a node after eight constant draws;
+    no node of these continuous vectors comes to that, so the eight draws are all that is written here.
+    """
+    attempts = range(fo.ATTEMPTS)
+
+    def digits(text: str, start: str) -> str:
+        return f"('0x' || substr(md5({text}), {start}, 13))::BIGINT / 4503599627370496.0"
+
+    def decided(source: str) -> str:
+        """Rows of ``source`` (tree, node, depth, vec_id) with their node's size n, feature f (null: leaf) and cut."""
+        node = f"'{seed}:node:' || g.tree || ':' || g.node || ':' ||"
+        drawn = ", ".join(f"subset[1 + CAST(floor({digits(f'{node} {k}', '14')} * len(subset)) AS BIGINT)] AS f{k}" for k in attempts)
+        spans = ", ".join(f"min(vec[f{k} + 1]) OVER w AS l{k}, max(vec[f{k} + 1]) OVER w AS h{k}" for k in attempts)
+        first = " ".join(f"WHEN l{k} < h{k} THEN {{{k}}}" for k in attempts)
+        pick = lambda c: "CASE " + first.format(*[f"{c}{k}" for k in attempts]) + " END"
+        return f"""(
+  SELECT tree, node, depth, vec_id, vec, n, f, CASE WHEN low + u * (high - low) >= high THEN low ELSE low + u * (high - low) END AS cut
+  FROM (SELECT *, CASE WHEN n > 1 AND depth < most THEN {pick('f')} END AS f, {pick('l')} AS low, {pick('h')} AS high FROM (
+    SELECT *, count(*) OVER w AS n, {spans} FROM (
+      SELECT g.*, e.vec, z.most, {digits(f"{node} 0", '1')} AS u, {drawn}
+      FROM {source} g JOIN e ON e.vec_id = g.vec_id JOIN fs ON fs.tree = g.tree, z
+    ) WINDOW w AS (PARTITION BY tree, node))))"""
+
+    return f"""WITH RECURSIVE
+e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings),
+z AS (SELECT size, greatest(1, CAST(ceil(log2(greatest(size, 2))) AS INTEGER)) AS most FROM (SELECT {size} AS size FROM e)),
+t AS (SELECT CAST(unnest(range({trees})) AS INTEGER) AS tree),
+s AS (SELECT tree, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY u) AS place FROM (
+  SELECT tree, vec_id, {digits(f"'{seed}:row:' || (tree // 2) || ':' || vec_id", '1 + 13 * (tree % 2)')} AS u FROM e, t)), z
+  WHERE place <= size),
+fs AS (SELECT tree, list(feature ORDER BY feature) AS subset FROM (
+  SELECT tree, feature, row_number() OVER (PARTITION BY tree ORDER BY md5('{seed}:feature:' || tree || ':' || feature)) AS place
+  FROM t, (SELECT unnest(range({d})) AS feature)) WHERE place <= {max(1, int(share * d))} GROUP BY tree),
+g AS (
+  SELECT tree, CAST(1 AS BIGINT) AS node, 0 AS depth, vec_id FROM s
+  UNION ALL
+  SELECT tree, 2 * node + CAST(vec[f + 1] > cut AS INTEGER), depth + 1, vec_id FROM {decided('g')} WHERE f IS NOT NULL
+),
+nodes AS (
+  SELECT DISTINCT tree, node, depth, coalesce(f, -1) AS feature, CASE WHEN f IS NOT NULL THEN cut END AS threshold, n AS size,
+    CASE WHEN f IS NULL THEN depth + CASE WHEN n > 2 THEN 2 * (ln(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+                                          WHEN n = 2 THEN 1.0 ELSE 0.0 END END AS path
+  FROM {decided('g')}
+)"""
+
+
+@query("isolation_forest_scores", f"""{forest_sql(300, 'least(256, count(*))', 1.0)},
+k AS (
+  SELECT tree, vec_id, CAST(1 AS BIGINT) AS node FROM e, t
+  UNION ALL
+  SELECT k.tree, k.vec_id, 2 * k.node + CAST(vec[feature + 1] > threshold AS INTEGER)
+  FROM k JOIN nodes ON nodes.tree = k.tree AND nodes.node = k.node AND feature >= 0 JOIN e ON e.vec_id = k.vec_id
+), sc AS (
+  SELECT vec_id, pow(2.0, -avg(path) / any_value(2 * (ln(size_ - 1) + 0.5772156649015329) - 2 * (size_ - 1) / size_)) AS score
+  FROM k JOIN nodes ON nodes.tree = k.tree AND nodes.node = k.node AND feature < 0, (SELECT size AS size_ FROM z) GROUP BY vec_id
+)
+SELECT vec_id, round(score, 9) AS score, round(score - 0.5, 9) AS decision, CAST(score > 0.5 AS INTEGER) AS prediction FROM sc""")
 def isolation_forest_scores(spark, sf_dir):
     """Default forest over all embedding vectors with the default decision."""
     packed = _embeddings(spark, sf_dir)
     fitted = fo.fit_forests(packed, ["vec_id"], [fo.ForestSpec()])
-    return fo.default_prediction(fo.score_forests(packed, fitted)).select("vec_id", "score", "decision", "prediction")
+    return fo.default_prediction(fo.score_forests(packed, fitted)).select(
+        "vec_id", F.round("score", 9).alias("score"), F.round("decision", 9).alias("decision"), "prediction")
 
 
-@query("isolation_forest_nodes")
+@query("isolation_forest_nodes", f"""{forest_sql(50, 'count(*) // 2', 0.5)}
+SELECT 0 AS spec, tree, node, depth, CAST(feature AS INTEGER) AS feature, round(threshold, 12) AS threshold, size,
+  round(path, 9) AS path FROM nodes""")
 def isolation_forest_nodes(spark, sf_dir):
     """The fitted forest as a table of nodes, with a fractional sub-sample and feature share."""
-    return fo.fit_forests(_embeddings(spark, sf_dir), ["vec_id"], [fo.ForestSpec(50, "0.5", "0.5")]).nodes
+    nodes = fo.fit_forests(_embeddings(spark, sf_dir), ["vec_id"], [fo.ForestSpec(50, "0.5", "0.5")]).nodes
+    return nodes.withColumns({"threshold": F.round("threshold", 12), "path": F.round("path", 9)})
 
 
 def datasets(spark, sf_dir):
