@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Sequence
 
 import numpy as np
@@ -29,6 +30,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers are reused, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def raw(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes."""
     return batch.column(column).cast(pa.binary()).to_pylist()

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import stored
+from seriesmith.llm.common import give_back, stored
 
 #: Words whose ids a task remembers; the memory is emptied when full.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 _TOKENIZERS: dict[str, object] = {}
 #: Words seen by this worker, by tokenizer; kept from task to task.
 _WORDS: dict[str, Words] = {}
@@ -25,7 +25,7 @@ _WORDS: dict[str, Words] = {}
 MARK = "\x01"
 TOGETHER = 20_000
 #: Bytes of text whose new words are learned together.
-TEXTS = 1 << 22
+TEXTS = 1 << 21
 #: ASCII marks that pre-tokenizers split from letters and digits before them.
 CLOSING = ".,;:!?%$#&*"
 #: An end that normalising leaves one letter or digit, so that marks behind it stay apart.
@@ -178,6 +178,7 @@ def pieces(docs: DataFrame, length: int = 2048, tokenizer: str = "word_bpe_49k.j
             columns = [batch.column("doc_id").take(pa.array(index, pa.int64())), pa.array(piece),
                        pa.array(piece.astype(np.int64) * length), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids, schema.names)
+        give_back()
 
     fields = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
     fields += [("ids", T.BinaryType())] * keep_ids

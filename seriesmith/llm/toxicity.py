@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import fold, known_labels, labelled_sample, pack_arrays, raw, unpack_arrays
+from seriesmith.llm.common import fold, give_back, known_labels, labelled_sample, pack_arrays, raw, unpack_arrays
 
 #: Words whose scores a task remembers; the memory is emptied when full.
 REMEMBERED = 200_000
@@ -138,14 +138,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "bag"))))
         if rows:
-            made, y = [], np.array([int(label > 0) for _, label, _ in rows])
-            for _, _, blob in rows:
-                steps, weights = unpack_arrays(blob, "<i4", "<f4")
-                made.append((np.cumsum(steps, dtype=np.int32), weights))
+            y, steps, weights, ends = np.array([int(label > 0) for _, label, _ in rows]), bytearray(), bytearray(), [0]
+            while rows:  # two large buffers, which the worker gives back, instead of thousands of small arrays
+                own = unpack_arrays(rows.pop(0)[2], "<i4", "<f4")
+                steps += np.cumsum(own[0], dtype=np.int32).tobytes()
+                weights += own[1].tobytes()
+                ends.append(len(steps) // 4)
+            ids, values = np.frombuffer(steps, np.int32), np.frombuffer(weights, np.float32)
+            made = [(ids[a:b], values[a:b]) for a, b in zip(ends, ends[1:])]
             per_bucket, bias = train(made, y, s)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([per_bucket.tobytes()], pa.binary()), pa.array([bias]), pa.array([len(y)], pa.int64()),
                  pa.array([int(y.sum())], pa.int64())], ["model", "bias", "n", "positive"])
+            del made, ids, values, steps, weights
+        give_back()
 
     sample = labelled_sample(docs, labels, label, s.sample_rows, even=True)
     schema = T.StructType([*sample.select("doc_id", "label").schema, T.StructField("bag", T.BinaryType())])
@@ -185,6 +191,8 @@ def score(docs: DataFrame, per_bucket: np.ndarray, bias: float, settings: Settin
                 logit = bias + (sum(map(memory.__getitem__, words)) / len(words) if words else 0.0)
                 out.append(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
             yield pa.RecordBatch.from_arrays([*map(batch.column, columns), pa.array(out, pa.float64())], [*columns, name])
+        del memory
+        give_back()
 
     schema = T.StructType([*docs.select(*columns).schema, T.StructField(name, T.DoubleType())])
     return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
