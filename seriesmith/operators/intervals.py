@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from seriesmith.operators.ordered import LargeKeys, find_large_keys, join_null_safe, join_one_per_key, ordered_columns
 from seriesmith.session import pin
 
+MAX_GRID_POINTS = 4_000_000_000  # of one key
+GRID_CHUNK = 4096
+
 
 def _pieces(df: DataFrame) -> DataFrame:
     """Replace each interval [__low, __high] by the aligned cells (level, cell) that cover it exactly."""
@@ -151,12 +154,24 @@ def drop_incidents(incidents: DataFrame, experiments: DataFrame, keys: Sequence[
     )
 
 
-def label_grid(series: DataFrame, keys: Sequence[str], time: str, name: str = "t", step: int = 1) -> DataFrame:
-    """Every ``step`` time units from the first to the last time of each key (whole numbers), to be labelled."""
+def label_grid(series: DataFrame, keys: Sequence[str], time: str, name: str = "t", step: int = 1,
+               max_points: int = MAX_GRID_POINTS) -> DataFrame:
+    """Every ``step`` time units from the first to the last time of each key (whole numbers), to be labelled.
+
+    A key's grid is made in chunks that are dealt to all tasks, so neither a row nor a task holds a whole span. A key
+    with more than ``max_points`` points ends the query with an error: that is a bad clock value, not a series.
+    """
     t = F.col(time).cast("long")
-    span = series.groupBy(*keys).agg(F.min(t).alias("__lo"), F.max(t).alias("__hi"))
-    return span.filter("__lo IS NOT NULL").select(
-        *keys, F.explode(F.sequence("__lo", "__hi", F.lit(step).cast("long"))).alias(name))
+    span = series.groupBy(*keys).agg(F.min(t).alias("__lo"), F.max(t).alias("__hi")).filter("__lo IS NOT NULL")
+    points = F.floor((F.col("__hi").cast("decimal(20,0)") - F.col("__lo")) / step).cast("decimal(20,0)") + 1
+    text = F.concat(F.lit("time grid of "), F.to_json(F.struct(*keys)), F.lit(" from "), F.col("__lo").cast("string"),
+                    F.lit(" to "), F.col("__hi").cast("string"), F.lit(f" has more than {max_points} points"))
+    checked = F.when(points > max_points, F.raise_error(text)).otherwise(points).cast("long")
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("__points") - 1) / GRID_CHUNK).cast("long"))
+    dealt = span.withColumn("__points", checked).withColumn("__chunk", F.explode(chunks)).repartition(*keys, "__chunk")
+    first, upto = F.col("__chunk") * GRID_CHUNK, F.least(F.col("__points"), (F.col("__chunk") + 1) * GRID_CHUNK) - 1
+    return dealt.withColumn("__i", F.explode(F.sequence(first, upto))).select(
+        *keys, (F.col("__lo") + F.col("__i") * step).alias(name))
 
 
 def label_incidents(df: DataFrame, rules: DataFrame, keys: Sequence[str], time: str, order: Sequence[str],

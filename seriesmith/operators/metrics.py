@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from seriesmith.functions.statistics import ratio_or_zero
 from seriesmith.operators.joins import best_row
 from seriesmith.operators.ordered import find_large_keys, join_null_safe, join_one_per_key, ordered_columns
+from seriesmith.session import pin
 
 N_THRESHOLDS = 1000
 
@@ -57,8 +58,8 @@ def _totals(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
 def precision_recall_steps(df: DataFrame, keys: Sequence[str], score: str, truth: str,
                            max_rows: int | None = None) -> DataFrame:
     """Precision and recall after each distinct score, from the highest score down."""
-    steps = score_steps(df, keys, score, truth)
-    large = find_large_keys(df, keys, max_rows)
+    steps = pin(score_steps(df, keys, score, truth))  # read for sizes, sums and totals
+    large = find_large_keys(steps, keys, max_rows)
     cum = ordered_columns(steps, keys, [F.col(score).desc()], sums={"tp": F.col("pos"), "fp": F.col("neg")},
                           large=large)
     joined = join_one_per_key(cum, _totals(steps, keys), keys, "inner")
@@ -98,8 +99,8 @@ def threshold_sweep(df: DataFrame, keys: Sequence[str], score: str, truth: str,
     known = df.filter(F.col(truth).isNotNull() & F.col(score).isNotNull()).select(
         *keys, F.col(score).cast("double").alias("__s"), F.col(truth).alias("__t"))
     last = n_thresholds - 1
-    span = known.groupBy(*keys).agg(F.min("__s").alias("__lo"), F.max("__s").alias("__hi")).withColumn(
-        "__step", (F.col("__hi") - F.col("__lo")) / last)
+    span = pin(known.groupBy(*keys).agg(F.min("__s").alias("__lo"), F.max("__s").alias("__hi")).withColumn(
+        "__step", (F.col("__hi") - F.col("__lo")) / last))
 
     def at(i: Column) -> Column:
         return F.when(i == last, F.col("__hi")).otherwise(F.col("__lo") + i * F.col("__step"))

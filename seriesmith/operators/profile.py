@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesmith.operators.features import to_long
 from seriesmith.operators.ordered import find_large_keys, join_null_safe, join_one_per_key, ordered_columns
+from seriesmith.session import pin
 
 MAX_MISSING_FRACTION = 0.95
 
@@ -68,14 +69,13 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, probabilit
                     max_rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, NULLs skipped: columns ``q0``, ``q1`` ... per probability.
 
-    Values are counted first and ranked by a running sum, so no task ever holds all values of a key. ``at_most`` is
-    an upper bound of the rows per key, if the caller knows one.
+    Values are counted first and ranked by a running sum, so no task ever holds all values of a key. The counts are
+    pinned: sizes, ranks and totals come from them, and the input is read once. ``at_most`` is an upper bound of the rows
+    per key, if the caller knows one.
     """
-    present = long.filter(F.col(value).isNotNull())
-    counts = present.groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    counts = pin(long.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c")))
     ranked = ordered_columns(counts, keys, [value], sums={"__upto": F.col("__c")},
-                             large=find_large_keys(present, keys, max_rows, at_most=at_most))
-    # The totals come from the same counts, so both branches share one shuffle of the input.
+                             large=find_large_keys(counts, keys, max_rows, at_most=at_most))
     totals = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     joined = join_one_per_key(ranked, totals, keys, "inner")
     cells, out = [], []

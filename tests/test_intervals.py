@@ -97,3 +97,16 @@ def test_patches_overwrite_inclusive_ranges(spark):
                                   "e string, feature string, start int, end int, value double, patch_order int")
     got = intervals.patch_ranges(rows, patch, ["e"], "t", ["x", "y"]).orderBy("t").collect()
     assert [r["x"] for r in got] == [1, 9, 9, 8, 8, 1] and [r["y"] for r in got] == [7, 2, 2, 2, 2, 2]
+
+
+def test_label_grid_of_long_spans(spark):
+    rows = [("a", 5), ("a", 5 + 3 * 9000), ("b", -7), ("c", 0), ("c", 50_000_001), (None, 1), (None, 4), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, t long")
+    grid = intervals.label_grid(df, ["k"], "t", "at", step=3)
+    found = {r["k"]: (r["n"], r["lo"], r["hi"], r["d"]) for r in grid.groupBy("k").agg(
+        F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.countDistinct("at").alias("d")).collect()}
+    assert found == {"a": (9001, 5, 27005, 9001), "b": (1, -7, -7, 1), None: (2, 1, 4, 2),
+                     "c": (16_666_668, 0, 50_000_001, 16_666_668)}
+    bad = spark.createDataFrame([("x", -(1 << 62)), ("x", 1 << 62)], "k string, t long")
+    with pytest.raises(Exception, match="has more than"):
+        intervals.label_grid(bad, ["k"], "t").count()
