@@ -22,6 +22,7 @@ from seriesmith.operators.model_grid import CONTAMINATION, DEFAULT_N_ESTIMATORS,
 from seriesmith.session import pin
 from seriesmith.sources.files import write_table
 
+# The columns of the prediction table, in order.
 PREDICTION_COLUMNS = ["identifier", "window", "window_start", "window_end", "batch", "operating_point", "experiment",
                       "experiment_type", "phase", "model", "anomaly_score", "prediction", "anomaly_label"]
 
