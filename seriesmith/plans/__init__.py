@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["window_queries", "event_queries", "evaluation_queries", "relational_queries", "source_queries", "model_queries"]
+_MODULES = ["window_queries", "event_queries", "evaluation_queries", "relational_queries", "source_queries", "model_queries",
+            "contract_queries"]
 
 
 def _load() -> None:

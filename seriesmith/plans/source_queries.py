@@ -22,17 +22,24 @@ pl AS (SELECT CASE l_returnflag WHEN 'A' THEN 'Startup' WHEN 'N' THEN 'Operation
   'experiment_' || lpad(CAST(l_suppkey % 20 AS VARCHAR), 3, '0') AS experiment, * FROM lineitem)"""
 
 
-def plant_rows(spark, sf_dir):
-    """Line items placed into the plant's folder layout."""
+def layout_columns():
+    """Where a line item stands in the plant's folder layout."""
     s = F.col("l_suppkey")
     number = F.lpad((s % 20).cast("string"), 3, "0")
     kind = F.when(F.col("l_linestatus") == "O", "train_normal").otherwise("test_anormal")
+    return {
+        "phase": F.when(F.col("l_returnflag") == "A", "Startup").when(F.col("l_returnflag") == "N", "Operation")
+        .otherwise("Shutdown"),
+        "batch": F.element_at(F.array(*[F.lit(b) for b in files.BATCHES]), (s % 3 + 1).cast("int")),
+        "operating_point": F.concat(F.lit("operating_point_"), F.lpad((s % 5).cast("string"), 3, "0")),
+        "experiment_file": F.concat(kind, F.lit("_experiment_"), number),
+    }
+
+
+def plant_rows(spark, sf_dir):
+    """Line items placed into the plant's folder layout."""
     return load(spark, sf_dir, "lineitem").select(
-        F.when(F.col("l_returnflag") == "A", "Startup").when(F.col("l_returnflag") == "N", "Operation")
-        .otherwise("Shutdown").alias("phase"),
-        F.element_at(F.array(*[F.lit(b) for b in files.BATCHES]), (s % 3 + 1).cast("int")).alias("batch"),
-        F.concat(F.lit("operating_point_"), F.lpad((s % 5).cast("string"), 3, "0")).alias("operating_point"),
-        F.concat(kind, F.lit("_experiment_"), number).alias("experiment_file"),
+        *[c.alias(n) for n, c in layout_columns().items()],
         F.date_format(F.timestamp_seconds((F.col("l_orderkey") % 86400).cast("long")), "HH:mm:ss").alias("Time"),
         F.col("l_orderkey").cast("double").alias("order"), F.col("l_linenumber").cast("double").alias("line"),
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),

@@ -139,16 +139,18 @@ def read_modalities(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def write_series(df: DataFrame, path: str, parts: Sequence[str], mode: str = "overwrite",
-                 formats: Mapping[str, str] | None = None) -> None:
+                 formats: Mapping[str, str] | None = None, order: Sequence[str] = ()) -> None:
     """One CSV folder per combination of ``parts``.
 
     The rebalance hint gathers small combinations and lets adaptive execution split a large one over several files.
-    ``formats`` writes numbers with a fixed pattern such as ``%.6f``.
+    ``formats`` writes numbers with a fixed pattern such as ``%.6f``. With ``order`` a combination is one file whose rows
+    are in that order; the task that writes it sorts it, on disk if need be.
     """
     shown = df.withColumns({
         c: F.when(F.col(c).isNotNull(), F.format_string(f, F.col(c))) for c, f in (formats or {}).items()
     })
-    shown.hint("rebalance", *parts).write.mode(mode).option("header", True).partitionBy(*parts).csv(path)
+    dealt = shown.repartition(*parts).sortWithinPartitions(*parts, *order) if order else shown.hint("rebalance", *parts)
+    dealt.write.mode(mode).option("header", True).partitionBy(*parts).csv(path)
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ";", infer: bool = False) -> DataFrame:
