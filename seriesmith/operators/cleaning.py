@@ -95,26 +95,36 @@ def long_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], mask: Co
     )
 
 
-def phase_boundaries(df: DataFrame, keys: Sequence[str], order: Sequence[str], active: Column, mask: Column,
-                     longer_than: int = 50, position: str = "position", large: LargeKeys | None = None) -> DataFrame:
-    """Per key: first and last active position and the start of the first long run of ``mask``.
+def phase_status(df: DataFrame, keys: Sequence[str], order: Sequence[str], active: Column, mask: Column,
+                 longer_than: int = 50, position: str = "position", large: LargeKeys | None = None) -> DataFrame:
+    """Per key: n_rows, first and last active position, start of the first long run of ``mask`` and a status.
 
-    Keys that are never active or have no long run are left out.
+    The status is ``split`` where all three positions are known, else ``never active`` or ``no long run``: those keys have
+    no phases and are reported here. NULL conditions count as false.
     """
-    ends = (
-        df.groupBy(*keys)
-        .agg(
-            F.min(F.when(active, F.col(position))).alias("startup_position"),
-            F.max(F.when(active, F.col(position))).alias("shutdown_position"),
-        )
-        .filter(F.col("startup_position").isNotNull())
+    ends = df.groupBy(*keys).agg(
+        F.count("*").alias("n_rows"),
+        F.min(F.when(active, F.col(position))).alias("startup_position"),
+        F.max(F.when(active, F.col(position))).alias("shutdown_position"),
     )
     runs = (
         long_runs(df, keys, order, mask, longer_than, large=large)
         .groupBy(*keys)
         .agg(F.min("first_position").alias("operation_position"))
     )
-    return join_null_safe(ends, runs, keys, "inner")
+    status = F.when(F.col("startup_position").isNull(), "never active").when(
+        F.col("operation_position").isNull(), "no long run").otherwise("split")
+    return join_null_safe(ends, runs, keys, "left").withColumn("status", status)
+
+
+def phase_boundaries(df: DataFrame, keys: Sequence[str], order: Sequence[str], active: Column, mask: Column,
+                     longer_than: int = 50, position: str = "position", large: LargeKeys | None = None) -> DataFrame:
+    """Per key: first and last active position and the start of the first long run of ``mask``.
+
+    Keys that are never active or have no long run are left out; ``phase_status`` names them.
+    """
+    found = phase_status(df, keys, order, active, mask, longer_than, position, large)
+    return found.filter("startup_position IS NOT NULL AND operation_position IS NOT NULL").drop("n_rows", "status")
 
 
 def split_phases(df: DataFrame, keys: Sequence[str], order: Sequence[str], active: Column, mask: Column,
@@ -123,7 +133,7 @@ def split_phases(df: DataFrame, keys: Sequence[str], order: Sequence[str], activ
 
     Startup runs up to and including the first row of the first long run of ``mask``; Operation from there to two
     rows before the last active row; Shutdown from that row to the end. The boundary rows belong to two phases and
-    appear twice. Keys that are never active or have no long run are left out.
+    appear twice. Keys that are never active or have no long run are left out; ``phase_status`` names them.
     """
     large = find_large_keys(df, keys, max_rows)
     indexed = row_position(df, keys, order, "position", large=large)

@@ -11,6 +11,7 @@ from seriesmith.operators import features as ft
 from seriesmith.operators.joins import checked_join
 from seriesmith.operators.ordered import find_large_keys
 from seriesmith.operators.series import complete_windows, elapsed_time, join_modalities, operation_data, window_position
+from seriesmith.session import pin
 
 FILE_ORDER = ["file_block", "file_row"]
 
@@ -23,7 +24,8 @@ def join_in_file_order(modalities: Mapping[str, DataFrame], seconds: Column, cla
     where such a step counts as 0. The order columns of the other files are not read.
     """
     others = [modalities[n].drop(*FILE_ORDER) for n in ("labels", "sensors")]
-    return elapsed_time(join_modalities(modalities["actuators"], *others), keys, FILE_ORDER, seconds, clamp_for)
+    joined = pin(join_modalities(modalities["actuators"], *others))  # files are read once, the clock passes over the rows
+    return elapsed_time(joined, keys, FILE_ORDER, seconds, clamp_for)
 
 
 def ml_table(series: DataFrame, signals: Sequence[str], actuators: Sequence[str] = (), corr_signals: Sequence[str] = (),
@@ -34,8 +36,8 @@ def ml_table(series: DataFrame, signals: Sequence[str], actuators: Sequence[str]
     ``series`` holds the columns that ``operation_data`` asks for. Seconds are whole, so a complete window has one row a
     second and elapsed time orders its rows.
     """
-    rows = operation_data(series, signals, large, small, size)
-    placed = window_position(complete_windows(rows, keys, size), keys, ["elapsed_time"])
+    rows = pin(operation_data(series, signals, large, small, size))
+    placed = pin(window_position(complete_windows(rows, keys, size), keys, ["elapsed_time"]))
     names = ft.window_feature_names(signals, actuators, corr_signals, pairs)
     wide = ft.window_features(placed, keys, signals, actuators, corr_signals, pairs, size).select(*keys, "window", *names)
     temporal = ft.temporal_features(wide, keys, names, large=find_large_keys(rows, keys, weight=F.lit(1.0 / size)))

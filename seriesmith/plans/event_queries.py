@@ -105,6 +105,21 @@ def phase_segments(spark, sf_dir):
     return out.select("event_id", "user_id", "position", "phase")
 
 
+@query("phase_status", f"""
+WITH {RUNS_SQL},
+b AS (SELECT user_id, count(*) AS n_rows, min(position) FILTER (value > 20 AND user_id % 7 <> 3) AS s,
+             max(position) FILTER (value > 20 AND user_id % 7 <> 3) AS e FROM ix GROUP BY user_id),
+d AS (SELECT user_id, min(first_position) AS d FROM runs GROUP BY user_id)
+SELECT user_id, n_rows, s AS startup_position, e AS shutdown_position, d AS operation_position,
+       CASE WHEN s IS NULL THEN 'never active' WHEN d IS NULL THEN 'no long run' ELSE 'split' END AS status
+FROM b LEFT JOIN d USING (user_id)""")
+def phase_status(spark, sf_dir):
+    """Which users can be cut into phases; every seventh is never active."""
+    df = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    indexed = ordered.row_position(df, USER, ORDER, "position")
+    return cleaning.phase_status(indexed, USER, ORDER, (F.col("value") > 20) & (F.col("user_id") % 7 != 3), F.col("value") > 10, 4)
+
+
 @query("resample_interpolate", f"""
 WITH {EV_SQL},
 h AS (SELECT user_id, t // 3600 AS hour, value, CASE WHEN event_type = 'error' THEN value END AS error_value,

@@ -62,6 +62,17 @@ def test_phases_share_their_boundary_rows(spark, max_rows):
     assert out.filter("e = 'idle'").count() == 0
 
 
+def test_every_key_has_a_phase_status(spark):
+    rows = [("a", i, 1, 1) for i in range(60)] + [("idle", i, 0, 1) for i in range(60)] + [("short", i, 1, i % 2) for i in range(60)] \
+        + [(None, i, None, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "e string, position int, h int, f int")
+    out = cleaning.phase_status(df, ["e"], ["position"], F.col("h") > 0, F.col("f") > 0, 50)
+    assert {r["e"]: (r["n_rows"], r["status"], r["operation_position"]) for r in out.collect()} == {
+        "a": (60, "split", 0), "idle": (60, "never active", 0), "short": (60, "no long run", None), None: (3, "never active", None)}
+    empty = cleaning.phase_status(df.limit(0), ["e"], ["position"], F.col("h") > 0, F.col("f") > 0, 50)
+    assert empty.count() == 0
+
+
 def test_uncertainty_rules(spark):
     rows = [("Pt100 class 1/3", "-", 100.0, 0.27), ("Pt100 class A", "-", 100.0, 0.35), ("Pt100 class B", "-", 100.0, 0.80),
             ("flow", "2", -100.0, 2.0), ("flow", "-", 5.0, 0.0), ("flow", "abc", 5.0, 0.0), (None, None, 5.0, None)]
