@@ -30,14 +30,15 @@ def join_in_file_order(modalities: Mapping[str, DataFrame], seconds: Column, cla
 
 def ml_table(series: DataFrame, signals: Sequence[str], actuators: Sequence[str] = (), corr_signals: Sequence[str] = (),
              pairs: Sequence[tuple[str, str]] = (), large: Sequence[str] = (), small: Sequence[str] = (),
-             metadata: Sequence[str] = (), size: int = 60, keys: Sequence[str] = ("identifier",)) -> DataFrame:
+             metadata: Sequence[str] = (), size: int = 60, keys: Sequence[str] = ("identifier",),
+             order: Sequence[str] = FILE_ORDER) -> DataFrame:
     """One row per complete window of the operation phase: metadata, target, features with history, spectrum.
 
-    ``series`` holds the columns that ``operation_data`` asks for. Seconds are whole, so a complete window has one row a
-    second and elapsed time orders its rows.
+    ``series`` holds the columns that ``operation_data`` asks for and those of ``order``, which places the rows of a window:
+    a clock set back gives two rows the same elapsed time.
     """
-    rows = pin(operation_data(series, signals, large, small, size))
-    placed = pin(window_position(complete_windows(rows, keys, size), keys, ["elapsed_time"]))
+    rows = pin(operation_data(series, [*signals, *order], large, small, size))
+    placed = pin(window_position(complete_windows(rows, keys, size), keys, order))
     names = ft.window_feature_names(signals, actuators, corr_signals, pairs)
     wide = ft.window_features(placed, keys, signals, actuators, corr_signals, pairs, size).select(*keys, "window", *names)
     temporal = ft.temporal_features(wide, keys, names, large=find_large_keys(rows, keys, weight=F.lit(1.0 / size)))

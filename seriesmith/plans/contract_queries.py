@@ -137,7 +137,7 @@ rn AS (SELECT *, concat_ws('/', phase, batch, operating_point, experiment_type,
               row_number() OVER (PARTITION BY phase, batch, operating_point, experiment_type, experiment
                                  ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS r FROM pl),
 s AS (SELECT *, CASE WHEN r < 130 THEN r ELSE r - 1 END AS elapsed FROM rn WHERE phase = 'Operation'),
-wa AS (SELECT *, CAST(elapsed // 60 AS INTEGER) AS "window", elapsed % 60 AS position,
+wa AS (SELECT *, CAST(elapsed // 60 AS INTEGER) AS "window", row_number() OVER (PARTITION BY entity, elapsed // 60 ORDER BY r) - 1 AS position,
               count(*) OVER (PARTITION BY entity, elapsed // 60) AS n FROM s),
 w AS (SELECT *, l_quantity AS quantity, l_extendedprice / 1000 AS price, l_discount AS discount, l_tax AS tax,
              CASE WHEN l_linenumber = 7 THEN 0 ELSE l_linenumber % 4 END AS label FROM wa WHERE n = 60),

@@ -41,6 +41,14 @@ def test_rows_follow_the_file_and_windows_its_elapsed_time(spark, tmp_path):
     assert abs(rows[3]["heat_slope"] - 1) < 1e-9 and rows[1]["experiment"] == "experiment_001"
 
 
+def test_rows_of_equal_elapsed_time_keep_the_order_of_the_file(spark, tmp_path):
+    plant(tmp_path, 60, 30)
+    joined = pipeline.join_in_file_order(
+        files.read_modalities(spark, str(tmp_path)), seconds_of_day(F.col("Time")), F.lit(True))
+    (row,) = pipeline.ml_table(split_identifier(joined), NAMES, metadata=["experiment"]).collect()
+    assert abs(row["heat_slope"] - 1) < 1e-9 and row["window"] == 0
+
+
 def test_series_without_a_complete_window(spark, tmp_path):
     plant(tmp_path, 30, 5)
     joined = pipeline.join_in_file_order(files.read_modalities(spark, str(tmp_path)), seconds_of_day(F.col("Time")))
