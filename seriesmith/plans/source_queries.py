@@ -88,6 +88,24 @@ def series_rows(spark, sf_dir):
     return back.select("phase", "experiment", "Time", "order", "line", "quantity", "note")
 
 
+@query("series_line_breaks", f"""
+WITH {PLANT_SQL}
+SELECT phase, experiment, strftime(make_timestamp(l_orderkey % 86400 * 1000000), '%H:%M:%S') AS "Time",
+       CAST(l_orderkey AS DOUBLE) AS "order", l_quantity AS quantity,
+       l_linestatus || chr(10) || '"' || l_returnflag || '", ' || l_linenumber AS "free text"
+FROM pl""")
+def series_line_breaks(spark, sf_dir):
+    """Every row of written series whose text cells hold a line break, quotes and the separator, in two layouts."""
+    root = scratch_path(spark, "breaks")
+    words = F.concat("status", F.lit('\n"'), "flag", F.lit('", '), F.col("line").cast("int"))
+    rows = plant_rows(spark, sf_dir).select("Time", "order", "quantity", words.alias("free text"), *LAYOUT)
+    files.write_series(rows.filter("phase = 'Operation'"), f"{root}/a", LAYOUT)
+    files.write_series(rows.filter("phase <> 'Operation'").select("free text", "quantity", "order", "Time", *LAYOUT),
+                       f"{root}/b", LAYOUT)
+    back = split_identifier(files.read_series(spark, root, text=("Time", "free text")))
+    return back.select("phase", "experiment", "Time", "order", "quantity", "free text")
+
+
 @query("read_modalities", f"""
 WITH {PLANT_SQL}
 SELECT 'labels' AS modality, experiment, count(*) AS n_rows, round(sum(CAST(l_linenumber AS DOUBLE)), 2) AS total

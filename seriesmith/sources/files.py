@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmith.functions.expressions import round_to_second
 from seriesmith.operators.cleaning import keep_first
-from seriesmith.session import pin
+from seriesmith.session import pin, ship_package
 
 # Names the path of a series file is made of.
 PHASES = ["Startup", "Operation", "Shutdown"]
@@ -62,42 +65,80 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", *[e.alias(n) for n, e in parts.items()]).filter(known)
 
 
-def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of all matching files with their path and reading order."""
-    parts = path_metadata(F.col("path"))
-    known = reduce(lambda a, b: a & b, [e.isNotNull() for e in parts.values()])
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
-    return lines.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("file_block"),
-        F.monotonically_increasing_id().alias("file_row"), "value").filter(known)
+def _known(path: Column) -> Column:
+    return reduce(lambda a, b: a & b, [e.isNotNull() for e in path_metadata(path).values()])
+
+
+def first_record(uri: str, step: int = 1 << 16) -> str:
+    """The first line of a file, line breaks inside quotes included; read in steps until it is complete."""
+    system, path = FileSystem.from_uri(uri)
+    held, seen, quotes = bytearray(), 0, 0
+    with system.open_input_stream(path, buffer_size=0) as stream:
+        while part := stream.read(step):
+            held += part
+            for at in (m.start() for m in re.finditer(rb'["\r\n]', part)):
+                if part[at:at + 1] == b'"':
+                    quotes += 1
+                elif quotes % 2 == 0 and held[:seen + at].strip(b" \t\r\n\xef\xbb\xbf"):
+                    return held[:seen + at].decode("utf-8-sig", "replace").strip("\r\n")
+            seen += len(part)
+    return held.decode("utf-8-sig", "replace").strip("\r\n")
 
 
 def layouts(spark: SparkSession, folder: str) -> DataFrame:
     """Header line per matching file: (path, header).
 
-    A header is the first line of a file's first block, found by a pre-aggregated minimum of the reading order.
+    Paths come from the file listing. A task opens its files one after another and reads each up to the end of its header
+    only; the files must lie where ``pyarrow.fs`` can open them. Empty files have no header and are left out.
     """
-    return _lines(spark, folder).filter("file_block = 0").groupBy("path").agg(
-        F.min_by("value", "file_row").alias("header"))
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [first_record(p) or None for p in batch.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(lines, pa.string())], ["path", "header"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv") \
+        .load(folder).select(F.col("_metadata.file_path").alias("path"))
+    ship_package(spark)
+    return files.filter(_known(F.col("path"))).mapInArrow(heads, "path string, header string").filter("header IS NOT NULL")
+
+
+def _csv_options(width: int, sep: str) -> tuple[str, dict[str, str]]:
+    """Schema and options of lines with up to ``width`` cells, all text; empty and missing cells are NULL."""
+    return ", ".join(f"__c{i} string" for i in range(width)), {
+        "sep": sep, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true",
+        "maxColumns": str(max(20480, width + 1)), "maxCharsPerColumn": "-1"}
 
 
 def _cells(line: Column, width: int, sep: str) -> Column:
-    """The cells of a line as an array of ``width`` strings; NULL where a cell is empty or missing."""
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    options = {"sep": sep, "ignoreLeadingWhiteSpace": "true",
-               "ignoreTrailingWhiteSpace": "true", "maxColumns": str(max(20480, width + 1)), "maxCharsPerColumn": "-1"}
-    parsed = F.from_csv(line, schema, options)
-    return F.array(*[parsed[f"c{i}"] for i in range(width)])
+    """The cells of a line as an array of ``width`` strings."""
+    parsed = F.from_csv(line, *_csv_options(width, sep))
+    return F.array(*[parsed[f"__c{i}"] for i in range(width)])
+
+
+def _rows(spark: SparkSession, folder: str, width: int, sep: str, line_breaks: bool) -> DataFrame:
+    """Cells of all lines behind the headers with their path and reading order, by one read of every file."""
+    schema, options = _csv_options(width, sep)
+    read = spark.read.schema(schema).options(**options, header="true", enforceSchema="true", multiLine=str(line_breaks))
+    lines = read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder)
+    cells = [F.col(f"__c{i}") for i in range(width)]
+    return lines.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("file_block"),
+        F.monotonically_increasing_id().alias("file_row"), F.array(*cells).alias("__cells"),
+    ).filter(_known(F.col("path")) & F.exists("__cells", lambda c: c.isNotNull()))
 
 
 def read_series(spark: SparkSession, folder: str, text: Sequence[str] = ("Time",), sep: str = ",",
-                bad_cells: str = "fail") -> DataFrame:
+                bad_cells: str = "fail", line_breaks: bool = True) -> DataFrame:
     """All matching series files below a folder, united by column name and tagged with ``identifier``.
 
     Columns are numbers except those named in ``text``. A cell that is no number ends the read with its file, or, with
     ``bad_cells="report"``, becomes NULL and its column is named in the array ``bad_cells``. Every file may have a header
-    of its own: lines meet their header in a join by path, so neither paths nor headers pass through the driver; it
+    of its own: rows meet their header in a join by path, so neither paths nor headers pass through the driver; it
     collects the distinct column names. ``file_block`` and ``file_row`` give the order of rows inside a file.
+
+    Headers are read in bounded bytes, then every file once. Line breaks inside quotes belong to their cell, so a file is
+    read by one task as a stream; ``line_breaks=False`` promises that there are none and lets Spark split long files.
+    Missing cells at the end of a line are NULL, cells beyond the header and lines without any cell are left out.
     """
     if bad_cells not in ("fail", "report"):
         raise ValueError(f"unknown choice {bad_cells!r}")
@@ -113,10 +154,8 @@ def read_series(spark: SparkSession, folder: str, text: Sequence[str] = ("Time",
     order = heads.select(F.posexplode("names").alias("i", "name")).groupBy("name").agg(F.min("i").alias("i"))
     columns = [r["name"] for r in order.orderBy("i", "name").collect()]
     places = F.array(*[F.array_position("names", F.lit(c)).cast("int") - 1 for c in columns])
-    heads = heads.select(F.col("path").alias("__path"), F.col("header").alias("__header"), places.alias("__places"))
-    lines = _lines(spark, folder).join(heads, F.col("path") == F.col("__path"))
-    rows = lines.filter("NOT (file_block = 0 AND value = __header) AND trim(value) <> ''").withColumn(
-        "__cells", _cells(F.col("value"), width, sep))
+    heads = heads.select(F.col("path").alias("__path"), places.alias("__places"))
+    rows = _rows(spark, folder, width, sep, line_breaks).join(heads, F.col("path") == F.col("__path"))
     cell = {c: F.when(F.get("__places", F.lit(i)) >= 0, F.get("__cells", F.get("__places", F.lit(i))))
             for i, c in enumerate(columns)}
     values, wrong = {}, []

@@ -48,6 +48,42 @@ def test_text_columns_quotes_and_bad_cells(spark, tmp_path):
         files.read_series(spark, str(tmp_path), text=("Time", "Remark")).collect()
 
 
+def test_line_breaks_blank_lines_and_repeated_headers(spark, tmp_path):
+    folder = tmp_path / "Operation" / BATCH / "operating_point_001"
+    write(folder / "train_normal_experiment_001.csv",
+          '\ufeff\n"Re\nmark",x\n"first\nsecond",1\n\n  \nRe,2\n"Re\nmark",x\nonly\nlong,4,beyond\n')
+    write(folder / "train_normal_experiment_002.csv", "")
+    write(folder / "train_normal_experiment_003.csv", "x\r\n5\r\n6")
+    read = files.read_series(spark, str(tmp_path), text=("Re\nmark",), bad_cells="report")
+    got = {k: [] for k in ("experiment_001", "experiment_003")}
+    for r in read.orderBy("file_block", "file_row").collect():
+        got[r["identifier"].rpartition("/")[2]].append((r["Re\nmark"], r["x"], r["bad_cells"]))
+    assert got == {
+        "experiment_001": [("first\nsecond", 1.0, []), ("Re", 2.0, []), ("Re\nmark", None, ["x"]), ("only", None, []),
+                           ("long", 4.0, [])],
+        "experiment_003": [(None, 5.0, []), (None, 6.0, [])]}
+
+
+def test_headers_are_read_in_bounded_steps(spark, tmp_path):
+    path = tmp_path / "a b%41+c" / "x.csv"
+    write(path, '"a""b\n",' + "c" * 50 + "\n" + "1,2\n" * 1000)
+    for step in (1, 7, 1 << 16):
+        assert files.first_record(path.as_uri(), step) == '"a""b\n",' + "c" * 50
+
+
+def test_long_files_can_be_split(spark, tmp_path):
+    path = tmp_path / "Operation" / BATCH / "operating_point_001" / "train_normal_experiment_001.csv"
+    write(path, "x\n" + "".join(f"{i}\n" for i in range(30000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        read = files.read_series(spark, str(tmp_path), line_breaks=False)
+        rows = read.orderBy("file_block", "file_row").collect()
+        assert [r["x"] for r in rows] == list(map(float, range(30000))) and len({r["file_block"] for r in rows}) > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_no_matching_file_is_an_error(spark, tmp_path):
     write(tmp_path / "Operation" / "x.csv", "a\n1\n")
     with pytest.raises(ValueError, match="no matching"):
