@@ -1,21 +1,29 @@
 """Interval labelling: which interval is in force at a time, resolved without pairing rows and intervals.
 
-Intervals are first turned into disjoint segments that name the winning interval. Each interval is split into
-aligned power-of-two pieces (at most two per level), pieces are reduced to their winner, and every point where
-the answer may change looks its enclosing pieces up: work is linear in the intervals times the number of levels,
-also when thousands of intervals overlap. The segment starts are then merged into the series and carried
-forward with one ordered pass, which stays balanced for a very long series.
+Intervals are first turned into disjoint segments that name the winning interval. Those of a key are swept in the
+order of their starts by a task that holds the open ones in a heap by priority. Keys with too many rows and intervals
+for one task are cut instead: each interval is split into aligned power-of-two pieces (at most two per level), pieces
+are reduced to their winner, and every point where the answer may change looks its enclosing pieces up: work is linear
+in the intervals times the number of levels. The segment starts are then merged into the series and carried forward
+with one ordered pass, which stays balanced for a very long series.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import heapq
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from seriesmith.operators.ordered import LargeKeys, find_large_keys, join_null_safe, join_one_per_key, ordered_columns
-from seriesmith.session import pin
+from seriesmith.operators.ordered import (
+    LargeKeys, find_large_keys, join_null_safe, join_one_per_key, ordered_columns, without_large,
+)
+from seriesmith.session import pin, ship_package
 
 MAX_GRID_POINTS = 4_000_000_000  # of one key
 GRID_CHUNK = 4096
@@ -33,19 +41,107 @@ def _pieces(df: DataFrame) -> DataFrame:
     return leveled.withColumn("cell", F.explode(cells)).drop("__low", "__high", "__first", "__end", "__top")
 
 
+def _sweep(low: list[int], high: list[int], rank: list[int], bounds: list[int]) -> tuple[list[int], list, list[int]]:
+    """Points where the winner changes, the winners' rows (None: no interval) and a row of the key each belongs to.
+
+    The rows of a key lie between two ``bounds``, ordered by ``low``; ``rank`` numbers all rows by priority.
+    """
+    row_of = [0] * len(rank)
+    for row, r in enumerate(rank):
+        row_of[r] = row
+    starts, winners, owners = [], [], []
+    for begin, end in zip(bounds, bounds[1:]):
+        open_, at, top = [], begin, None  # open intervals by falling priority; those that ended are removed at the top
+        while at < end or open_:
+            point = low[at] if top is None or (at < end and low[at] <= high[top]) else high[top] + 1
+            while at < end and low[at] == point:
+                heapq.heappush(open_, -rank[at])
+                at += 1
+            while open_ and high[row_of[-open_[0]]] < point:
+                heapq.heappop(open_)
+            now = row_of[-open_[0]] if open_ else None
+            if now != top:
+                starts.append(point)
+                winners.append(now)
+                owners.append(begin)
+            top = now
+    return starts, winners, owners
+
+
+def _key_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Rows whose key differs from the row before; NULL equals NULL."""
+    new = np.zeros(max(0, table.num_rows - 1), bool)
+    for k in keys:
+        column = table.column(k).combine_chunks()
+        here, before = column[1:], column[:-1]
+        for differs in (pc.fill_null(pc.not_equal(here, before), False), pc.xor(pc.is_null(here), pc.is_null(before))):
+            new |= differs.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.concatenate([np.ones(min(1, table.num_rows), bool), new]))
+
+
+def _swept(valid: DataFrame, keys: list[str], priority: Sequence[str]) -> DataFrame:
+    """Segments of keys that a task can hold: one shuffle by key, then one pass over the sorted intervals."""
+    names = [f"__p{i}" for i in range(len(priority))]
+    flat = valid.select(*keys, "__low", "__high", F.col("__w.v").alias("__v"),
+                        *[F.col("__w.p").getField(p).alias(n) for p, n in zip(priority, names)])
+    ship_package(valid.sparkSession)
+
+    def found(parts: list[pa.Table]) -> pa.RecordBatch:
+        table = pa.concat_tables(parts)
+        bounds = [*_key_starts(table, keys).tolist(), table.num_rows]
+        order = pc.sort_indices(table, [(n, "ascending") for n in names], null_placement="at_start").to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        points, winners, owners = _sweep(table.column("__low").to_pylist(), table.column("__high").to_pylist(),
+                                         rank.tolist(), bounds)
+        who = [table.column(k).combine_chunks().take(pa.array(owners, pa.int64())) for k in keys]
+        won = table.column("__v").combine_chunks().take(pa.array(winners, pa.int64()))
+        return pa.RecordBatch.from_arrays([*who, pa.array(points, pa.int64()), won], [*keys, "start", "winner"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # rows of keys that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = pa.Table.from_batches([batch])
+            seam = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+            cut = int(_key_starts(pa.concat_tables([*seam, part]), keys)[-1]) - len(seam)
+            if cut >= 0 and held or cut > 0:
+                yield found([*held, part.slice(0, cut)])
+                held = []
+            held.append(part.slice(max(cut, 0)))
+        if held:
+            yield found(held)
+
+    fields = flat.schema
+    schema = StructType([*[fields[k] for k in keys], StructField("start", LongType()),
+                         StructField("winner", fields["__v"].dataType)])
+    return flat.repartition(*keys).sortWithinPartitions(*keys, "__low", "__high").mapInArrow(run, schema)
+
+
 def segments(intervals: DataFrame, keys: Sequence[str], low: str, high: str, priority: Sequence[str],
-             payload: Sequence[str]) -> DataFrame:
+             payload: Sequence[str], large: LargeKeys | None = None, large_keys: Sequence[str] | None = None) -> DataFrame:
     """Points at which the interval in force changes: keys, start, winner (struct of ``payload`` or NULL).
 
     Of all intervals [low, high] (both inclusive integers, negative ones too) that cover a point, the one with the
-    greatest ``priority`` wins. The valid intervals are pinned, since cells, points and levels are all read off them.
+    greatest ``priority`` wins; a NULL is the least, and of equal ones any may win. ``large`` names the keys (of the columns
+    ``large_keys``, all ``keys`` if not given) whose intervals no task should hold; it is counted here if not given. Keys,
+    priorities and bounds are plain values, no structs.
     """
-    keys = list(keys)
-    valid = pin(intervals.filter(F.col(low) <= F.col(high)).select(
+    keys, by = list(keys), list(large_keys or keys)
+    valid = intervals.filter(F.col(low) <= F.col(high)).select(
         *keys, F.col(low).cast("long").alias("__low"), F.col(high).cast("long").alias("__high"),
-        F.struct(F.struct(*priority).alias("p"), F.struct(*payload).alias("v")).alias("__w"),
-        (F.length(F.bin(F.col(high).cast("long") - F.col(low).cast("long") + 1)) - 1).alias("__top"),
-    ))
+        F.struct(F.struct(*priority).alias("p"), F.struct(*payload).alias("v")).alias("__w"))
+    large = large or find_large_keys(valid, by)
+    if large.marks is None:
+        return _swept(valid, keys, priority)
+    few = _swept(without_large(valid, by, large), keys, priority)
+    return few.unionByName(_by_cells(join_null_safe(valid, large.shared(large.marks), by, "left_semi"), keys))
+
+
+def _by_cells(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Segments of keys of any size. The intervals are pinned, since cells, points and levels are all read off them."""
+    valid = pin(intervals.withColumn("__top", F.length(F.bin(F.col("__high") - F.col("__low") + 1)) - 1))
     cells = _pieces(valid).groupBy(*keys, "level", "cell").agg(F.max_by("__w", F.col("__w.p")).alias("__w"))
     # Every point where the answer may change, looked up in the enclosing cell of every size its key has.
     points = valid.select(*keys, F.explode(F.array(F.col("__low"), F.col("__high") + 1)).alias("start")).distinct()
@@ -94,8 +190,9 @@ def _sizes(df: DataFrame, intervals: DataFrame, keys: Sequence[str], max_rows: i
 def last_writer(df: DataFrame, intervals: DataFrame, keys: Sequence[str], time: str, low: str, high: str,
                 order: Sequence[str], value: str, name: str, max_rows: int | None = None) -> DataFrame:
     """Rows inside an interval get its ``value``; the interval written last (greatest ``order``) wins."""
-    seg = segments(intervals, keys, low, high, order, [value])
-    out = apply_segments(df, keys, time, {"__seg": seg}, _sizes(df, intervals, keys, max_rows))
+    large = _sizes(df, intervals, keys, max_rows)
+    seg = segments(intervals, keys, low, high, order, [value], large)
+    out = apply_segments(df, keys, time, {"__seg": seg}, large)
     return out.withColumn(name, F.col(f"__seg.{value}")).drop("__seg")
 
 
@@ -104,9 +201,10 @@ def patch_ranges(df: DataFrame, patches: DataFrame, keys: Sequence[str], time: s
                  order: Sequence[str] = ("patch_order",), max_rows: int | None = None) -> DataFrame:
     """Overwrite features with patch values for inclusive time ranges; the last patch wins."""
     known = patches.filter(F.col(feature).isin(list(features)))
-    found = pin(segments(known, [*keys, feature], low, high, order, [value]))
+    large = _sizes(df, known, keys, max_rows)
+    found = pin(segments(known, [*keys, feature], low, high, order, [value], large, keys))
     layers = {f"__patch_{f}": found.filter(F.col(feature) == f).drop(feature) for f in features}
-    out = apply_segments(df, keys, time, layers, _sizes(df, patches, keys, max_rows))
+    out = apply_segments(df, keys, time, layers, large)
     return out.withColumns(
         {f: F.coalesce(F.col(f"__patch_{f}.{value}"), F.col(f)) for f in features}
     ).select(*df.columns)
@@ -178,6 +276,7 @@ def label_incidents(df: DataFrame, rules: DataFrame, keys: Sequence[str], time:
                     name: str = "label", max_rows: int | None = None) -> DataFrame:
     """Per-row label 0-3: label 2 is never overwritten, otherwise the rule written last wins, default 0."""
     ranked = rules.withColumn("__absorbing", (F.col("label") == 2).cast("int"))
-    seg = segments(ranked, keys, "low", "high", ["__absorbing", *order, "rule_order"], ["label"])
-    out = apply_segments(df, keys, time, {"__seg": seg}, _sizes(df, rules, keys, max_rows))
+    large = _sizes(df, rules, keys, max_rows)
+    seg = segments(ranked, keys, "low", "high", ["__absorbing", *order, "rule_order"], ["label"], large)
+    out = apply_segments(df, keys, time, {"__seg": seg}, large)
     return out.withColumn(name, F.coalesce(F.col("__seg.label"), F.lit(0))).drop("__seg")

@@ -110,3 +110,42 @@ def test_label_grid_of_long_spans(spark):
     bad = spark.createDataFrame([("x", -(1 << 62)), ("x", 1 << 62)], "k string, t long")
     with pytest.raises(Exception, match="has more than"):
         intervals.label_grid(bad, ["k"], "t").count()
+
+
+def test_sweep_equals_cells_and_painting(spark):
+    """Null keys, null priorities, nested and touching intervals, keys that span Arrow batches."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(1500):
+        lo = int(rng.integers(-50, 400))
+        key = None if i % 5 == 0 else "a" if i % 2 else f"k{i % 7}"
+        rows.append((key, i % 3, lo, lo + int(rng.choice([-1, 0, 1, 7, 90])), None if i == 7 else i))
+    df = spark.createDataFrame(rows, "k string, f int, lo int, hi int, p int")
+    want = {}
+    for k, f, lo, hi, p in rows:
+        for t in range(lo, hi + 1):
+            want[k, f, t] = max(want.get((k, f, t), -1), -1 if p is None else p)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        for limit in (10, 200, 10_000):
+            large = intervals.find_large_keys(df, ["k"], limit)
+            assert (large.marks is None) == (limit == 10_000)
+            got, points = {}, {}
+            for r in intervals.segments(df, ["k", "f"], "lo", "hi", ["p"], ["p", "lo"], large, ["k"]).collect():
+                points.setdefault((r["k"], r["f"]), []).append((r["start"], r["winner"]))
+            for (k, f), found in points.items():
+                found.sort(key=lambda x: x[0])
+                assert len({s for s, _ in found}) == len(found) and found[-1][1] is None
+                for (s, w), (e, _) in zip(found, found[1:]):
+                    got.update({(k, f, t): -1 if w["p"] is None else w["p"] for t in range(s, e) if w is not None})
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_no_intervals(spark):
+    df = spark.createDataFrame([], "k string, lo int, hi int")
+    assert intervals.segments(df, ["k"], "lo", "hi", ["lo"], ["lo"]).collect() == []
+    rows = spark.createDataFrame([("x", 1)], "k string, t int")
+    assert intervals.last_writer(rows, df, ["k"], "t", "lo", "hi", ["lo"], "hi", "v").first()["v"] is None
