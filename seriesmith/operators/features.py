@@ -6,11 +6,12 @@ asked for. The unpivot happens before the aggregate, so the map side reduces eac
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from seriesmith.functions.expressions import binary_target, pair_differences
 from seriesmith.functions.statistics import constant_flag, safe_corr, strict_slope
 from seriesmith.operators.ordered import LargeKeys, join_null_safe, ordered_columns
+from seriesmith.session import ship_package
 
 STATISTICS = ("mean", "std", "min", "max")
 SPECTRUM = ("total_power", "dominant_power_ratio", "spectral_entropy")
@@ -228,22 +230,27 @@ def window_list(df: DataFrame, keys: Sequence[str], window: str = "window") -> D
     return df.select(*keys, window).distinct().orderBy(*keys, window)
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in SPECTRUM]))
-def _spectrum(values: pd.Series) -> pd.DataFrame:
-    """Power spectrum summary of a batch of complete windows (arrays of equal length, no missing value)."""
-    out = np.full((len(values), 3), np.nan)
-    x = np.stack(values.to_numpy()) if len(values) else np.empty((0, 1))
+def _power_summary(x: np.ndarray) -> np.ndarray:
+    """Total power, dominant power ratio and entropy of each row of ``x``; NaN where there is none."""
+    out = np.full((len(x), 3), np.nan)
     size = x.shape[1]
     flat = (x == x[:, :1]).all(axis=1)
-    power = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1)[:, 1:]) ** 2 / size
-    total = power.sum(axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
+        power = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1)[:, 1:]) ** 2 / size
+        total = power.sum(axis=1)
         share = power / total[:, None]
         entropy = -(share * np.log2(share + 1e-12)).sum(axis=1)
     out[:, 0] = np.where(flat, 0.0, total)
     out[:, 1] = np.where(flat, np.nan, share.max(axis=1, initial=0))
     out[:, 2] = np.where(flat, 0.0, entropy)
-    return pd.DataFrame(out, columns=list(SPECTRUM))
+    return out
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in SPECTRUM]))
+def _spectrum(values: pd.Series) -> pd.DataFrame:
+    """Power spectrum summary of a batch of complete windows (arrays of equal length, no missing value)."""
+    x = np.stack(values.to_numpy()) if len(values) else np.empty((0, 1))
+    return pd.DataFrame(_power_summary(x), columns=list(SPECTRUM))
 
 
 def frequency_features(df: DataFrame, keys: Sequence[str], signals: Sequence[str], size: int = 60,
@@ -263,6 +270,88 @@ def frequency_features(df: DataFrame, keys: Sequence[str], signals: Sequence[str
     return done.unionByName(rest)
 
 
+KERNEL_WINDOWS = 1024  # windows whose arrays are worked on at once
+
+
+def _one_signal(x: np.ndarray, valid: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """(values, whether NULL) of every statistic of one signal in some windows, by the rules of the aggregates."""
+    n, size = valid.sum(axis=1), x.shape[1]
+    mean = np.where(valid, x, 0).sum(axis=1) / np.maximum(n, 1)
+    off = np.where(valid, x - mean[:, None], 0)
+    std = np.sqrt((off * off).sum(axis=1) / np.maximum(n - 1, 1))
+    least, most = np.where(valid, x, np.inf), np.where(valid, x, -np.inf)
+    # NaN is greater than every number.
+    least = np.where((np.isnan(x) | ~valid).all(axis=1), np.nan, np.fmin.reduce(least, axis=1))
+    most = most.max(axis=1)
+    t = np.arange(size) - (size - 1) / 2
+    slope = (off * t).sum(axis=1) / max((t * t).sum(), 1e-300)
+    same = (n >= 2) & ((least == most) | (np.isnan(least) & np.isnan(most)))
+    return {"mean": (mean, n == 0), "std": (std, n < 2), "min": (least, n == 0), "max": (most, n == 0),
+            "slope": (slope, (n < size) | (size < 2)), "constant": (same.astype(float), np.zeros(len(n), bool))}
+
+
+def _two_signals(x: np.ndarray, y: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Correlation over complete pairs and whether it is NULL (either side constant)."""
+    n = np.maximum(both.sum(axis=1), 1)
+    varies, offs = np.ones(len(x), bool), []
+    for z in (x, y):
+        stats = _one_signal(z, both)
+        (least, none), (most, _) = stats["min"], stats["max"]
+        varies &= ~none & ((least < most) | (~np.isnan(least) & np.isnan(most)))
+        offs.append(np.where(both, z - stats["mean"][0][:, None], 0))
+    spread = np.sqrt((offs[0] ** 2).sum(axis=1) / n) * np.sqrt((offs[1] ** 2).sum(axis=1) / n)
+    corr = (offs[0] * offs[1]).sum(axis=1) / n / np.where(spread == 0, 1, spread)
+    return corr, ~varies | (spread == 0)
+
+
+def window_kernel(df: DataFrame, keys: Sequence[str], signals: Sequence[str], actuators: Sequence[str] = (),
+                  corr_signals: Sequence[str] = (), diff_pairs: Sequence[tuple[str, str]] = (), size: int = 60,
+                  window: str = "window", position: str = "position") -> DataFrame:
+    """``window_features`` and the pivoted ``frequency_features`` of all complete windows, from one gathering of the rows.
+
+    A window's signals are gathered into arrays once; statistics, slopes, flags, correlations, differences and spectrum of
+    a batch of windows then come from the same arrays, so there is neither a tall table nor a pivot nor a join. Missing
+    values and NaN count as in the two operators; positions run from 0 to ``size`` - 1.
+    """
+    gathered = list(dict.fromkeys([*signals, *actuators, *corr_signals, *[c for p in diff_pairs for c in p]]))
+    features = window_feature_names(signals, actuators, corr_signals, diff_pairs)
+    names = [*features, *[f"{m}_{s}" for s in signals for m in SPECTRUM]]
+    arrays = window_arrays(df, keys, gathered, size, window, position)
+    schema = T.StructType([*[arrays.schema[k] for k in [*keys, window]], *[T.StructField(n, T.DoubleType()) for n in names]])
+    ship_package(df.sparkSession)
+
+    def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        flat = column.flatten()
+        return (flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, size),
+                flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, size))
+
+    def computed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data = {c: matrix(batch.column(c)) for c in gathered}
+        out = {}
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            differences = {f"{a}_{b}_diff": (data[a][0] - data[b][0], data[a][1] & data[b][1]) for a, b in diff_pairs}
+            for s, (x, valid) in {**data, **differences}.items():
+                out.update({f"{s}_{k}": v for k, v in _one_signal(x, valid).items()})
+            for a, b in combinations(corr_signals, 2):
+                (x, vx), (y, vy) = data[a], data[b]
+                out[f"{a}_{b}_corr"] = _two_signals(x, y, vx & vy)
+            for s in signals:
+                x, valid = data[s]
+                whole = valid.all(axis=1) & ~np.isnan(x).any(axis=1)
+                power = np.full((len(x), 3), np.nan)
+                power[whole] = _power_summary(x[whole])
+                out.update({f"{m}_{s}": (power[:, i], np.isnan(power[:, i])) for i, m in enumerate(SPECTRUM)})
+        columns = [pa.array(v, pa.float64(), mask=null, from_pandas=False) for v, null in (out[n] for n in names)]
+        return pa.RecordBatch.from_arrays([*[batch.column(k) for k in [*keys, window]], *columns], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, KERNEL_WINDOWS):
+                yield computed(batch.slice(begin, KERNEL_WINDOWS))
+
+    return arrays.mapInArrow(run, schema)
+
+
 def _null_if_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 

@@ -169,9 +169,9 @@ def ml_features(spark, sf_dir):
 
 
 def ml_table(spark, sf_dir):
-    temporal = temporal_table(spark, sf_dir)
-    tall = ft.frequency_features(complete(spark, sf_dir), KEYS, SIGNALS, SIZE)
-    return ft.ml_features(temporal, ft.pivot_frequency(tall, KEYS, SIGNALS), KEYS)
+    wide = ft.window_kernel(complete(spark, sf_dir), KEYS, SIGNALS, SIGNALS, SIGNALS, PAIRS, SIZE)
+    out = ft.temporal_features(wide, KEYS, WIDE_NAMES, large=large_by_windows(spark, sf_dir))
+    return out.select(*[c for c in out.columns if c not in FREQ_NAMES], *FREQ_NAMES)
 
 
 @query("window_list", f"""

@@ -151,3 +151,45 @@ def test_one_window_as_series(spark):
     out = ft.window_series(wide, ["entity"], ["a"], 2).filter("signal = 'x'").collect()
     assert [(r["position"], r["value"]) for r in out] == [(i, 200.0 + i) for i in range(60)]
     assert [r["window"] for r in ft.window_list(df, ["entity"]).collect()] == [0, 1, 2]
+
+
+def test_kernel_equals_the_aggregates(spark):
+    """Missing values, NaN, infinity, constant and empty signals, windows that are too short; no rows at all."""
+    rng = np.random.default_rng(4)
+    rows, size = [], 6
+    for e in range(4):
+        for w in range(8):
+            for p in range(size - (w == 7)):
+                x, y = float(rng.integers(0, 9)), float(rng.normal())
+                if (e, w) == (0, 0):
+                    x = None
+                if (e, w) == (0, 1):
+                    x = 2.0
+                if e == 1 and (w + p) % 5 == 0:
+                    y = None
+                if (e, w, p) in ((2, 0, 1), (2, 1, 0), (2, 1, 3)):
+                    y = float("nan")
+                if (e, w) == (2, 2):
+                    y = float("nan")
+                if (e, w, p) == (3, 3, 2):
+                    y = float("inf")
+                if (e, w) == (3, 4) and p:
+                    y = None
+                rows.append((None if e == 3 else str(e), w, p, x, y, 1.5 if w % 2 else float(p)))
+    df = spark.createDataFrame(rows, "entity string, window int, position long, x double, y double, c double")
+    signals, keys, pairs = ["x", "y", "c"], ["entity"], [("y", "x")]
+    for data in (df, df.filter("window = 7")):
+        wide = ft.window_features(data, keys, signals, ["c", "x"], signals, pairs, size)
+        spectrum = ft.pivot_frequency(ft.frequency_features(data, keys, signals, size), keys, signals)
+        want = ft.ml_features(wide, spectrum, keys)
+        got = ft.window_kernel(data, keys, signals, ["c", "x"], signals, pairs, size)
+        assert got.columns == want.columns
+        a, b = ({(r["entity"], r["window"]): r for r in d.collect()} for d in (want, got))
+        assert set(a) == set(b) and len(a) == (28 if data is df else 0)
+        for k, row in a.items():
+            for c in want.columns[2:]:
+                here, there = row[c], b[k][c]
+                if here is None or there is None:
+                    assert here is there, (k, c, here, there)
+                else:
+                    assert np.isclose(here, there, rtol=1e-9, atol=1e-9, equal_nan=True), (k, c, here, there)
