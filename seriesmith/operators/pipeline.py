@@ -40,8 +40,9 @@ def ml_table(series: DataFrame, signals: Sequence[str], actuators: Sequence[str]
     rows = pin(operation_data(series, [*signals, *order], large, small, size))
     placed = pin(window_position(complete_windows(rows, keys, size), keys, order))
     names = ft.window_feature_names(signals, actuators, corr_signals, pairs)
-    wide = ft.window_features(placed, keys, signals, actuators, corr_signals, pairs, size).select(*keys, "window", *names)
+    wide = ft.window_kernel(placed, keys, signals, actuators, corr_signals, pairs, size)
+    spectrum = [c for c in wide.columns if c not in (*keys, "window", *names)]
     temporal = ft.temporal_features(wide, keys, names, large=find_large_keys(rows, keys, weight=F.lit(1.0 / size)))
-    spectrum = ft.pivot_frequency(ft.frequency_features(placed, keys, signals, size), keys, signals)
+    table = temporal.select(*[c for c in temporal.columns if c not in spectrum], *spectrum)
     first = ft.window_metadata(placed, keys, metadata, label="anomaly_label", size=size).drop("anomaly_label")
-    return checked_join(first, ft.ml_features(temporal, spectrum, keys), [*keys, "window"], "inner", "one_to_one")
+    return checked_join(first, table, [*keys, "window"], "inner", "one_to_one")
