@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Sequence
+import inspect
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,25 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` of a task's batches, a group or two groups; once it has ended, what it freed is given back."""
+    if inspect.isgeneratorfunction(run):
+        def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from run(batches)
+            give_back()
+    elif len(inspect.signature(run).parameters) == 2:
+        def after(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = run(left, right)
+            give_back()
+            return out
+    else:
+        def after(table: pa.Table) -> pa.Table:
+            out = run(table)
+            give_back()
+            return out
+    return after
+
+
 def raw(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes."""
     return batch.column(column).cast(pa.binary()).to_pylist()

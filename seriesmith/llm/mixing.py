@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmith.llm.common import WORD, prefix_sums, stored, word_count
+from seriesmith.llm.common import WORD, prefix_sums, stored, tidy, word_count
 from seriesmith.operators.ordered import join_null_safe
 
 
@@ -109,7 +109,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epo
     whole = both.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*columns)
     last = both.withColumn("__rest", F.col("__taken") % F.col("__size")).filter("__rest > 0")
     schema = docs.schema
-    part = last.select(*columns, "__rest").mapInPandas(_first_words(columns), schema)
+    part = last.select(*columns, "__rest").mapInPandas(tidy(_first_words(columns)), schema)
     if "n_chars" in columns:
         part = part.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)).select(*columns)
     return whole.unionByName(part)

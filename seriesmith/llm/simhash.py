@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import raw, stored
+from seriesmith.llm.common import raw, stored, tidy
 from seriesmith.llm.components import connected_components
 
 BITS = 64
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
                 [*map(batch.column, rest), pa.array(np.array(fps, np.uint64).view(np.int64))], [*rest, "fp"])
 
     schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField("fp", T.LongType())])
-    return docs.select(*rest, "text").mapInArrow(run, schema)
+    return docs.select(*rest, "text").mapInArrow(tidy(run), schema)
 
 
 def _ball(radius: int) -> list[int]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import pack_arrays, raw, stored, unpack_arrays
+from seriesmith.llm.common import pack_arrays, raw, stored, tidy, unpack_arrays
 
 #: Bytes of an anchor. Shorter ones repeat by chance, longer ones leave more anchors.
 GRAM = 20
@@ -32,6 +32,8 @@ BLOCK_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 18  # arrays of this many entries stay in the processor's cache
 #: An anchor in more documents than this is exchanged window by window, so that no shard gets all of its suffixes.
 HOT_DOCUMENTS = 20_000
+#: Rows of a batch that are cut at once.
+CUT_ROWS = 1000
 NOBODY = np.iinfo(np.int64).max
 PAD = 0xFF  # never part of UTF-8
 
@@ -141,7 +143,7 @@ def _count_anchors(docs: DataFrame, length: int, blocks: int) -> DataFrame:
         if size:
             yield from flush()
 
-    return docs.select("text", "block").mapInArrow(run, "shard int, blob binary")
+    return docs.select("text", "block").mapInArrow(tidy(run), "shard int, blob binary")
 
 
 def _shared_anchors(hot_documents: int):
@@ -493,17 +495,17 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot_documents: int = HOT_D
         row_hash().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NOBODY))).alias("rank"), "text",
     ).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     shared = _count_anchors(rows, length, blocks).groupBy("shard").applyInArrow(
-        _shared_anchors(hot_documents), "block int, blob binary")
+        tidy(_shared_anchors(hot_documents)), "block int, blob binary")
     long = T.ArrayType(T.LongType())
     runs = stored(
         rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
-            _suffix_runs(length, blocks), "kind int, target int, block int, blob binary"), "runs")
+            tidy(_suffix_runs(length, blocks)), "kind int, target int, block int, blob binary"), "runs")
     replies = runs.filter("kind = 0").drop("kind").groupBy("target").applyInArrow(
-        _merge_shard(length), "block int, shard int, blob binary")
+        tidy(_merge_shard(length)), "block int, shard int, blob binary")
     index = runs.filter("kind = 1").select("block", "blob")
     spans = index.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        _spans(length), T.StructType([T.StructField("row", T.LongType()), T.StructField("starts", long),
-                                      T.StructField("ends", long)]))
+        tidy(_spans(length)), T.StructType([T.StructField("row", T.LongType()), T.StructField("starts", long),
+                                            T.StructField("ends", long)]))
     return stored(spans, "spans")
 
 
@@ -512,38 +514,24 @@ def row_hash():
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce("text", F.lit("")))
 
 
-def cut(docs: DataFrame, spans: DataFrame, columns: list[str], keep_text: bool) -> DataFrame:
-    """``columns`` of every row with n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the kept bytes.
-
-    New columns start with two underscores. The spans are hashed, so texts are shuffled but not sorted.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, removed, counts, digests, kept = [], [], [], [], []
-            for text, starts, ends in zip(raw(batch, "text"), batch.column("__starts").to_pylist(),
-                                          batch.column("__ends").to_pylist()):
-                text = text or b""
-                if starts:
-                    rest = b"".join([text[a:b] for a, b in zip([0, *ends], [*starts, len(text)])])
-                else:
-                    rest = text
-                sizes.append(len(text))
-                removed.append(len(text) - len(rest))
-                counts.append(len(starts or ()))
-                digests.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
-            new = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()),
-                   pa.array(digests)] + [pa.array(kept, pa.binary())] * keep_text
-            yield pa.RecordBatch.from_arrays([*map(batch.column, columns), *new], schema.names)
-
-    named = [("__n_bytes", T.LongType()), ("__n_removed", T.LongType()), ("__n_spans", T.LongType()),
-             ("__kept_sha256", T.StringType())] + [("__kept", T.BinaryType())] * keep_text
-    schema = T.StructType([*[docs.schema[c] for c in columns], *[T.StructField(n, t) for n, t in named]])
+def _with_spans(docs: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` and text of every row with __starts and __ends. The spans are hashed, so texts are not sorted."""
     found = spans.select(F.col("row").alias("__row"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
     need = list(dict.fromkeys([*columns, "text"]))
     both = docs.select(*need, row_hash().alias("__own")).join(
         found.hint("shuffle_hash"), F.col("__own") == F.col("__row"), "left")
-    return both.select(*need, "__starts", "__ends").mapInArrow(run, schema)
+    return both.select(*need, "__starts", "__ends")
+
+
+def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Some rows at a time: the rows, and of each its text, the starts of its spans and what is kept of it, as bytes."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, CUT_ROWS):
+            part = batch.slice(i, CUT_ROWS)
+            texts, starts, ends = raw(part, "text"), *(part.column(c).to_pylist() for c in ("__starts", "__ends"))
+            kept = [b"".join([t[x:y] for x, y in zip([0, *e], [*s, len(t)])]) if s else t
+                    for t, s, e in zip(texts, starts, ends)]
+            yield part, texts, starts, kept
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, hot_documents: int = HOT_DOCUMENTS,
@@ -554,8 +542,18 @@ def suffix_dedup(docs: DataFrame, length: int = 50, hot_documents: int = HOT_DOC
     Null texts are empty; a null id is larger than every other and equal to another null; rows with equal ids do not
     remove each other's bytes; extra columns are ignored; an empty table gives an empty result.
     """
-    done = cut(docs, repeated_spans(docs, length, hot_documents, block_bytes), ["doc_id"], False)
-    return done.toDF(*[c.removeprefix("__") for c in done.columns])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts, starts, kept in _cut_texts(batches):
+            sizes, left = (np.fromiter((len(t or b"") for t in x), np.int64, len(x)) for x in (texts, kept))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(sizes), pa.array(sizes - left),
+                 pa.array([len(s or ()) for s in starts], pa.int64()),
+                 pa.array([hashlib.sha256(t or b"").hexdigest() for t in kept], pa.string())], schema.names)
+
+    new = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
+    schema = T.StructType([docs.schema["doc_id"], *new, T.StructField("kept_sha256", T.StringType())])
+    spans = repeated_spans(docs, length, hot_documents, block_bytes)
+    return _with_spans(docs, spans, ["doc_id"]).mapInArrow(tidy(run), schema)
 
 
 def deduplicated_documents(docs: DataFrame, length: int = 50, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
@@ -564,19 +562,16 @@ def deduplicated_documents(docs: DataFrame, length: int = 50, hot_documents: int
     A character of which a byte goes is lost whole. Rows left without text go, except those that had none before.
     """
     names = docs.columns
-    done = cut(docs, repeated_spans(docs, length, hot_documents), names, True)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b.decode(errors="ignore") for b in batch.column("__kept").to_pylist()]
-            same = batch.column("__n_removed").to_numpy() == 0
-            old = batch.column("text").to_pylist()
-            texts = [o if s else t for o, t, s in zip(old, texts, same)]
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    left = done.filter("__n_removed < __n_bytes OR __n_bytes = 0").select(*docs.columns, "__kept", "__n_removed")
-    out = left.mapInArrow(decode, docs.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Cut and decoded by one worker: a second one beside it would hold as much memory again.
+        for part, texts, starts, kept in _cut_texts(batches):
+            stay = [i for i, (t, k) in enumerate(zip(texts, kept)) if k or not t]
+            kept = [kept[i].decode(errors="ignore").encode() if starts[i] else kept[i] for i in stay]
+            rows, text = part.take(pa.array(stay, pa.int64())), pa.array(kept, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([text if c == "text" else rows.column(c) for c in names], names)
+
+    out = _with_spans(docs, repeated_spans(docs, length, hot_documents), names).mapInArrow(tidy(run), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from seriesmith.llm import common
 from seriesmith.llm import suffix_dedup as sd
 
 SCHEMA = "doc_id long, text string, rank string"
@@ -105,3 +106,27 @@ def test_merge_yields_prefixes_in_order():
     strings = [runs[r][i] for _, r, i in got]
     assert strings == sorted(s for r in runs for s in r)
     assert [p for p, _, _ in got][1:] == [share(a, b) for a, b in zip(strings, strings[1:])]
+
+
+def test_documents_are_cut_and_decoded_by_one_worker(spark):
+    """Two Python steps in one stage keep two workers for each core, each with its own memory."""
+    same = "é shared passage of well over fifty bytes, seen in two documents é"
+    rows = [(1, same), (2, "own " + same), (3, same), (4, None), (5, ""), (6, "short")]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
+    out = sd.deduplicated_documents(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert sorted((r.doc_id, r.text) for r in out.collect() if r.doc_id != 4) == [(1, same), (2, "own "), (5, ""), (6, "short")]
+    assert [r.text for r in out.collect() if r.doc_id == 4] == [None]
+
+
+def test_freed_memory_is_given_back_at_the_end(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    batches = common.tidy(lambda left, right: left + right), common.tidy(lambda table: table)
+
+    @common.tidy
+    def many(parts):
+        yield from parts
+
+    assert [batches[0](1, 2), batches[1](3), *many([4, 5])] == [3, 3, 4, 5] and len(calls) == 3
