@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmith.llm.common import SLABS, fold, in_slabs, pack_arrays, raw, stored, summed, unpack_arrays
+from seriesmith.llm.common import SLABS, fold, in_slabs, pack_arrays, raw, stored, summed, tidy, unpack_arrays
 
 CONTEXTS = 1 << 16
 #: Tokens that a task gathers before it sends them, bytes of text hashed at once, bytes of text per shard.
@@ -88,7 +88,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     held, size, count = [], 0, 0
 
     def ready():
-        return tuple(np.concatenate([h[i] for h in held]) for i in range(6))
+        out = tuple(np.concatenate([h[i] for h in held]) for i in range(6))
+        held.clear()
+        return out
 
     for batch in batches:
         texts = [t or b"" for t in raw(batch, "text")]
@@ -109,7 +111,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             begin = end
             if size >= CHUNK_TOKENS:
                 yield ready()
-                held, size, count = [], 0, 0
+                size, count = 0, 0
     if held:
         yield ready()
 
@@ -146,7 +148,7 @@ def _hot(docs: DataFrame, shards: int, part: int) -> tuple[np.ndarray, np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], ["kind", "code", "n"])
 
     chosen = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(part)) == 0)
-    counts = stored(chosen.mapInArrow(run, "kind long, code long, n long").groupBy("kind", "code").agg(
+    counts = stored(chosen.mapInArrow(tidy(run), "kind long, code long, n long").groupBy("kind", "code").agg(
         F.sum("n").alias("n")), "frequent")
     total = counts.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
     rows = counts.filter((F.col("kind") < 2) & (F.col("n") * shards > total)).collect()
@@ -202,29 +204,42 @@ def _gather(words: np.ndarray, pairs: np.ndarray):
         chunks = table.column("chunk").to_numpy()
         blobs, types = table.column("blob"), ("<u8", "<u4", "<u2", "<u4", "<u4", "u1")
         order = [int(i) for i in np.argsort(chunks)]
-        sizes = [len(unpack_arrays(blobs[i].as_py(), *types)[2]) for i in order]
+        sizes = [len(unpack_arrays(blobs[i].as_buffer(), *types)[2]) for i in order]
         n, at = sum(sizes), 0
         # Filled part by part: a shard's postings are held once.
         w, context = np.empty(n, np.uint64), np.empty(n, np.uint16)
         chunk, owner, times, taught = (np.empty(n, np.uint32) for _ in range(4))
         for i, size in zip(order, sizes):
-            word, runs, here, who, many, train = unpack_arrays(blobs[i].as_py(), *types)
+            word, runs, here, who, many, train = unpack_arrays(blobs[i].as_buffer(), *types)
             own = slice(at, at + size)
             w[own], context[own], chunk[own], owner[own], times[own] = np.repeat(word, runs), here, i, who, many
             taught[own] = many * (train[who] > 0)
             at += size
+        # A column at a time: of every posting only one column is held twice.
         order = np.lexsort((context, w))
-        w, context = w[order], context[order]
-        first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (context[1:] != context[:-1])))
-        row = np.repeat(np.arange(len(first), dtype=np.uint32), np.diff(np.append(first, len(w))))
+        w = w[order]
+        context = context[order]
+        begins = np.append(True, (w[1:] != w[:-1]) | (context[1:] != context[:-1]))
+        first = np.flatnonzero(begins)
         count = np.add.reduceat(taught[order], first, dtype=np.int64)
         del taught
         w, context = w[first], context[first]
+        del first
+        row = np.cumsum(begins, dtype=np.uint32)
+        row -= np.uint32(1)
+        chunk = chunk[order]
+        deal = np.argsort(chunk, kind="stable")
+        chunk = chunk[deal]
+        row = row[deal]
+        order = order[deal]
+        del deal, begins
+        owner = owner[order]
+        times = times[order]
+        del order
+        places = pack_arrays(chunks.astype("<i8"), chunk, owner, times, row)
+        del chunk, owner, times, row
         new = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
         runs = np.diff(np.append(new, len(w))).astype("<u4")
-        chunk, owner, times = chunk[order], owner[order], times[order]
-        order = np.argsort(chunk, kind="stable")
-        places = pack_arrays(chunks.astype("<i8"), chunk[order], owner[order], times[order], row[order])
         per_word = np.add.reduceat(count, new)
         hot_word, at_word = _member(w[new], words)
         hot_pair, at_pair = _member(_pair(w, context), pairs)
@@ -369,6 +384,41 @@ def _next(shared: Shared, total: np.ndarray, owners: np.ndarray, contexts: np.nd
                   g.hot_word_count, hot, word_tables, g.hot_pairs, g.hot_pair_count, pair_tables)
 
 
+def _averaged(blob: bytes | pa.Buffer, g: Shared, s: Settings, key: int) -> tuple[np.ndarray, ...]:
+    """Of a shard: the word of each row, whether words are known, log10 of their base and of the rows' mean predictive."""
+    seating = Seating(blob, g, s, key, s.rounds)
+    mean = 0.0
+    for i in range(s.sweeps + s.samples):
+        seating.sweep()
+        if i >= s.sweeps:
+            mean = mean + seating.predictive() / s.samples
+    return seating.of, seating.total > 0, np.log10((seating.total + 1) / (g.tokens + g.words + 1)), np.log10(mean)
+
+
+def _document_sums(key: int, blob: bytes | pa.Buffer, places: bytes | pa.Buffer, g: Shared, s: Settings) -> pa.RecordBatch:
+    """Of a shard: what each document's tokens in it add up to, a row for each chunk. The seating is gone by then."""
+    of, known, base, logs = _averaged(blob, g, s, key)
+    chunks, chunk, owner, times, row = unpack_arrays(places, "<i8", "<u4", "<u4", "<u4", "<u4")
+    bounds = np.searchsorted(chunk, np.arange(len(chunks) + 1))
+    out = []
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        o, n, r = owner[a:b], times[a:b], row[a:b]
+        w = of[r]
+        out.append(pack_arrays(np.bincount(o, n * known[w]).astype("<i8"), np.bincount(o, n * base[w]),
+                               np.bincount(o, n * logs[r])))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([0] * len(out), pa.int32()), pa.array([key] * len(out), pa.int64()),
+         pa.array(chunks), pa.array(out, pa.binary())], ["kind", "key", "chunk", "blob"])
+
+
+def _table_sums(key: int, blob: bytes | pa.Buffer, g: Shared, s: Settings, turn: int) -> pa.RecordBatch:
+    """Of a shard: its sums after a round."""
+    seating = Seating(blob, g, s, key, turn)
+    for _ in range(s.sweeps):
+        seating.sweep()
+    return in_slabs(seating.sums())
+
+
 def scores(docs: DataFrame, settings: Settings = Settings(), folds: int = 7, held_fold: int = 2,
            shard_bytes: int = SHARD_BYTES, sample_part: int = 64) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
@@ -384,9 +434,9 @@ def scores(docs: DataFrame, settings: Settings = Settings(), folds: int = 7, hel
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(max(4, -(-size // shard_bytes)))
     words, pairs = _hot(rows, shards, sample_part)
-    sent = rows.mapInArrow(_send(shards, words, pairs), "kind int, key long, chunk long, blob binary")
+    sent = rows.mapInArrow(tidy(_send(shards, words, pairs)), "kind int, key long, chunk long, blob binary")
     state = stored(sent.groupBy("kind", "key").applyInArrow(
-        _gather(words, pairs), "kind int, key long, chunk long, rows binary, places binary, counts binary"), "counts")
+        tidy(_gather(words, pairs)), "kind int, key long, chunk long, rows binary, places binary, counts binary"), "counts")
     own = state.filter("kind = 0")
 
     def counts(batches):
@@ -394,7 +444,7 @@ def scores(docs: DataFrame, settings: Settings = Settings(), folds: int = 7, hel
             for blob in batch.column("counts"):
                 yield in_slabs(np.frombuffer(blob.as_buffer(), np.int64))
 
-    total = summed(own.select("counts").mapInArrow(counts, SLABS))
+    total = summed(own.select("counts").mapInArrow(tidy(counts), SLABS))
     if not len(total):
         total = np.zeros(CONTEXTS + 5 + len(words) + len(pairs), np.int64)
     shared = _start(total, words, pairs)
@@ -410,43 +460,20 @@ def scores(docs: DataFrame, settings: Settings = Settings(), folds: int = 7, hel
         def seat(batches, now=now, turn=turn):
             for batch in batches:
                 for key, blob in zip(batch.column("key").to_pylist(), batch.column("rows")):
-                    seating = Seating(blob.as_py(), now.value, s, key, turn)
-                    for _ in range(s.sweeps):
-                        seating.sweep()
-                    yield in_slabs(seating.sums())
+                    yield _table_sums(key, blob.as_buffer(), now.value, s, turn)
 
-        total = summed(own.select("key", "rows").mapInArrow(seat, SLABS))
+        total = summed(own.select("key", "rows").mapInArrow(tidy(seat), SLABS))
         if len(total):
             shared = _next(shared, total, owners, contexts, s, turn)
     final = spark.sparkContext.broadcast(shared)
 
     def score(batches):
-        g = final.value
         for batch in batches:
             for key, blob, places in zip(batch.column("key").to_pylist(), batch.column("rows"), batch.column("places")):
-                seating = Seating(blob.as_py(), g, s, key, s.rounds)
-                mean = 0.0
-                for i in range(s.sweeps + s.samples):
-                    seating.sweep()
-                    if i >= s.sweeps:
-                        mean = mean + seating.predictive() / s.samples
-                logs = np.log10(mean)
-                base = np.log10((seating.total + 1) / (g.tokens + g.words + 1))
-                known = seating.total > 0
-                chunks, chunk, owner, times, row = unpack_arrays(places.as_py(), "<i8", "<u4", "<u4", "<u4", "<u4")
-                bounds = np.searchsorted(chunk, np.arange(len(chunks) + 1))
-                out = []
-                for a, b in zip(bounds[:-1], bounds[1:]):
-                    o, n, r = owner[a:b], times[a:b], row[a:b]
-                    w = seating.of[r]
-                    out.append(pack_arrays(np.bincount(o, n * known[w]).astype("<i8"), np.bincount(o, n * base[w]),
-                                           np.bincount(o, n * logs[r])))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * len(out), pa.int32()), pa.array([key] * len(out), pa.int64()),
-                     pa.array(chunks), pa.array(out, pa.binary())], ["kind", "key", "chunk", "blob"])
+                yield _document_sums(key, blob.as_buffer(), places.as_buffer(), final.value, s)
 
     schema = "kind int, key long, chunk long, blob binary"
-    sums = own.select("key", "rows", "places").mapInArrow(score, schema)
+    sums = own.select("key", "rows", "places").mapInArrow(tidy(score), schema)
     documents = state.filter("kind = 1").select("kind", "key", "chunk", F.col("rows").alias("blob"))
 
     def finish(table: pa.Table) -> pa.Table:
@@ -465,5 +492,5 @@ def scores(docs: DataFrame, settings: Settings = Settings(), folds: int = 7, hel
             "n_known": known, "train_tokens": np.full(len(ids), g.tokens), "base_score": base, "score": total})
 
     return sums.unionByName(documents).groupBy("chunk").applyInArrow(
-        finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
+        tidy(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
                 "score double")

@@ -1,9 +1,11 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seriesmith.llm import pitman_yor as py
@@ -104,3 +106,66 @@ def test_tables_follow_the_restaurant():
         for i in range(1, n):
             seats += rng.random(4000) < odds / (odds + i - d * seats)
         assert abs(t.mean() - seats.mean()) < 5 * seats.std() / 60 + 0.02 * seats.mean()
+
+
+def peak(work):
+    """Bytes held at once while ``work`` runs, and its result."""
+    tracemalloc.start()
+    try:
+        out = work()
+        return tracemalloc.get_traced_memory()[1], out
+    finally:
+        tracemalloc.stop()
+
+
+def test_packing_arrays_makes_no_copy_of_all():
+    arrays = np.arange(500_000), np.zeros((1000, 300), "u1"), np.zeros(0, "<u4"), np.arange(20, dtype="<u4")[::2]
+    most, blob = peak(lambda: py.pack_arrays(*arrays))
+    assert most < sum(a.nbytes for a in arrays)
+    for a, b in zip(arrays, py.unpack_arrays(blob, "<i8", "u1", "<u4", "<u4"), strict=True):
+        assert np.array_equal(a.ravel(), b)
+
+
+def test_a_shard_is_gathered_with_few_bytes_a_posting():
+    rng = np.random.default_rng(4)
+    chunks, each, words_ = 6, 100_000, 30_000
+    code, blobs = np.sort(rng.integers(0, 1 << 60, words_).astype(np.uint64)), []
+    for _ in range(chunks):
+        runs = np.bincount(rng.integers(0, words_, each), minlength=words_).astype("<u4")
+        blobs.append(py.pack_arrays(code, runs, rng.integers(0, 50, each).astype("<u2"),
+                                    rng.integers(0, 900, each).astype("<u4"), np.ones(each, "<u4"), np.ones(900, "u1")))
+    table = pa.table({"kind": pa.array([0] * chunks, pa.int32()), "key": pa.array([7] * chunks, pa.int64()),
+                      "chunk": pa.array(range(chunks), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+    none = np.zeros(0, np.uint64)
+    most, out = peak(lambda: py._gather(none, none)(table))
+    assert most < 64 * chunks * each
+    _, _, _, count = py.unpack_arrays(out.column("rows")[0].as_py(), "<u8", "<u4", "<u2", "<i8")
+    assert count.sum() == chunks * each
+
+
+def test_seatings_of_shards_are_not_held_together(monkeypatch):
+    """When the places of a shard are read, its seating and that of the shard before are gone."""
+    live = []
+
+    class Watched(py.Seating):
+        def __init__(self, *args):
+            assert not live
+            live.append(1)
+            super().__init__(*args)
+
+        def __del__(self):
+            live.clear()
+
+    monkeypatch.setattr(py, "Seating", Watched)
+    none, nothing = np.zeros(0, np.uint64), np.zeros(0)
+    g = py.Shared(np.full(py.CONTEXTS, 2), np.ones(py.CONTEXTS), 4, 2, 4.0, 2.0, 0.6, 0.5, none, nothing, nothing, nothing,
+                  none, nothing, nothing)
+    blob = py.pack_arrays(np.array([3, 9], "<u8"), np.ones(2, "<u4"), np.zeros(2, "<u2"), np.array([2, 2], "<i8"))
+    places = py.pack_arrays(np.array([0], "<i8"), *(np.array(x, "<u4") for x in ([0, 0], [0, 1], [2, 2], [0, 1])))
+    for key in range(3):
+        out = py._document_sums(key, blob, places, g, py.Settings())
+        assert not live and out.num_rows == 1
+        known, base, total = py.unpack_arrays(out.column("blob")[0].as_py(), "<i8", "<f8", "<f8")
+        assert known.tolist() == [2, 2] and np.allclose(base, 2 * math.log10(3 / 7)) and (total < 0).all()
+        py._table_sums(key, blob, g, py.Settings(), 0)
+        assert not live
