@@ -32,6 +32,8 @@ MODALITIES = {
 }
 PATH_COLUMNS = ["phase", "batch", "operating_point", "experiment_type", "experiment"]
 
+MAX_SHARED_HEADS = 32_000_000  # bytes of paths, identifiers and column places sent to every executor at once
+
 
 def _any_of(names: Sequence[str]) -> str:
     return "(" + "|".join(n.replace("+", r"\+") for n in names) + ")"
@@ -86,7 +88,7 @@ def first_record(uri: str, step: int = 1 << 16) -> str:
 
 
 def layouts(spark: SparkSession, folder: str) -> DataFrame:
-    """Header line per matching file: (path, header).
+    """Header line and identifier per matching file: (path, header, identifier).
 
     Paths come from the file listing. A task opens its files one after another and reads each up to the end of its header
     only; the files must lie where ``pyarrow.fs`` can open them. Empty files have no header and are left out.
@@ -99,7 +101,9 @@ def layouts(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv") \
         .load(folder).select(F.col("_metadata.file_path").alias("path"))
     ship_package(spark)
-    return files.filter(_known(F.col("path"))).mapInArrow(heads, "path string, header string").filter("header IS NOT NULL")
+    found = files.filter(_known(F.col("path"))).mapInArrow(heads, "path string, header string").filter("header IS NOT NULL")
+    parts = path_metadata(F.col("path"))
+    return found.withColumn("identifier", F.concat_ws("/", *[parts[p] for p in PATH_COLUMNS]))
 
 
 def _csv_options(width: int, sep: str) -> tuple[str, dict[str, str]]:
@@ -116,7 +120,10 @@ def _cells(line: Column, width: int, sep: str) -> Column:
 
 
 def _rows(spark: SparkSession, folder: str, width: int, sep: str, line_breaks: bool) -> DataFrame:
-    """Cells of all lines behind the headers with their path and reading order, by one read of every file."""
+    """Cells of all lines behind the headers with their path and reading order, by one read of every file.
+
+    The path is only handed on: looking into it costs more than parsing the line, so that is done once a file.
+    """
     schema, options = _csv_options(width, sep)
     read = spark.read.schema(schema).options(**options, header="true", enforceSchema="true", multiLine=str(line_breaks))
     lines = read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder)
@@ -124,7 +131,7 @@ def _rows(spark: SparkSession, folder: str, width: int, sep: str, line_breaks: b
     return lines.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("file_block"),
         F.monotonically_increasing_id().alias("file_row"), F.array(*cells).alias("__cells"),
-    ).filter(_known(F.col("path")) & F.exists("__cells", lambda c: c.isNotNull()))
+    ).filter(F.exists("__cells", lambda c: c.isNotNull()))
 
 
 def read_series(spark: SparkSession, folder: str, text: Sequence[str] = ("Time",), sep: str = ",",
@@ -133,8 +140,9 @@ def read_series(spark: SparkSession, folder: str, text: Sequence[str] = ("Time",
 
     Columns are numbers except those named in ``text``. A cell that is no number ends the read with its file, or, with
     ``bad_cells="report"``, becomes NULL and its column is named in the array ``bad_cells``. Every file may have a header
-    of its own: rows meet their header in a join by path, so neither paths nor headers pass through the driver; it
-    collects the distinct column names. ``file_block`` and ``file_row`` give the order of rows inside a file.
+    of its own: rows meet their header in a join by path, which also leaves out files that do not match. Up to
+    ``MAX_SHARED_HEADS`` bytes the heads are sent to the rows, beyond that the rows are shuffled to them. The driver collects
+    the distinct column names. ``file_block`` and ``file_row`` give the order of rows inside a file.
 
     Headers are read in bounded bytes, then every file once. Line breaks inside quotes belong to their cell, so a file is
     read by one task as a stream; ``line_breaks=False`` promises that there are none and lets Spark split long files.
@@ -145,17 +153,20 @@ def read_series(spark: SparkSession, folder: str, text: Sequence[str] = ("Time",
     heads = pin(layouts(spark, folder))
     bare = F.regexp_replace("header", '"[^"]*"', "")  # separators inside quotes do not count
     count = F.size(F.split(bare, F.lit("\\Q" + sep + "\\E")))
-    width = heads.agg(F.max(count)).first()[0]
+    size = F.length("path") + F.length("identifier")
+    width, files, long = heads.agg(F.max(count), F.count("*"), F.sum(size)).first()
     if not width:
         raise ValueError(f"no matching series files in {folder}")
     named = F.transform(F.slice(_cells(F.col("header"), width, sep), 1, count),
                         lambda c, i: F.coalesce(c, F.concat(F.lit("_c"), i.cast("string"))))
-    heads = pin(heads.select("path", "header", named.alias("names")))
+    heads = pin(heads.select("path", "identifier", named.alias("names")))
     order = heads.select(F.posexplode("names").alias("i", "name")).groupBy("name").agg(F.min("i").alias("i"))
     columns = [r["name"] for r in order.orderBy("i", "name").collect()]
     places = F.array(*[F.array_position("names", F.lit(c)).cast("int") - 1 for c in columns])
-    heads = heads.select(F.col("path").alias("__path"), places.alias("__places"))
-    rows = _rows(spark, folder, width, sep, line_breaks).join(heads, F.col("path") == F.col("__path"))
+    heads = heads.select(F.col("path").alias("__path"), "identifier", places.alias("__places"))
+    few = long + files * (4 * len(columns) + 64) <= MAX_SHARED_HEADS
+    rows = _rows(spark, folder, width, sep, line_breaks).join(
+        F.broadcast(heads) if few else heads, F.col("path") == F.col("__path"))
     cell = {c: F.when(F.get("__places", F.lit(i)) >= 0, F.get("__cells", F.get("__places", F.lit(i))))
             for i, c in enumerate(columns)}
     values, wrong = {}, []
@@ -166,11 +177,9 @@ def read_series(spark: SparkSession, folder: str, text: Sequence[str] = ("Time",
         values[c] = cell[c] if c in text else F.when(bad, F.raise_error(message).cast("double")).otherwise(number) \
             if bad_cells == "fail" else number
         wrong += [] if c in text else [F.when(bad, F.lit(c))]
-    parts = path_metadata(F.col("path"))
     report = [F.array_compact(F.array(*wrong)).alias("bad_cells")] if bad_cells == "report" else []
     return rows.select(
-        *[v.alias(c) for c, v in values.items()], *report, "file_block", "file_row",
-        F.concat_ws("/", *[parts[p] for p in PATH_COLUMNS]).alias("identifier"))
+        *[v.alias(c) for c, v in values.items()], *report, "file_block", "file_row", "identifier")
 
 
 def read_modalities(spark: SparkSession, root: str) -> dict[str, DataFrame]:

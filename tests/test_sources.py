@@ -130,3 +130,18 @@ def test_tables_and_result_cache(spark, tmp_path):
     assert cached.is_cached and cached.count() == 5
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         files.read_table(spark, str(tmp_path / "missing"))
+
+
+def test_paths_are_matched_once_a_file(spark, tmp_path, monkeypatch):
+    for number in ("001", "002"):
+        write(tmp_path / "Operation" / BATCH / "operating_point_001" / f"train_normal_experiment_{number}.csv",
+              f"Time,x\n08:00:00,{int(number)}\n08:00:01,5\n")
+    write(tmp_path / "Operation" / BATCH / "notes.csv", "Time,x\n08:00:00,77\n")
+    got = {}
+    for most in (files.MAX_SHARED_HEADS, 0):
+        monkeypatch.setattr(files, "MAX_SHARED_HEADS", most)
+        read = files.read_series(spark, str(tmp_path))
+        assert "regexp" not in read._jdf.queryExecution().optimizedPlan().toString()
+        got[most] = sorted((r["identifier"][-3:], r["Time"], r["x"]) for r in read.collect())
+    assert len({str(rows) for rows in got.values()}) == 1
+    assert got[0] == [("001", "08:00:00", 1.0), ("001", "08:00:01", 5.0), ("002", "08:00:00", 2.0), ("002", "08:00:01", 5.0)]
