@@ -21,6 +21,14 @@ def seconds_of_day(time: Column) -> Column:
     return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
+def seconds_of_clock(time: Column) -> Column:
+    """``HH:MM:SS`` text of a clock that counts its hours on beyond 23, to seconds; unparsable text becomes NULL."""
+    parts = F.split(time, ":")
+    h, m, s = (F.get(parts, F.lit(i)).try_cast("long") for i in range(3))
+    right = (F.size(parts) == 3) & (h >= 0) & m.between(0, 59) & s.between(0, 59)
+    return F.when(right, h * 3600 + m * 60 + s)
+
+
 def normalize_time(time: Column) -> Column:
     """Accept ``HH:MM:SS`` or ``YYYY-MM-DD HH:MM:SS``; return ``HH:MM:SS``, blank and bad text as NULL."""
     text = F.trim(time)

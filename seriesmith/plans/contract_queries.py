@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from seriesmith.functions.expressions import features_except, seconds_of_day, split_identifier
+from seriesmith.functions.expressions import features_except, seconds_of_clock, seconds_to_time, split_identifier
 from seriesmith.operators import contracts as ct
 from seriesmith.operators import features as ft
 from seriesmith.operators import joins, pipeline
@@ -131,7 +131,7 @@ def ml_contract(spark, sf_dir):
     return ct.check(table, WINDOW, rules)
 
 
-# One row a second per series; until row 130 the clock runs 50,000 seconds ahead, then it is set back.
+# One row a second per series; until row 130 the clock runs 50,000 seconds or more ahead, then it is set back.
 RUN_SQL = f"""{PLANT_SQL},
 rn AS (SELECT *, concat_ws('/', phase, batch, operating_point, experiment_type, experiment) AS entity,
               row_number() OVER (PARTITION BY phase, batch, operating_point, experiment_type, experiment
@@ -150,16 +150,19 @@ l AS (SELECT entity, "window", position, 'quantity' AS signal, quantity AS v FRO
 def write_plant(spark, sf_dir, root):
     """Labels, sensors and actuators of every series as files, rows in the order they were measured.
 
-    Rows of line number 7 have no label.
+    Rows of line number 7 have no label. The files are joined by time, so no time may occur twice in a series: hours go on
+    beyond 23, and in a series of more than 50,000 rows the clock first runs ahead by its length.
     """
     items = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
                                                    "l_discount", "l_tax", "l_extendedprice", "l_quantity",
                                                    "l_returnflag", "l_linestatus")
     rows = items.withColumns(layout_columns())
     order = Window.partitionBy(*LAYOUT).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    rows = rows.withColumn("r", F.row_number().over(order) - 1)
-    clock = F.when(F.col("r") < 130, F.col("r") + 50000).otherwise(F.col("r")).cast("long")
-    rows = rows.withColumn("Time", F.date_format(F.timestamp_seconds(clock), "HH:mm:ss"))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"r": F.row_number().over(order) - 1,
+                             "ahead": F.greatest(F.lit(50000), F.count("*").over(whole))})
+    clock = F.when(F.col("r") < 130, F.col("r") + F.col("ahead")).otherwise(F.col("r"))
+    rows = rows.withColumn("Time", seconds_to_time(clock))
     kinds = {
         "labels": rows.filter("l_linenumber <> 7").withColumn("Label (anomaly)", F.col("l_linenumber") % 4),
         "sensors": rows.withColumnsRenamed({"l_quantity": "quantity", "l_extendedprice": "price"}),
@@ -192,7 +195,7 @@ def plant_to_ml(spark, sf_dir):
     """
     root = scratch_path(spark, "plant")
     write_plant(spark, sf_dir, root)
-    joined = pipeline.join_in_file_order(files.read_modalities(spark, root), seconds_of_day(F.col("Time")), F.lit(True))
+    joined = pipeline.join_in_file_order(files.read_modalities(spark, root), seconds_of_clock(F.col("Time")), F.lit(True))
     ml = pipeline.ml_table(split_identifier(joined), SIGNALS, actuators=SIGNALS, corr_signals=SIGNALS, pairs=PAIRS,
                            large=["price"], metadata=PLANT_META, size=SIZE)
     path = scratch_path(spark, "ml")

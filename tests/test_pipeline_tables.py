@@ -62,3 +62,30 @@ def test_ordered_files_hold_one_series_each(spark, tmp_path):
         (file,) = folder.glob("*.csv")
         values = [int(v) for v in file.read_text().split()[1:]]
         assert values == sorted(values) and len(values) in (166, 167)
+
+
+def test_times_of_a_series_longer_than_a_day_occur_once(spark, tmp_path):
+    from seriesmith.functions.expressions import seconds_of_clock
+    from seriesmith.plans.contract_queries import write_plant
+
+    n = F.col("id")
+    spark.range(90_000).select(
+        n.alias("l_orderkey"), (n % 6 + 1).cast("int").alias("l_linenumber"), n.alias("l_partkey"), F.lit(0).cast("long").alias("l_suppkey"),
+        F.lit("1995-01-01").cast("timestamp").alias("l_shipdate"), F.lit(0.1).alias("l_discount"), F.lit(0.2).alias("l_tax"),
+        F.lit(9.5).alias("l_extendedprice"), F.lit(1.0).alias("l_quantity"), F.lit("N").alias("l_returnflag"),
+        F.lit("O").alias("l_linestatus")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    write_plant(spark, str(tmp_path), str(tmp_path / "plant"))
+    for kind in files.MODALITIES.values():
+        back = files.read_series(spark, str(tmp_path / "plant" / kind))
+        assert back.select("Time").distinct().count() == 90_000
+        steps = {r["s"] - r["r"]: r["n"] for r in back.withColumn("s", seconds_of_clock(F.col("Time"))).groupBy(
+            (F.col("s") - F.col("r")).alias("ahead")).agg(F.count("*").alias("n"), F.min("s").alias("s"), F.min("r").alias("r")).collect()}
+        assert steps == {90_000: 130, 0: 89_870}
+
+
+def test_clock_beyond_a_day(spark):
+    from seriesmith.functions.expressions import seconds_of_clock
+
+    texts = ["00:00:05", "23:59:59", "25:00:01", "277:00:00", "1:2", "a:00:00", "-1:00:00", "00:60:00", "00:00:61", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(seconds_of_clock(F.col("t"))).collect()] == [5, 86399, 90001, 997200, *[None] * 6]
