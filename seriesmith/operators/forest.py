@@ -9,12 +9,16 @@ Trees share the rows: a task grows many trees from one copy of the rows that any
 for a task are first split from the top, level by level, by passes over the rows as they lie: a pass walks every row down
 the tops found so far and sums up the ranges of the open nodes, so no row is copied or written for a tree. Both ways give
 the same trees.
+
+``fit_and_score`` is for forests that are only needed for their scores: tasks read the rows from the shared folder, grow
+their trees, walk the rows to be scored down them and keep neither trees nor copies of rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import tempfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache, reduce
@@ -22,17 +26,23 @@ from functools import lru_cache, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmith.operators.features import as_doubles
-from seriesmith.session import pin
+from seriesmith.session import pin, store
 
 NODE_SCHEMA = ("spec int, tree int, node long, depth int, feature int, threshold double, size long, path double")
 MAX_GROUP_CELLS = 20_000_000  # rows x features one task may hold while growing a tree
 MAX_SHARED_NODES = 4_000_000  # nodes sent to every executor at once (about 32 bytes each)
 MAX_TOP_NODES = 200_000  # nodes above the task-sized ones that one block of trees may have
 PARTS_PER_TASK = 4  # parts of a forest, each grown from one copy of the rows, per task that runs at once
+MAX_HELD_CELLS = 30_000_000  # rows x features a task keeps in memory; more of them lie in a file that it maps
+MAX_HELD_NODES = 4_000_000  # nodes a task keeps (24 bytes each) before it walks the rows down them
+MAX_CELLS_WALKED = 2_000_000  # rows x features walked at once
+PATH_UNIT = float(1 << 40)  # path lengths are summed as whole numbers of this part of one, so their order does not matter
 ATTEMPTS = 8  # features drawn for a node before all of them are looked at
 AUTO_SAMPLES = 256
 DEFAULT_CUT = 0.5
@@ -77,25 +87,46 @@ def average_path(n):
     return np.where(n > 2, long, np.where(n == 2, 1.0, 0.0))
 
 
-def _digits(text: str) -> tuple[float, float]:
-    """The first two runs of 13 hexadecimal digits of a text's md5 as numbers in [0, 1)."""
-    v = int.from_bytes(hashlib.md5(text.encode()).digest()[:13], "big")
-    return (v >> 52) / (1 << 52), (v & ((1 << 52) - 1)) / (1 << 52)
+def _digits(texts: Sequence[bytes]) -> np.ndarray:
+    """The first two runs of 13 hexadecimal digits of each text's md5 as numbers in [0, 1)."""
+    if not texts:
+        return np.zeros((0, 2))
+    md5 = hashlib.md5
+    raw = np.frombuffer(b"".join([md5(t).digest()[:13] for t in texts]), np.uint8).reshape(-1, 13).astype(np.int64)
+    high, low = raw[:, 6] >> 4, raw[:, 6] & 15
+    first = np.zeros(len(raw), np.int64)
+    for i in range(6):
+        first, low = first << 8 | raw[:, i], low << 8 | raw[:, 7 + i]
+    return np.stack([first << 4 | high, low], axis=1) / float(1 << 52)
 
 
 class NodeDraws:
     """The draws of one tree's nodes: (place of the cut, place in the tree's features) of each attempt."""
 
+    TABLE = 1 << 20  # first attempts of nodes below this number are kept by number
+
     def __init__(self, seed: int, tree: int):
         self.head, self.known = f"{seed}:node:{tree}", {}
+        self.table = np.full((64, 2), np.nan)
+
+    def _drawn(self, nodes: np.ndarray, attempt: int) -> np.ndarray:
+        return _digits([f"{self.head}:{n}:{attempt}".encode() for n in nodes.tolist()])
 
     def __call__(self, nodes: np.ndarray, attempt: int = 0) -> np.ndarray:
-        known, out = self.known, []
-        for n in nodes.tolist():
-            if (n, attempt) not in known:
-                known[n, attempt] = _digits(f"{self.head}:{n}:{attempt}")
-            out.append(known[n, attempt])
-        return np.array(out).reshape(-1, 2)
+        if not len(nodes):
+            return np.zeros((0, 2))
+        top = int(nodes.max())
+        if attempt == 0 and top < self.TABLE:
+            if top >= len(self.table):
+                grown = np.full((1 << top.bit_length(), 2), np.nan)
+                grown[:len(self.table)] = self.table
+                self.table = grown
+            new = nodes[np.isnan(self.table[nodes, 0])]
+            self.table[new] = self._drawn(new, 0)
+            return self.table[nodes]
+        new = np.array([n for n in nodes.tolist() if (n, attempt) not in self.known], np.int64)
+        self.known.update(((n, attempt), v) for n, v in zip(new.tolist(), self._drawn(new, attempt).tolist()))
+        return np.array([self.known[n, attempt] for n in nodes.tolist()])
 
 
 @lru_cache(maxsize=1024)
@@ -117,11 +148,9 @@ def _cut(u: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.where(at >= high, low, at)
 
 
-def _ranges(x: np.ndarray, rows: np.ndarray, sizes: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest and largest value of one feature per node; the nodes' rows follow each other."""
-    values = x[rows, np.repeat(feature, sizes)]
-    starts = np.cumsum(sizes) - sizes
-    return np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
+def _cells(x: np.ndarray, rows: np.ndarray, feature: np.ndarray) -> np.ndarray:
+    """One value of each row; columns that lie one after another are read by place."""
+    return x.T.reshape(-1).take(feature * len(x) + rows) if x.flags.f_contiguous else x[rows, feature]
 
 
 def _next_varying(low: np.ndarray, high: np.ndarray, place: int) -> int:
@@ -130,28 +159,41 @@ def _next_varying(low: np.ndarray, high: np.ndarray, place: int) -> int:
     return int(found[np.searchsorted(found, place) % len(found)]) if len(found) else -1
 
 
-def grow(x: np.ndarray, rows: np.ndarray, subset: np.ndarray, draws: NodeDraws, root: int, depth: int, limit: int) -> pd.DataFrame:
-    """Grow one (sub)tree from the given rows of ``x``, all nodes of a level at a time.
+def _grow(x: np.ndarray, rows: np.ndarray, subset: np.ndarray, draws: NodeDraws, root: int, depth: int, limit: int,
+          classes: np.ndarray | None = None) -> list[np.ndarray]:
+    """Node, depth, feature, threshold, size and path of a (sub)tree's nodes, by node number.
 
     A node draws a feature of the tree's subset until one varies in it, so a level reads one value of each row and
-    attempt. After ``ATTEMPTS`` draws it takes the next one that varies, if there is any.
+    attempt. After ``ATTEMPTS`` draws it takes the next one that varies, if there is any. Rows of a node follow each other;
+    a split moves those of the left child before those of the right one. ``classes`` numbers the rows of ``x`` so that rows of
+    one number are equal: nodes of such rows are leaves without a look at their features.
     """
-    node = np.full(len(rows), root, dtype=np.int64)
+    ids, sizes = np.array([root], np.int64), np.array([len(rows)], np.int64)
     levels = []
     while len(rows):
-        order = np.argsort(node, kind="stable")
-        rows, node = rows[order], node[order]
-        ids, starts, sizes = np.unique(node, return_index=True, return_counts=True)
-        u = draws(ids)
+        starts = np.cumsum(sizes) - sizes
         feature = np.full(len(ids), -1)
-        low, high = np.zeros(len(ids)), np.zeros(len(ids))
+        low, high, u = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))
+        value = np.empty(len(rows))
         open_ = np.flatnonzero(sizes > 1) if depth < limit else np.zeros(0, np.int64)
+        if classes is not None and len(open_):
+            own = classes[rows]
+            open_ = open_[(np.minimum.reduceat(own, starts) < np.maximum.reduceat(own, starts))[open_]]
         for attempt in range(ATTEMPTS):
             if not len(open_):
                 break
-            place = (draws(ids[open_], attempt)[:, 1] * len(subset)).astype(np.int64)
-            own = rows if len(open_) == len(ids) else rows[np.isin(node, ids[open_])]
-            lo, hi = _ranges(x, own, sizes[open_], subset[place])
+            drawn = draws(ids[open_], attempt)
+            if attempt == 0:
+                u[open_] = drawn[:, 0]
+            place, own = (drawn[:, 1] * len(subset)).astype(np.int64), slice(None)
+            if len(open_) < len(ids):
+                is_open = np.zeros(len(ids), bool)
+                is_open[open_] = True
+                own = np.flatnonzero(np.repeat(is_open, sizes))
+            v = _cells(x, rows[own], np.repeat(subset[place], sizes[open_]))
+            value[own] = v
+            at = np.cumsum(sizes[open_]) - sizes[open_]
+            lo, hi = np.minimum.reduceat(v, at), np.maximum.reduceat(v, at)
             varies = lo < hi
             hit = open_[varies]
             feature[hit], low[hit], high[hit] = subset[place[varies]], lo[varies], hi[varies]
@@ -161,16 +203,38 @@ def grow(x: np.ndarray, rows: np.ndarray, subset: np.ndarray, draws: NodeDraws,
             lo, hi = cells.min(axis=0), cells.max(axis=0)
             if (k := _next_varying(lo, hi, p)) >= 0:
                 feature[i], low[i], high[i] = subset[k], lo[k], hi[k]
+                value[starts[i]:starts[i] + sizes[i]] = cells[:, k]
         splits = feature >= 0
-        cut = _cut(u[:, 0], low, high)
+        cut = _cut(u, low, high)
         levels.append((ids, np.full(len(ids), depth), feature, np.where(splits, cut, np.nan), sizes,
                        np.where(splits, np.nan, depth + average_path(sizes))))
-        at = np.repeat(np.arange(len(ids)), sizes)
-        keep = splits[at]
-        rows, node, at = rows[keep], node[keep], at[keep]
-        node = 2 * node + (x[rows, feature[at]] > cut[at])
+        if not splits.all():
+            keep = np.repeat(splits, sizes)
+            rows, value, ids, sizes, cut = rows[keep], value[keep], ids[splits], sizes[splits], cut[splits]
+        if not len(rows):
+            break
+        right = value > np.repeat(cut, sizes)
+        starts = np.cumsum(sizes) - sizes
+        lefts = np.cumsum(~right)  # left rows up to and including this one
+        before = lefts[starts] - ~right[starts]
+        n_left = np.add.reduceat(~right, starts, dtype=np.int64)
+        nth, first = np.arange(len(rows)), np.repeat(starts, sizes)
+        among_left = lefts - 1 - np.repeat(before, sizes)
+        to = np.where(right, np.repeat(starts + n_left, sizes) + (nth - first) - (among_left + 1), first + among_left)
+        moved = np.empty_like(rows)
+        moved[to] = rows
+        rows = moved
+        ids = np.stack([2 * ids, 2 * ids + 1], axis=1).reshape(-1)
+        sizes = np.stack([n_left, sizes - n_left], axis=1).reshape(-1)
+        if not sizes.all():
+            ids, sizes = ids[sizes > 0], sizes[sizes > 0]
         depth += 1
-    columns = [np.concatenate(c) for c in zip(*levels)]
+    return [np.concatenate(c) for c in zip(*levels)]
+
+
+def grow(x: np.ndarray, rows: np.ndarray, subset: np.ndarray, draws: NodeDraws, root: int, depth: int, limit: int) -> pd.DataFrame:
+    """Grow one (sub)tree from the given rows of ``x``, all nodes of a level at a time."""
+    columns = _grow(x, rows, subset, draws, root, depth, limit)
     return pd.DataFrame(dict(zip(["node", "depth", "feature", "threshold", "size", "path"], columns)))
 
 
@@ -179,9 +243,13 @@ def pack(df: DataFrame, keys: Sequence[str], features: Sequence[str], keep: Sequ
     return df.select(*keys, *keep, F.array(*as_doubles(df, features)).alias("vec"))
 
 
+def _key_text(keys: Sequence[str]) -> Column:
+    return F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
+
+
 def _draws(seed: int, n_trees: int, keys: Sequence[str], first: int | Column = 0, step: int = 1) -> Column:
     """A row's uniform draw for the trees ``first``, ``first + step``, ...; an md5 serves two trees."""
-    key = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
+    key = _key_text(keys)
 
     def draw(t: Column) -> Column:
         text = F.md5(F.concat(F.lit(f"{seed}:row:"), F.floor(t / 2).cast("string"), F.lit(":"), key).cast("binary"))
@@ -572,6 +640,125 @@ def _walk_by_joins(packed, keep, forests, huge, slots):
         *keep, "spec", F.col("slot.n_trees").alias("n_trees")).agg(F.sum("path").alias("total"))
 
 
+def _read_batches(uris: Sequence[str], columns: Sequence[str], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of Parquet files of the shared folder, file by file."""
+    for uri in uris:
+        system, path = FileSystem.from_uri(uri)
+        with system.open_input_file(path) as source:
+            yield from pq.ParquetFile(source).iter_batches(batch_size=rows, columns=list(columns), use_threads=False)
+
+
+def _read_matrix(uris: Sequence[str], n_rows: int, d: int, max_held_cells: int) -> tuple[list[bytes], np.ndarray, np.ndarray | None]:
+    """Key texts, the matrix of all rows, column after column, and the numbers of equal rows if there are any.
+
+    A large matrix lies in a nameless file of the task.
+    """
+    if n_rows * d <= max_held_cells:
+        columns = np.empty((d, n_rows))
+    else:
+        columns = np.memmap(tempfile.TemporaryFile(), dtype=np.float64, mode="w+", shape=(d, n_rows))
+    keys, at, numbers, classes = [], 0, {}, np.empty(n_rows, np.int64)
+    for batch in _read_batches(uris, ["key", "vec"], max(1, MAX_CELLS_WALKED // max(d, 1))):
+        cells = _matrix(batch.column("vec"))
+        columns[:, at:at + batch.num_rows] = cells.T
+        classes[at:at + batch.num_rows] = [numbers.setdefault(hashlib.md5(row.tobytes()).digest(), len(numbers)) for row in cells]
+        keys += [k.encode() for k in batch.column("key").to_pylist()]
+        at += batch.num_rows
+    return keys, np.asarray(columns).T, classes if len(numbers) < n_rows else None
+
+
+def _walk_tree(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The leaf of each row of ``x``."""
+    at = np.zeros(len(x), np.int32)
+    going = np.arange(len(x)) if feature[0] >= 0 else np.zeros(0, np.int64)
+    here = at[going]
+    while len(going):
+        here = left[here] + (_cells(x, going, feature[here]) > threshold[here])
+        at[going] = here
+        inner = feature[here] >= 0
+        going, here = going[inner], here[inner]
+    return at
+
+
+def fit_and_score(packed: DataFrame, keys: Sequence[str], specs: Sequence[ForestSpec], rows: DataFrame,
+                  prefixes: Sequence[int] | None = None, max_held_cells: int = MAX_HELD_CELLS,
+                  max_held_nodes: int = MAX_HELD_NODES) -> DataFrame:
+    """Scores of ``rows`` under the forests fitted on ``packed``: the scores of ``fit_forests`` and ``score_forests``.
+
+    Both inputs are written to the shared folder once. A task reads the fitted rows from there, grows a run of trees under
+    every spec, walks the rows to be scored down them, batch by batch, and hands on one sum per row and spec. Neither trees
+    nor copies of rows are written, so disk grows with the rows and the tasks, not with trees or nodes. Fitted rows of more
+    than ``max_held_cells`` cells lie in a file that the task maps; besides them it holds some numbers per fitted row and
+    ``max_held_nodes`` nodes.
+    """
+    spark, specs = packed.sparkSession, list(specs)
+    n_rows, d = packed.agg(F.count("*"), F.max(F.size("vec"))).first()
+    if not n_rows:
+        raise ValueError("no rows to fit on")
+    fitted = store(packed.select(_key_text(keys).alias("key"), "vec"), "fitted").inputFiles()
+    keep = [c for c in rows.columns if c != "vec"]
+    scored = store(rows.withColumn("__row", F.monotonically_increasing_id()), "scored")
+    walked = scored.inputFiles()
+    sizes = [s.sample_size(n_rows) for s in specs]
+    wanted = [sorted({min(p, s.n_trees) for p in (prefixes or [s.n_trees])}) for s in specs]
+    # Runs of trees end where a prefix ends, so a run counts wholly for a prefix or not at all.
+    ends = sorted({p for ps in wanted for p in ps})
+    step = max(1, -(-ends[-1] // (PARTS_PER_TASK * spark.sparkContext.defaultParallelism)))
+    runs = [(t, min(t + step, end)) for start, end in zip([0, *ends], ends) for t in range(start, end, step)]
+    names = [f"s{i}" for i in range(len(specs))]
+    schema = pa.schema([("__row", pa.int64()), ("last", pa.int32()), *[(n, pa.int64()) for n in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_texts, x, classes = None, None, None
+        for number in [n for batch in batches for n in batch.column("id").to_pylist()]:
+            if x is None:
+                key_texts, x, classes = _read_matrix(fitted, n_rows, d, max_held_cells)
+            first, last = runs[number]
+            held, n_held, row_draws = [], 0, {}
+            for t in range(first, last):
+                draws, orders = {}, {}
+                for i, spec in enumerate(specs):
+                    if t >= spec.n_trees:
+                        continue
+                    if spec.seed not in orders:
+                        if (spec.seed, t // 2) not in row_draws:
+                            head = f"{spec.seed}:row:{t // 2}:".encode()
+                            row_draws = {k: v for k, v in row_draws.items() if k[1] == t // 2}
+                            row_draws[spec.seed, t // 2] = _digits([head + k for k in key_texts])
+                        orders[spec.seed] = np.argsort(row_draws[spec.seed, t // 2][:, t % 2], kind="stable")
+                        draws[spec.seed] = NodeDraws(spec.seed, t)
+                    node, _, feature, threshold, _, path = _grow(
+                        x, orders[spec.seed][:sizes[i]], tree_features(spec, t, d), draws[spec.seed], 1, 0, depth_limit(sizes[i]), classes)
+                    left = np.searchsorted(node, 2 * node).astype(np.int32)
+                    units = np.rint(np.nan_to_num(path) * PATH_UNIT).astype(np.int64)
+                    held.append((i, feature.astype(np.int32), threshold, left, units))
+                    n_held += len(node)
+                if n_held < max_held_nodes and t < last - 1:
+                    continue
+                for batch in _read_batches(walked, ["__row", "vec"], max(1, MAX_CELLS_WALKED // max(d, 1))):
+                    own = np.asfortranarray(_matrix(batch.column("vec")))
+                    sums = np.zeros((len(specs), len(own)), np.int64)
+                    for i, feature, threshold, left, units in held:
+                        sums[i] += units[_walk_tree(own, feature, threshold, left)]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("__row"), pa.array(np.full(len(own), last, np.int32)), *[pa.array(v) for v in sums]], schema=schema)
+                held, n_held = [], 0
+
+    parts = spark.range(0, len(runs), 1, len(runs)).mapInArrow(
+        run, "__row long, last int, " + ", ".join(f"{n} long" for n in names))
+    per_run = parts.groupBy("__row", "last").agg(*[F.sum(n).alias(n) for n in names])
+    totals = per_run.groupBy("__row").agg(*[
+        F.sum(F.when(F.col("last") <= p, F.col(names[i]))).alias(f"t{i}_{p}") for i, ps in enumerate(wanted) for p in ps])
+    c = average_path(np.array(sizes))
+    cells = []
+    for i, ps in enumerate(wanted):
+        for p in ps:
+            mean = F.col(f"t{i}_{p}") / F.lit(PATH_UNIT) / F.lit(p)
+            score = F.pow(F.lit(2.0), -(mean / F.lit(float(c[i])) if c[i] > 0 else F.lit(1.0)))
+            cells.append(F.struct(F.lit(i).alias("spec"), F.lit(p).alias("n_trees"), score.alias("score")))
+    return scored.select("__row", *keep).join(totals, "__row").select(*keep, F.inline(F.array(*cells)))
+
+
 def default_prediction(scored: DataFrame, cut: float = DEFAULT_CUT) -> DataFrame:
     """Anomalous when the score exceeds one half; ``decision`` is the shifted score, positive when anomalous."""
     return scored.withColumns({"prediction": (F.col("score") > cut).cast("int"), "decision": F.col("score") - cut})

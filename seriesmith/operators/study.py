@@ -1,13 +1,14 @@
 """Model study: feature preparation, default models, grid search, thresholds, frozen final evaluation.
 
-Every stage returns tables. What a later stage reads more than once (prepared vectors, scores) is pinned, so a lost
-executor neither changes nor repeats it.
+Every stage returns tables. What a later stage reads more than once (scores, thresholds) is written down, so a lost
+executor neither changes nor repeats it. Forests are not kept: their draws are md5, so the best ones grow again, the same,
+for the final windows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
@@ -19,7 +20,7 @@ from seriesmith.operators import forest as fo
 from seriesmith.operators import metrics, profile
 from seriesmith.operators.joins import model_datasets, union_all
 from seriesmith.operators.model_grid import CONTAMINATION, DEFAULT_N_ESTIMATORS, PARAM_GRID, best_configurations
-from seriesmith.session import pin
+from seriesmith.session import pin, store
 from seriesmith.sources.files import write_table
 
 # The columns of the prediction table, in order.
@@ -27,12 +28,12 @@ PREDICTION_COLUMNS = ["identifier", "window", "window_start", "window_end", "bat
                       "experiment_type", "phase", "model", "anomaly_score", "prediction", "anomaly_label"]
 
 
-SMALL_PART_ROWS = 4096
-
-
 @dataclass
 class Dataset:
-    """One feature representation: windows with key, split, target, metadata and feature columns."""
+    """One feature representation: windows with key, split, target, metadata and feature columns.
+
+    The table is read once for every use of its parts, so write it down when it is expensive.
+    """
 
     table: DataFrame
     features: Sequence[str]
@@ -40,7 +41,10 @@ class Dataset:
 
 @dataclass
 class Prepared:
-    """Imputed vectors of the three subsets; medians and kept features come from the training rows only."""
+    """Imputed vectors of the three subsets; medians and kept features come from the training rows only.
+
+    There are medians of the features that are missing somewhere.
+    """
 
     name: str
     original: list[str]
@@ -62,19 +66,20 @@ def prepare(name: str, data: Dataset, keys: Sequence[str], target: str, keep: Se
     if not found:
         raise ValueError(f"{name}: no training rows")
     kept = [f for f in features if found[f]["missing_fraction"] <= profile.MAX_MISSING_FRACTION]
-    profile.check_infinite(union_all([parts["validation"], parts["final_test"]]), kept)
-    medians = pin(profile.medians(train, kept))
+    others = profile.missing_profile(union_all([parts["validation"], parts["final_test"]]), kept).collect()
+    infinite = [r["column"] for r in others if r["n_infinite"]]
+    if infinite:
+        raise ValueError(f"infinite values in {infinite}")
+    lacking = {r["column"] for r in [*found.values(), *others] if r["n_missing"]}
+    medians = pin(profile.medians(train, [f for f in kept if f in lacking])) if lacking.intersection(kept) else \
+        data.table.sparkSession.createDataFrame([], "feature string, median double")
     meta = [c for c in (target, *keep) if c in data.table.columns]
     known = {r["feature"]: r["median"] for r in medians.collect()}
     packed, sizes = {}, {}
-    tasks = fo.parallelism(data.table.sparkSession)
     for p, df in parts.items():
         vectors = fo.pack(df, keys, kept, meta)
-        packed[p] = pin(vectors.withColumn("vec", profile.impute_vector("vec", [known[f] for f in kept])))
-        sizes[p] = packed[p].count()
-        if sizes[p] < SMALL_PART_ROWS * tasks:
-            # Scoring costs far more than reading, so few rows are still spread over all tasks.
-            packed[p] = pin(packed[p].repartition(tasks, *keys))
+        packed[p] = vectors.withColumn("vec", profile.impute_vector("vec", [known.get(f) for f in kept]))
+        sizes[p] = df.count()
     return Prepared(name, features, kept, medians, packed, sizes)
 
 
@@ -97,8 +102,7 @@ def default_results(prepared: Mapping[str, Prepared], keys: Sequence[str], targe
     else:
         parts = []
         for p in prepared.values():
-            fitted = fo.fit_forests(p.parts["train"], keys, [fo.ForestSpec(*setting, seed)])
-            out = fo.score_forests(p.parts["validation"], fitted)
+            out = fo.fit_and_score(p.parts["train"], keys, [fo.ForestSpec(*setting, seed)], p.parts["validation"])
             parts.append(out.select(F.lit(p.name).alias("model"), target, "score"))
         scored = pin(union_all(parts))
     table = scored.sparkSession.createDataFrame(
@@ -110,12 +114,12 @@ def default_results(prepared: Mapping[str, Prepared], keys: Sequence[str], targe
 
 @dataclass
 class Search:
-    """Grid-search outcome: result table, best rows, fitted forests and validation scores per model and run."""
+    """Grid-search outcome: result table, best rows and validation scores per model and run."""
 
     results: DataFrame
     best: DataFrame
-    forests: dict[str, fo.Forests]
     scores: DataFrame
+    seed: int
 
 
 def grid_search(prepared: Mapping[str, Prepared], keys: Sequence[str], target: str,
@@ -124,45 +128,36 @@ def grid_search(prepared: Mapping[str, Prepared], keys: Sequence[str], target: s
 
     Trees are independent draws, so the forests of fewer trees are prefixes of the largest one: one fit per
     (max_samples, max_features) serves every ``n_estimators``, and all settings of a model are fitted and scored in
-    one job each.
+    one job.
     """
     counts = list(grid["n_estimators"])
     pairs = list(product(grid["max_samples"], grid["max_features"]))
     specs = [fo.ForestSpec(max(counts), str(s), str(f), seed) for s, f in pairs]
-    forests, scored, rows = {}, [], []
+    scored, rows = [], []
     for p in prepared.values():
-        forests[p.name] = fo.fit_forests(p.parts["train"], keys, specs)
-        out = fo.score_forests(p.parts["validation"], forests[p.name], counts)
+        out = fo.fit_and_score(p.parts["train"], keys, specs, p.parts["validation"], counts)
         rank = reduce(lambda acc, ic: F.when(F.col("n_trees") == ic[1], ic[0]).otherwise(acc), enumerate(counts), F.lit(0))
         run = (rank * len(pairs) + F.col("spec") + 1).cast("int")
-        scored.append(out.select(F.lit(p.name).alias("model"), run.alias("run"), *keys, target, "score"))
+        scored.append(store(out.select(F.lit(p.name).alias("model"), run.alias("run"), *keys, target, "score"), "scores"))
         rows += [
             (p.name, i * len(pairs) + j + 1, n, str(s), str(f), CONTAMINATION, p.sizes["train"], p.sizes["validation"],
              len(p.kept))
             for i, n in enumerate(counts) for j, (s, f) in enumerate(pairs)
         ]
-    scores = pin(union_all(scored))
+    scores = union_all(scored)
     spark = scores.sparkSession
     table = spark.createDataFrame(
         rows, "model string, run int, n_estimators int, max_samples string, max_features string, contamination string, "
               "n_train long, n_validation long, n_features int")
     ap = metrics.average_precision(scores, ["model", "run"], "score", target)
     results = pin(table.join(ap.withColumnRenamed("average_precision", "AUPRC"), ["model", "run"], "left"))
-    return Search(results, pin(best_configurations(results)), forests, scores)
+    return Search(results, pin(best_configurations(results)), scores, seed)
 
 
-def best_forests(search: Search, counts_from: str = "n_estimators") -> dict[str, tuple[fo.Forests, int]]:
-    """The best forest of each model, cut out of the fitted ones (no refit), with its run number."""
-    out = {}
-    for r in search.best.collect():
-        fitted = search.forests[r["model"]]
-        n = r[counts_from]
-        index = next(i for i, s in enumerate(fitted.specs)
-                     if (s.max_samples, s.max_features) == (r["max_samples"], r["max_features"]))
-        nodes = fitted.nodes.filter((F.col("spec") == index) & (F.col("tree") < n)).withColumn("spec", F.lit(0))
-        out[r["model"]] = (fo.Forests(nodes, [replace(fitted.specs[index], n_trees=n)],
-                                      [fitted.sample_sizes[index]]), r["run"])
-    return out
+def best_specs(search: Search) -> dict[str, fo.ForestSpec]:
+    """The best setting of each model; its forest is a prefix of the searched one."""
+    return {r["model"]: fo.ForestSpec(r["n_estimators"], r["max_samples"], r["max_features"], search.seed)
+            for r in search.best.collect()}
 
 
 def validation_thresholds(search: Search, target: str, n_thresholds: int = metrics.N_THRESHOLDS) -> DataFrame:
@@ -171,11 +166,12 @@ def validation_thresholds(search: Search, target: str, n_thresholds: int = metri
     return metrics.best_thresholds(metrics.threshold_sweep(best, ["model"], "score", target, n_thresholds), ["model"])
 
 
-def final_predictions(prepared: Mapping[str, Prepared], search: Search, thresholds: DataFrame, target: str) -> DataFrame:
+def final_predictions(prepared: Mapping[str, Prepared], search: Search, thresholds: DataFrame, keys: Sequence[str],
+                      target: str) -> DataFrame:
     """Score and prediction per final-test window and model, with everything frozen beforehand."""
     scored = []
-    for name, (fitted, _) in best_forests(search).items():
-        out = fo.score_forests(prepared[name].parts["final_test"], fitted)
+    for name, spec in best_specs(search).items():
+        out = fo.fit_and_score(prepared[name].parts["train"], keys, [spec], prepared[name].parts["final_test"])
         scored.append(out.drop("spec", "n_trees").withColumn("model", F.lit(name)))
     predicted = metrics.apply_thresholds(union_all(scored), thresholds, ["model"], "score")
     shown = predicted.withColumnRenamed("score", "anomaly_score")
@@ -194,7 +190,7 @@ def run_study(datasets: Mapping[str, Dataset], keys: Sequence[str], target: str,
     prepared = prepare_all(datasets, keys, target, keep)
     search = grid_search(prepared, keys, target, grid, seed)
     thresholds = pin(validation_thresholds(search, target))
-    predictions = pin(final_predictions(prepared, search, thresholds, target))
+    predictions = store(final_predictions(prepared, search, thresholds, keys, target), "predictions")
     return {
         "default_results": default_results(prepared, keys, target, seed, search),
         "hyperparameter_results": search.results,

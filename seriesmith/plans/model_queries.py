@@ -15,7 +15,7 @@ from seriesmith.plans.bindings import KEYS, SIGNALS, SIZE, windowed
 from seriesmith.plans.evaluation_queries import SPLIT_SQL, experiment_split
 from seriesmith.plans.registry import load, query
 from seriesmith.plans.window_queries import FREQ_NAMES, RAW_CELLS, TEMPORAL_NAMES, WIDE_NAMES, complete, ml_table
-from seriesmith.session import pin, scratch_path
+from seriesmith.session import pin, scratch_path, store
 from seriesmith.sources.files import read_table
 
 WINDOW = ["entity", "window"]
@@ -109,17 +109,18 @@ def datasets(spark, sf_dir):
     meta = pin(first.join(experiment_split(spark, sf_dir).select("entity", "split"), "entity").select(
         "entity", "window", F.col("label").alias("anomaly_label"), F.col("target").alias(TARGET), "split",
         (F.col("window") * SIZE).alias("window_start"), ((F.col("window") + 1) * SIZE).alias("window_end")))
-    # The ML table holds the other feature sets' columns, so it is computed once and cut.
-    wide = pin(ml_table(spark, sf_dir))
-    raw = pin(ft.raw_windows(complete(spark, sf_dir), KEYS, SIGNALS, SIZE))
-    tables = {
-        "raw_window": (raw, [n for _, _, n in RAW_CELLS]),
-        "window_features": (wide.select(*WINDOW, *WIDE_NAMES), WIDE_NAMES),
-        "temporal_features": (wide.select(*WINDOW, *TEMPORAL_NAMES), TEMPORAL_NAMES),
-        "ml_features": (wide, [*TEMPORAL_NAMES, *FREQ_NAMES]),
+    # The ML table holds the other feature sets' columns, so it is computed, joined and written once and cut.
+    wide = joins.checked_join(meta, store(ml_table(spark, sf_dir), "wide"), WINDOW, "inner", "one_to_one")
+    raw = joins.checked_join(meta, store(ft.raw_windows(complete(spark, sf_dir), KEYS, SIGNALS, SIZE), "raw"), WINDOW,
+                             "inner", "one_to_one")
+    tables = {"raw": store(raw, "raw-windows"), "wide": store(wide, "wide-windows")}
+    columns = {
+        "raw_window": ("raw", [n for _, _, n in RAW_CELLS]),
+        "window_features": ("wide", WIDE_NAMES),
+        "temporal_features": ("wide", TEMPORAL_NAMES),
+        "ml_features": ("wide", [*TEMPORAL_NAMES, *FREQ_NAMES]),
     }
-    return {n: study.Dataset(pin(joins.checked_join(meta, t, WINDOW, "inner", "one_to_one")), f)
-            for n, (t, f) in tables.items()}
+    return {n: study.Dataset(tables[t].select(*meta.columns, *f), f) for n, (t, f) in columns.items()}
 
 
 KEEP = ["anomaly_label", "window_start", "window_end"]

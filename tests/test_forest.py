@@ -128,3 +128,32 @@ def test_study_end_to_end(spark):
     line = study.prediction_timeline(predictions, "two", ["e2"], ["identifier"]).collect()
     assert [r["window"] for r in line] == list(range(8))
     assert study.error_types(predictions, "observable_anomaly").agg(F.sum("n_windows")).first()[0] == 160
+
+
+def test_equal_rows_end_in_the_same_leaves():
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.integers(0, 3, size=(40, 5)).astype(float), 6, axis=0)
+    classes = np.unique(x, axis=0, return_inverse=True)[1].reshape(-1)
+    args = np.arange(240), np.arange(5), fo.NodeDraws(1, 0), 1, 0, 8
+    for a, b in zip(fo._grow(x, *args), fo._grow(np.asfortranarray(x), *args, classes)):
+        np.testing.assert_array_equal(a, b)
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_held_cells": 6, "max_held_nodes": 50}])
+def test_fit_and_score_equals_fitting_and_scoring(spark, cloud, limits):
+    specs = [fo.ForestSpec(6, "auto", "1.0"), fo.ForestSpec(4, "0.75", "0.5"), fo.ForestSpec(6, "1.0", "0.5", seed=7)]
+    train, rest = cloud.filter("id % 2 = 0"), cloud.filter("id % 3 <> 0").withColumn("name", F.concat(F.lit("n"), "id"))
+    want = fo.score_forests(rest, fo.fit_forests(train, ["id"], specs), [3, 6])
+    got = fo.fit_and_score(train, ["id"], specs, rest, [3, 6], **limits)
+    assert got.columns == want.columns
+    a, b = ([tuple(r) for r in df.select("id", "name", "spec", "n_trees", "score").orderBy("id", "spec", "n_trees").collect()]
+            for df in (want, got))
+    assert [r[:4] for r in a] == [r[:4] for r in b]
+    np.testing.assert_allclose([r[4] for r in a], [r[4] for r in b], rtol=1e-12)
+
+
+def test_study_keeps_no_node_tables(spark, monkeypatch):
+    def never(*a, **kw):
+        raise AssertionError("a node table of the searched forests")
+    monkeypatch.setattr(fo, "fit_forests", never)
+    test_study_end_to_end(spark)
